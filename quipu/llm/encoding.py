@@ -104,15 +104,26 @@ def _class(c: Column) -> Column:
     return F.when(c.rlike("[a-z]"), "a").when(c.rlike("[A-Z]"), "A").when(c.rlike("[0-9]"), "0").when(c.rlike(r"\s"), " ").otherwise(".")
 
 
+def count_places(items: DataFrame, columns: list[str], source: str = "fuente") -> DataFrame:
+    """``(source, left, symbol, right, n)``: how often each symbol stands in each place; tables of parts of a corpus add up."""
+    bits = F.explode(F.concat(*[places(F.col(c)) for c in columns])).alias("bit")
+    counts = items.select(F.coalesce(name_key(F.col(source)), F.lit("")).alias("source"), bits).groupBy("source", "bit").agg(F.count("*").alias("n"))
+    return _split(counts, "bit").select("source", "left", "symbol", "right", "n")
+
+
 def learn(items: DataFrame, columns: list[str], source: str = "fuente", rounds: int = ROUNDS) -> DataFrame:
+    """Replacements learned from the texts themselves, see ``learn_counts``.
+
+    Null texts count as empty, a null source is a source of its own.
+    """
+    return learn_counts(cut(count_places(items, columns, source)), rounds)
+
+
+def learn_counts(counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``(source, left, symbol, right, true)``: the symbols that stand for something else, by place and source.
 
     ``true`` is null where a symbol is surely wrong but nothing fits (replacement and control characters).
-    Null texts count as empty, a null source is a source of its own.
     """
-    bits = [F.explode(F.concat(*[places(F.col(c)) for c in columns])).alias("bit")]
-    counts = items.select(F.coalesce(name_key(F.col(source)), F.lit("")).alias("source"), *bits).groupBy("source", "bit").agg(F.count("*").alias("n"))
-    counts = cut(_split(counts, "bit").select("source", "left", "symbol", "right", "n"))
     keys = counts.select("symbol").distinct().withColumn("reading", F.explode(_readings("symbol"))).select("symbol", "reading.key", "reading.true")
     # a reading counts only if the corpus has it as a symbol of its own
     known = counts.groupBy(F.col("symbol").alias("true")).agg(F.sum("n").alias("known"))

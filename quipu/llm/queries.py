@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quipu.llm import encoding
+from quipu.llm import encoding, fusion, linking
 
 SQL: dict[str, str] = {}
 
@@ -26,4 +27,40 @@ def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.restored_fields(table(spark, folder, "noticias"), TEXTS).select("seq", "campo", "restored")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_restored": p3_restored}
+def _best(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "noticias")
+    weight = F.when(~F.isnan("source_weight"), F.col("source_weight"))
+    rules = {
+        "source_weight": (weight, [weight]),
+        "economic_score": (F.col("economic_score"), [F.col("economic_score")]),
+        "url": (F.when(linking.page_key(F.col("url")).isNotNull(), F.col("url")), [weight]),
+    }
+    return fusion.fuse(items, linking.articles(items), rules)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _best(spark, folder).select("grupo", "campo", "seq")
+
+
+def p1_fused(spark: SparkSession, folder: str) -> DataFrame:
+    return _best(spark, folder)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "noticias")
+    low, high = items.agg(F.min("lote"), F.max("lote")).first()
+    middle = None if low is None else (low + high + 1) // 2
+    ranges = [(None, None)] if middle is None else [(None, middle), (middle, None)]
+    rows = linking.articles(items, ranges)
+    first = rows.where("seq = grupo").select("grupo", F.col("lote").alias("first"))
+    later = rows.join(first, "grupo").where("lote > first and seq > grupo")
+    return later.select(F.col("grupo").alias("seq_a"), F.col("seq").alias("seq_b")).distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_fused": p1_fused,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
+    "p6_found": p6_found,
+}
