@@ -20,7 +20,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -33,6 +33,8 @@ EDITS = 2
 LEAST_WORDS = 5
 #: More distinct headlines than this in one blocking key are linked by wildcard keys instead of pairs.
 HOT_KEY = 32
+#: Rare words in a blocking key.  Words come in phrases, so fewer would tell headlines apart too little.
+KEY_WORDS = 5
 #: A segment is an affix if this share of the headlines it is set around also stand alone.
 AFFIX_SHARE = 0.2
 #: A word is part of a name if this share of its uses inside a headline is capitalised.
@@ -148,15 +150,16 @@ def _profiles(cores: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def blocking_keys(profiles: DataFrame) -> DataFrame:
-    """``(key, id)``.  Headlines with at most EDITS word edits share ``max(a, b) - EDITS`` soft words, so among the
-    first ``k + EDITS`` of each there are k in common; a key is the fixed words and k soft ones, k as large as 3."""
+    """``(key, id)``.  Headlines with at most EDITS word edits share ``max(a, b) - EDITS`` soft words, so among the first
+    ``k + EDITS`` of each there are k in common; a key is the fixed words and k soft ones, k as large as KEY_WORDS."""
     s = F.size("soft")
 
     def keys(k: int, least: int, most: int) -> Column:
         each = [F.when(s > max(c, default=-1), F.xxhash64(F.lit(k), F.col("fixed"), *[F.get("soft", i) for i in c])) for c in itertools.combinations(range(k + EDITS), k)]
         return F.when((s >= least) & (s <= most), F.filter(F.array(*each), lambda x: x.isNotNull())).otherwise(F.array().cast("array<bigint>"))
 
-    every = F.concat(keys(3, 3, 10**6), keys(2, 2, 4), keys(1, 1, 3), keys(0, 0, 2))
+    # a pair whose longer side has m soft words meets in keys of min(KEY_WORDS, m - EDITS) words; the shorter has EDITS fewer at most
+    every = F.concat(*[keys(k, k, 10**6 if k == KEY_WORDS else k + EDITS) for k in range(KEY_WORDS + 1)])
     return profiles.select(F.explode(every).alias("key"), "id")
 
 
@@ -201,7 +204,7 @@ def hot_links(profiles: DataFrame) -> DataFrame:
     """
 
     def keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+        for part in (p.iloc[i : i + 100] for p in parts for i in range(0, len(p), 100)):
             rows = []
             for node, core, fixed in zip(part["id"], part["core"], part["fixed"]):
                 words = core.split(" ")
@@ -228,9 +231,10 @@ def candidate_pairs(keys: DataFrame, new: DataFrame | None = None) -> tuple[Data
         keys = keys.join(new.select("key").distinct(), "key", "left_semi").join(new.select("id").distinct().withColumn("new", F.lit(True)), "id", "left")
     else:
         keys = keys.withColumn("new", F.lit(True))
-    size = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = keys.join(size.where(f"n > {HOT_KEY}").select("key"), "key", "left_semi").select("id").distinct()
-    small = keys.join(size.where(f"n <= {HOT_KEY}").select("key"), "key", "left_semi")
+    # one shuffle by key: the count, and later the pairs, use the same partitioning
+    met = cut(keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
+    crowded = met.where(f"n > {HOT_KEY}").select("id").distinct()
+    small = met.where(f"n <= {HOT_KEY}")
     a, b = (small.select("key", F.col("id").alias(s), F.col("new").alias(f"new_{s}")) for s in "ab")
     pairs = a.join(b, "key").where("a < b and (new_a or new_b)").select("a", "b").distinct()
     return pairs, crowded
