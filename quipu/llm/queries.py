@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm import encoding, fusion, linking
+from quipu.llm import encoding, fusion, leaks, linking, mixing, quotas, sitelines
+from quipu.llm.sql import SQL
 
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +48,42 @@ def p1_fused(spark: SparkSession, folder: str) -> DataFrame:
     return _best(spark, folder)
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sitelines.repeated_lines(table(spark, folder, "noticias"))
+
+
+def p2_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    return sitelines.without_lines(table(spark, folder, "noticias"))
+
+
+def _pools(spark: SparkSession, folder: str) -> list[tuple[DataFrame, DataFrame]]:
+    targets = table(spark, folder, "cuotas_muestra")
+    latest = F.try_to_timestamp("fecha_anotacion")
+    pools = []
+    for campo, name, key, at in (("sentimiento", "anotaciones", "annotation_id", latest), ("dominant_topic", "eventos_operativos", "event_id", None)):
+        wanted = targets.where(F.col("campo") == campo)
+        pools.append((quotas.eligible(table(spark, folder, name), key, campo, wanted, at), wanted))
+    return pools
+
+
+def _reports(spark: SparkSession, folder: str) -> DataFrame:
+    first, second = (quotas.report(pool, wanted) for pool, wanted in _pools(spark, folder))
+    return first.unionByName(second)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _reports(spark, folder).where("shortfall > 0").select("campo", "categoria")
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _reports(spark, folder)
+
+
+def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = [quotas.draw(pool, quotas.report(pool, wanted)).withColumn("campo", F.lit(campo)) for campo, (pool, wanted) in zip(("sentimiento", "dominant_topic"), _pools(spark, folder))]
+    return drawn[0].unionByName(drawn[1])
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "noticias")
     low, high = items.agg(F.min("lote"), F.max("lote")).first()
@@ -57,10 +95,39 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return later.select(F.col("grupo").alias("seq_a"), F.col("seq").alias("seq_b")).distinct()
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, report = mixing.plan(table(spark, folder, "documents"), table(spark, folder, "mezcla_fuentes"), mixing.word_count(F.col("text")))
+    return report.where("short").select("source")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix by tokens: target and actual shares."""
+    return mixing.plan(table(spark, folder, "documents"), table(spark, folder, "mezcla_fuentes"), mixing.token_count(F.col("text")))[2]
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix by tokens: documents and how often each is taken for which source."""
+    rows, routes, _ = mixing.plan(table(spark, folder, "documents"), table(spark, folder, "mezcla_fuentes"), mixing.token_count(F.col("text")))
+    return mixing.select(rows, routes)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_fused": p1_fused,
+    "p2_found": p2_found,
+    "p2_cleaned": p2_cleaned,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
+    "p5_sample": p5_sample,
     "p6_found": p6_found,
+    "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
+    "p9_mix": p9_mix,
 }
