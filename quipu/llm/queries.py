@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm import encoding, fusion, leaks, linking, mixing, quotas, sitelines
+from quipu.llm import encoding, fusion, leaks, linking, mixing, pages, quotas, sitelines
 from quipu.llm.sql import SQL
 
 
@@ -56,6 +56,14 @@ def p2_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return sitelines.without_lines(table(spark, folder, "noticias"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.boilerplate_lines(table(spark, folder, "paginas"))
+
+
+def p4_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.main_bodies(table(spark, folder, "paginas"))
+
+
 def _pools(spark: SparkSession, folder: str) -> list[tuple[DataFrame, DataFrame]]:
     targets = table(spark, folder, "cuotas_muestra")
     latest = F.try_to_timestamp("fecha_anotacion")
@@ -122,6 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_cleaned": p2_cleaned,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p4_found": p4_found,
+    "p4_bodies": p4_bodies,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p5_sample": p5_sample,
