@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm import encoding, fusion, leaks, linking, mixing, pages, quotas, sitelines
+from quipu.llm import areas, encoding, fusion, leaks, linking, mixing, pages, quotas, sitelines
 from quipu.llm.sql import SQL
 
 
@@ -123,6 +123,15 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.select(rows, routes)
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return areas.document_areas(table(spark, folder, "documents"), table(spark, folder, "etiquetas_area")).select("doc_id", "area")
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return areas.composition(areas.document_areas(documents, table(spark, folder, "etiquetas_area")), documents)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_fused": p1_fused,
@@ -140,4 +149,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
     "p9_shares": p9_shares,
     "p9_mix": p9_mix,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
 }
