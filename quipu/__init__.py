@@ -1 +1,8 @@
 """quipu: a PySpark-native text-intelligence analytics engine."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run on executors travel with their code, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
