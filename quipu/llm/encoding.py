@@ -16,8 +16,10 @@ result is a table of replacements that is then applied to every text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ READ = ["latin-1", "cp1252", "mac_roman", "cp850", "cp437", "cp1251", "cp1250",
 ROUNDS = 3
 #: Weight of a neighbour's kind beside the neighbour itself.
 BACKOFF = 0.02
+#: Places that one task learns from; about 300 bytes each there.
+LOCAL_ROWS = 400_000
 #: Replacements are broadcast up to this many rows (under 100 bytes each); beyond that they are joined.
 BROADCAST_ROWS = 300_000
 #: Characters between which a symbol is judged; the text's ends count as line ends.
@@ -108,7 +112,7 @@ def count_places(items: DataFrame, columns: list[str], source: str = "fuente") -
     """``(source, left, symbol, right, n)``: how often each symbol stands in each place; tables of parts of a corpus add up."""
     bits = F.explode(F.concat(*[places(F.col(c)) for c in columns])).alias("bit")
     counts = items.select(F.coalesce(name_key(F.col(source)), F.lit("")).alias("source"), bits).groupBy("source", "bit").agg(F.count("*").alias("n"))
-    return _split(counts, "bit").select("source", "left", "symbol", "right", "n")
+    return _split(counts, "bit").groupBy("source", "left", "symbol", "right").agg(F.sum("n").alias("n"))
 
 
 def learn(items: DataFrame, columns: list[str], source: str = "fuente", rounds: int = ROUNDS) -> DataFrame:
@@ -123,7 +127,83 @@ def learn_counts(counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``(source, left, symbol, right, true)``: the symbols that stand for something else, by place and source.
 
     ``true`` is null where a symbol is surely wrong but nothing fits (replacement and control characters).
+    Up to LOCAL_ROWS places the rounds run within one task, beyond that as joins; the result is the same.
     """
+    if bounded(counts, LOCAL_ROWS):
+        return cut(counts.coalesce(1).mapInPandas(_within_task(rounds), "source string, left string, symbol string, right string, true string"))
+    return learn_joined(counts, rounds)
+
+
+def _within_task(rounds: int):
+    """The rounds of ``learn_joined`` on arrays."""
+
+    def groups(*columns: np.ndarray) -> np.ndarray:
+        """Number of the group of each row, equal rows in equal groups."""
+        code = np.zeros(len(columns[0]), "int64")
+        for c in columns:
+            _, own = np.unique(c, return_inverse=True)
+            _, code = np.unique(code * (own.max(initial=0) + 1) + own, return_inverse=True)
+        return code
+
+    def kinds(values: np.ndarray) -> np.ndarray:
+        kind = lambda c: "a" if re.match("[a-z]", c) else "A" if re.match("[A-Z]", c) else "0" if re.match("[0-9]", c) else " " if re.match(r"[ \t\n\x0b\f\r]", c) else "."
+        table = {c: kind(c) for c in set(values.tolist())}
+        return np.array([table[c] for c in values.tolist()], dtype=object)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["source", "left", "symbol", "right"]
+        frames = list(parts)
+        df = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=[*columns, "n"])
+        if not len(df):
+            return
+        tables = {c: _tables(c) for c in READ}
+        known = df.groupby("symbol")["n"].sum().to_dict()
+        keys = {u: [(k, t) for k, t in readings(u, tables) if t in known] for u in known}
+        rows, keyed, true = [], [], []
+        for i, u in enumerate(df["symbol"].tolist()):
+            for k, t in [("", u), *keys[u]]:
+                rows.append(i)
+                keyed.append(k)
+                true.append(t)
+        row = np.array(rows)
+        key, what = np.array(keyed, dtype=object), np.array(true, dtype=object)
+        left, right, source = (df[c].to_numpy(object)[row] for c in ("left", "right", "source"))
+        n = df["n"].to_numpy("float64")[row]
+        itself = key == ""
+        lc, rc = kinds(left), kinds(right)
+        many = np.bincount(row)[row] > 1
+        ids = {"near": groups(left, what, right), "before": groups(left, what), "after": groups(right, what), "lc": groups(lc, what), "rc": groups(rc, what), "alone": groups(what), "share": groups(source, key), "source": groups(source)}
+        w = itself.astype("float64")
+        share = np.ones(len(row))
+        for step in range(rounds):
+            sums = {k: np.bincount(ids[k], weights=n * w)[ids[k]] for k in ("near", "before", "after", "lc", "rc", "alone")}
+            less = {k: np.maximum(v - itself, 0.0) for k, v in sums.items()}
+            top = (less["before"] + BACKOFF * less["lc"]) * (less["after"] + BACKOFF * less["rc"])
+            smooth = np.divide(top, less["alone"], out=np.zeros_like(top), where=less["alone"] > 0)
+            rated = share * (less["near"] + smooth)
+            total = np.bincount(row, weights=rated)[row]
+            w = np.where(many, np.where(total > 0, rated / np.where(total > 0, total, 1.0), itself.astype("float64")), 1.0)
+            mass = np.bincount(ids["share"], weights=np.where(many, n * w, 0.0))[ids["share"]]
+            whole = np.bincount(ids["source"], weights=np.where(many, n * w, 0.0))[ids["source"]]
+            share = (mass + 1) / (whole + 1)
+        own = np.zeros(len(df))
+        own[row[itself]] = w[itself]
+        best: dict[int, tuple] = {}
+        for i, t, k, x in zip(row.tolist(), what.tolist(), key.tolist(), w.tolist()):
+            best[i] = max(best.get(i, (-1.0, "", "")), (x, k, t))
+        out = []
+        for i, r in enumerate(df[columns].itertuples(index=False)):
+            if own[i] < 0.5:
+                out.append((*r, best[i][2]))
+            elif re.search("[\ufffd\u0080-\u009f]", r.symbol):
+                out.append((*r, max(((known[t], t) for _, t in keys[r.symbol]), default=(0, None))[1]))
+        yield pd.DataFrame(out, columns=[*columns, "true"])
+
+    return run
+
+
+def learn_joined(counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``learn_counts`` for any number of places."""
     keys = counts.select("symbol").distinct().withColumn("reading", F.explode(_readings("symbol"))).select("symbol", "reading.key", "reading.true")
     # a reading counts only if the corpus has it as a symbol of its own
     known = counts.groupBy(F.col("symbol").alias("true")).agg(F.sum("n").alias("known"))

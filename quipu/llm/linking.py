@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from quipu.llm import encoding
-from quipu.llm.common import bounded, cut, null_if_blank
+from quipu.llm.common import cut, null_if_blank, small, store
 
 #: Words by which headlines of one article may differ.
 EDITS = 2
@@ -74,7 +74,7 @@ def page_key(url: Column) -> Column:
 
 def _restored(items: DataFrame, learned: DataFrame) -> DataFrame:
     """``(seq, title)``: headlines as written, wrong encodings undone."""
-    fixed = encoding.restored_fields(items, ["titulo"], learned=learned).select("seq", "restored")
+    fixed = small(store(encoding.restored_fields(items, ["titulo"], learned=learned).select("seq", "restored")), BROADCAST_ROWS)
     titles = items.select("seq", null_if_blank(F.col("titulo")).alias("titulo")).where("titulo is not null")
     return titles.join(fixed, "seq", "left").select("seq", F.coalesce("restored", "titulo").alias("title"))
 
@@ -116,16 +116,15 @@ def learn_skeletons(forms: DataFrame) -> DataFrame:
 def _cores(forms: DataFrame, affixes: DataFrame, skeletons: DataFrame) -> DataFrame:
     """``(seq, core, raw)``: the folded headline without affixes, and as written."""
     side = lambda s: affixes.where(F.col("side") == s).select(F.col("segment").alias(s), F.lit(True).alias(f"is_{s}"))
-    few = bounded(affixes, BROADCAST_ROWS)
     df = forms
     for s in ("pre", "suf"):
-        df = df.join(F.broadcast(side(s)) if few else side(s), s, "left")
+        df = df.join(small(side(s), BROADCAST_ROWS), s, "left")
     raw = F.when(F.col("is_pre") & F.col("is_suf"), F.coalesce("no_both", "no_pre")).when(F.col("is_pre"), F.col("no_pre")).when(F.col("is_suf"), F.col("no_suf")).otherwise(F.col("title"))
     df = df.select("seq", raw.alias("raw")).withColumn("core", fold(F.col("raw")))
     lost = df.where(F.col("core").contains("�"))
     words = lost.select("seq", F.posexplode(F.split("core", " ")).alias("i", "skeleton")).join(skeletons, "skeleton", "left")
     mended = words.groupBy("seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("word", "skeleton").alias("w")))), lambda x: x["w"]), " ").alias("mended"))
-    return df.join(mended, "seq", "left").select("seq", F.coalesce("mended", "core").alias("core"), "raw").where("core <> ''")
+    return df.join(small(store(mended), BROADCAST_ROWS), "seq", "left").select("seq", F.coalesce("mended", "core").alias("core"), "raw").where("core <> ''")
 
 
 def learn_words(cores: DataFrame) -> DataFrame:
@@ -140,13 +139,14 @@ def learn_words(cores: DataFrame) -> DataFrame:
 
 def _profiles(cores: DataFrame, words: DataFrame) -> DataFrame:
     """``(id, core, fixed, soft)``: what may not differ as one string, and the other words from rare to frequent."""
-    long_ = cores.select("core").distinct().where(F.size(F.split("core", " ")) >= LEAST_WORDS)
-    each = long_.select("core", F.explode(F.split("core", " ")).alias("word")).groupBy("core", "word").agg(F.count("*").alias("times"))
-    known = F.broadcast(words) if bounded(words, BROADCAST_ROWS) else words
-    each = each.join(known, "word", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "fixed": F.coalesce("fixed", F.col("word").rlike("[0-9]"))})
-    each = each.select("core", "fixed", F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")), lambda t: F.struct("n", F.concat_ws("#", "word", t.cast("string")).alias("w")))).alias("x"))
-    some = each.groupBy("core").agg(F.sort_array(F.collect_list(F.when(F.col("fixed"), F.col("x.w")))).alias("fixed"), F.sort_array(F.collect_list(F.when(~F.col("fixed"), F.col("x")))).alias("soft"))
-    return some.select(F.xxhash64(F.lit("h"), F.col("core")).alias("id"), "core", F.array_join("fixed", " ").alias("fixed"), F.transform("soft", lambda x: x["w"]).alias("soft"))
+    long_ = store(cores.select("core").distinct().where(F.size(F.split("core", " ")) >= LEAST_WORDS).select(F.xxhash64(F.lit("h"), F.col("core")).alias("id"), "core"))
+    each = long_.select("id", F.explode(F.split("core", " ")).alias("word")).join(small(words, BROADCAST_ROWS), "word", "left")
+    each = each.select("id", F.coalesce("fixed", F.col("word").rlike("[0-9]")).alias("fixed"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word").alias("x"))
+    some = each.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("fixed"), F.col("x.word")))).alias("fixed"), F.transform(F.sort_array(F.collect_list(F.when(~F.col("fixed"), F.col("x")))), lambda x: x["word"]).alias("soft"))
+    # repeated words are told apart by their number
+    told = lambda c: F.transform(c, lambda x, i: F.concat_ws("#", x, F.size(F.filter(F.slice(c, 1, i + 1), lambda y: y == x)).cast("string")))
+    some = some.select("id", F.array_join(told(F.col("fixed")), " ").alias("fixed"), told(F.col("soft")).alias("soft"))
+    return long_.join(some, "id")
 
 
 def blocking_keys(profiles: DataFrame) -> DataFrame:
@@ -222,20 +222,17 @@ def hot_links(profiles: DataFrame) -> DataFrame:
     return wild.join(hubs.select("key", "a"), "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
-def candidate_pairs(keys: DataFrame, new: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(a, b)`` of headlines that meet in a key, and the headlines of crowded keys.
+def candidate_pairs(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` of headlines that meet in a key ``(key, id, new)``, and the headlines of crowded keys.
 
-    With ``new``, only keys that have at least one of its headlines, and only its pairs.
+    Only keys with a new headline count, and only pairs with one.  One shuffle by key serves count and pairs.
     """
-    if new is not None:
-        keys = keys.join(new.select("key").distinct(), "key", "left_semi").join(new.select("id").distinct().withColumn("new", F.lit(True)), "id", "left")
-    else:
-        keys = keys.withColumn("new", F.lit(True))
-    # one shuffle by key: the count, and later the pairs, use the same partitioning
-    met = cut(keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
+    span = Window.partitionBy("key")
+    met = keys.withColumns({"n": F.count("*").over(span), "any": F.max("new").over(span)}).where("n > 1 and any").drop("any")
+    met = store(met)
     crowded = met.where(f"n > {HOT_KEY}").select("id").distinct()
-    small = met.where(f"n <= {HOT_KEY}")
-    a, b = (small.select("key", F.col("id").alias(s), F.col("new").alias(f"new_{s}")) for s in "ab")
+    few = met.where(f"n <= {HOT_KEY}")
+    a, b = (few.select("key", F.col("id").alias(s), F.col("new").alias(f"new_{s}")) for s in "ab")
     pairs = a.join(b, "key").where("a < b and (new_a or new_b)").select("a", "b").distinct()
     return pairs, crowded
 
@@ -318,10 +315,10 @@ class ArticleIndex:
         counts = self._keep("places", encoding.count_places(items, ["titulo"]))
         total = self._with("places", counts).groupBy("source", "left", "symbol", "right").agg(F.sum("n").alias("n"))
         learned = encoding.learn_counts(cut(total) if self.batches else counts)
-        forms = cut(_forms(_restored(items, learned)))
+        forms = store(_forms(_restored(items, learned)))
         if not self.models:
             self.models = {"affixes": cut(learn_affixes(forms, items.select(F.col("fuente").alias("site")).distinct())), "skeletons": cut(learn_skeletons(forms))}
-        cores = cut(_cores(forms, self.models["affixes"], self.models["skeletons"]))
+        cores = store(_cores(forms, self.models["affixes"], self.models["skeletons"]))
         if "words" not in self.models:
             self.models["words"] = cut(learn_words(cores))
         profiles = _profiles(cores, self.models["words"])
@@ -332,11 +329,14 @@ class ArticleIndex:
         keys = self._keep("keys", blocking_keys(profiles))
         h = F.when(F.size(F.split("core", " ")) >= LEAST_WORDS, F.xxhash64(F.lit("h"), F.col("core")))
         page = items.select("seq", "lote", page_key(F.col("url")).alias("page"))
-        records = page.join(cores.select("seq", h.alias("h")), "seq", "left")
-        records = records.select("seq", "lote", "h", F.when(F.col("page").isNotNull(), F.xxhash64(F.lit("u"), F.col("page"))).alias("u")).withColumn("node", F.coalesce("h", "u"))
+        page = page.select("seq", "lote", F.when(F.col("page").isNotNull(), F.xxhash64(F.lit("u"), F.col("page"))).alias("u"))
+        records = page.join(cores.select("seq", h.alias("h")), "seq", "left").withColumn("node", F.coalesce("h", "u"))
         records = self._keep("records", records)
-        every, every_profile = self._with("keys", keys), self._with("profiles", profiles)
-        pairs, crowded = candidate_pairs(every, keys if self.batches else None)
+        every_profile = self._with("profiles", profiles)
+        every = keys.withColumn("new", F.lit(True))
+        if self.batches:
+            every = every.unionByName(self._all("keys").withColumn("new", F.lit(False)))
+        pairs, crowded = candidate_pairs(every)
         near = cut(self._scored(pairs, every_profile))
         crowded = cut(crowded)
         if not crowded.isEmpty():
@@ -352,7 +352,7 @@ class ArticleIndex:
         both = pairs.join(side("a"), "a").join(side("b"), "b").where("fixed_a = fixed_b")
         lost = F.greatest(F.size("soft_a"), F.size("soft_b")) - F.size(F.array_intersect("soft_a", "soft_b"))
         rare = F.size(F.array_intersect(F.slice("soft_a", 1, 4), F.slice("soft_b", 1, 4)))
-        rated = cut(both.select("a", "b", "core_a", "core_b", F.least(lost, F.lit(EDITS + 3)).alias("lost"), (4 - rare).alias("unlike"), F.least(F.abs(F.size("soft_a") - F.size("soft_b")), F.lit(3)).alias("longer")))
+        rated = store(both.select("a", "b", "core_a", "core_b", F.least(lost, F.lit(EDITS + 3)).alias("lost"), (4 - rare).alias("unlike"), F.least(F.abs(F.size("soft_a") - F.size("soft_b")), F.lit(3)).alias("longer")))
         fields = ["lost", "unlike", "longer"]
         patterns = [(tuple(r[f] for f in fields), float(r["n"])) for r in rated.groupBy(*fields).agg(F.count("*").alias("n")).collect()]
         weights = learn_weights(patterns)
