@@ -1,22 +1,474 @@
-"""Queries over the driver's tables, one per operator."""
+"""Queries over the driver's tables, one or more per operator.
+
+``noticias`` is the corpus, ``eventos_operativos`` the clustered events, ``fuentes`` the catalogue, ``anotaciones`` the
+annotation batch; the clock stands at NOW.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quipu.functions import dates, lexicon, numbers, text
+from quipu.operators import annotation, corpus, events, gates, metrics, models, ranking, temporal, timestamps
+from quipu.plans import pipeline, service
+from quipu.sources import catalogue
+
+FLAGSHIP = "rank_documents_topics"
+NOW = "2026-02-01 00:00:00"
 
-from quipu.operators import timestamps
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-FLAGSHIP = "p7_found"
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return timestamps.normalize_instants(table(spark, folder, "noticias"), table(spark, folder, "fuentes"))
+def now() -> Column:
+    return F.lit(NOW + "+00:00").cast("timestamp")
+
+
+def news(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "noticias")
+
+
+def dated(spark: SparkSession, folder: str) -> DataFrame:
+    return temporal.temporal_columns(news(spark, folder), now())
+
+
+def levelled(spark: SparkSession, folder: str) -> DataFrame:
+    """News with a stress level; whether the models agree isn't told in these tables."""
+    return news(spark, folder).withColumns({"stress_nivel": text.level(F.col("stress_score")), "coincidencia_modelos": F.lit(None).cast("boolean")})
+
+
+def content() -> Column:
+    return F.concat_ws(". ", "titulo", "texto")
+
+
+@query
+def p7_found(spark, folder):
+    return timestamps.normalize_instants(news(spark, folder), table(spark, folder, "fuentes"))
+
+
+@query
+def rank_documents_topics(spark, folder):
+    return ranking.rank_dimension(dated(spark, folder), "tema", hours=720.0)
+
+
+@query
+def rank_documents_indicators(spark, folder):
+    return ranking.rank_dimension(dated(spark, folder), "indicadores", hours=720.0, limit=15, labels=F.col("indicadores"))
+
+
+@query
+def rank_events_unwindowed(spark, folder):
+    return ranking.rank_events(table(spark, folder, "eventos_operativos"), "dominant_topic")
+
+
+@query
+def rank_events_windowed(spark, folder):
+    rows = table(spark, folder, "eventos_operativos").withColumn("age", dates.age_hours(now(), dates.instant(F.col("effective_at"))))
+    rows = rows.withColumn("period", temporal.period(F.col("age"), 2160.0))
+    return ranking.rank_events(rows.where("period = 'current'"), "dominant_topic", rows.where("period = 'previous'"), "age", 2160.0)
+
+
+@query
+def leader_topic(spark, folder):
+    return ranking.leader(rank_documents_topics(spark, folder)).select("name", "eligible")
+
+
+@query
+def temporal_policy(spark, folder):
+    return dated(spark, folder).select("seq", "published_at", "collected_at_normalized", "effective_at", "age_hours", "date_quality", "is_recent", "temporal_exclusion_reason")
+
+
+@query
+def temporal_audit(spark, folder):
+    return temporal.temporal_audit(dated(spark, folder))
+
+
+@query
+def operational_top(spark, folder):
+    rows = temporal.temporal_columns(news(spark, folder), now(), temporal.TemporalPolicy(recent_hours=720.0)).where("is_recent")
+    return rows.orderBy(F.desc_nulls_last("effective_at"), F.desc_nulls_last("stress_score"), "seq").limit(30).select("seq", "effective_at", "stress_score")
+
+
+@query
+def range_filter(spark, folder):
+    inside, outside = temporal.in_range(news(spark, folder), dates.instant(F.col("fecha")), F.lit("2025-09-01 00:00:00+00:00").cast("timestamp"), now())
+    return inside.select("seq", F.lit(True).alias("inside")).unionByName(outside.select("seq", F.lit(False).alias("inside")))
+
+
+@query
+def spanish_dates(spark, folder):
+    return news(spark, folder).select("seq", F.date_format(dates.spanish_date(F.col("fecha")), "yyyy-MM-dd HH:mm").alias("local_time")).where("local_time is not null")
+
+
+@query
+def monthly_macro_score(spark, folder):
+    return metrics.monthly_series(levelled(spark, folder), dates.instant(F.col("fecha")))
+
+
+@query
+def macro_score(spark, folder):
+    return metrics.macro_score(levelled(spark, folder))
+
+
+@query
+def optimism_index(spark, folder):
+    return metrics.optimism_index(levelled(spark, folder), F.concat_ws(" ", "titulo", "texto"))
+
+
+@query
+def frequency_table(spark, folder):
+    return metrics.frequency_table(news(spark, folder), "tono_consolidado")
+
+
+@query
+def indicator_frequency(spark, folder):
+    return metrics.list_frequency(news(spark, folder), F.col("indicadores"))
+
+
+@query
+def entity_top(spark, folder):
+    return metrics.list_frequency(news(spark, folder), F.col("entidades"), 5)
+
+
+@query
+def json_label_frequency(spark, folder):
+    return metrics.list_frequency(table(spark, folder, "anotaciones"), numbers.json_list(F.col("indicadores")))
+
+
+@query
+def source_breakdown(spark, folder):
+    return metrics.source_breakdown(levelled(spark, folder))
+
+
+@query
+def history_upsert(spark, folder):
+    rows = news(spark, folder).withColumn("date", F.date_format(dates.instant(F.col("collected_at")), "yyyy-MM-dd")).where("date is not null")
+    old = rows.where("lote <= 200").groupBy("date").agg(F.count("*").alias("documents"))
+    new = rows.where("lote > 150").groupBy("date").agg(F.count("*").alias("documents"), F.countDistinct("fuente").alias("sources"))
+    return corpus.upsert(old, new, "date")
+
+
+@query
+def title_keys(spark, folder):
+    t = F.col("titulo")
+    return news(spark, folder).select("seq", text.title_key(t).alias("title_key"), text.simple_title_key(t).alias("simple_key"), text.annotation_title_key(t).alias("annotation_key"))
+
+
+@query
+def url_keys(spark, folder):
+    return news(spark, folder).select("seq", text.normalize_url(F.col("url")).alias("url_key"), text.url_host(F.col("url")).alias("host"))
+
+
+@query
+def economic_scores(spark, folder):
+    return news(spark, folder).select("seq", text.economic_score(content()).alias("clean_score"), text.economic_score(content(), lexicon.COLLECT_TERMS).alias("collect_score"))
+
+
+@query
+def lexical_stress(spark, folder):
+    risk, relief = text.weigh(text.term_counts(content(), lexicon.RISK), lexicon.RISK), text.weigh(text.term_counts(content(), lexicon.RELIEF), lexicon.RELIEF)
+    rows = news(spark, folder).select("seq", risk.alias("risk"), relief.alias("relief"))
+    return rows.select("seq", "risk", "relief", text.stress(F.col("risk"), F.col("relief")).alias("stress")).withColumn("level", text.level(F.col("stress")))
+
+
+@query
+def optimism_terms(spark, folder):
+    counts = text.term_counts(F.concat_ws(" ", "titulo", "texto"), lexicon.OPTIMISM, whole=True)
+    return metrics.merged_counts(news(spark, folder).select(counts.alias("counts")), "counts")
+
+
+@query
+def entity_mentions(spark, folder):
+    return news(spark, folder).select("seq", F.explode(text.entities(content())).alias("entity"))
+
+
+@query
+def indicator_mentions(spark, folder):
+    return news(spark, folder).select("seq", F.explode(text.indicators(content())).alias("indicator"))
+
+
+@query
+def token_counts(spark, folder):
+    words = text.tokens(F.col("texto"))
+    return news(spark, folder).select("seq", F.size(words).alias("tokens"), F.length(text.classic_text(F.col("texto"))).alias("classic_length"), F.length(text.topic_text(F.col("texto"))).alias("topic_length"))
+
+
+@query
+def excluded_titles(spark, folder):
+    t = F.col("titulo")
+    return news(spark, folder).select("seq", text.excluded_title(t).alias("excluded"), text.generic_title(t).alias("generic"))
+
+
+@query
+def stable_ids(spark, folder):
+    made = text.document_id(F.col("fuente"), F.col("url"), F.col("titulo"))
+    return news(spark, folder).select("seq", made.alias("document_id"), text.annotation_id(F.col("id")).alias("annotation_id"))
+
+
+@query
+def event_ids(spark, folder):
+    of = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return news(spark, folder).groupBy("lote").agg(events.event_id(F.collect_list(F.array(of("url"), of("titulo"), of("fecha")))).alias("event_id"))
+
+
+@query
+def mojibake_repair(spark, folder):
+    rows = corpus.repair_strings(news(spark, folder).select("seq", "titulo", "fuente"), ["titulo", "fuente"])
+    return rows.select("seq", "titulo", "fuente")
+
+
+@query
+def repair_report(spark, folder):
+    rows = news(spark, folder).select("titulo", text.repair_text(F.col("titulo")).alias("fixed"))
+    return metrics.repair_report(rows, {"titulo": ("titulo", "fixed")})
+
+
+def _merged(spark, folder):
+    rows = news(spark, folder)
+    return corpus.merge_corpus(rows.where("lote <= 200"), rows.where("lote > 200"), "2026-02-01T00:00:00Z")
+
+
+@query
+def corpus_merge(spark, folder):
+    return _merged(spark, folder).select("seq", "id", "url", "economic_score", "source_weight", "source_type")
+
+
+@query
+def clean_dedup(spark, folder):
+    return corpus.clean_corpus(news(spark, folder)).select("seq", "score_recalculado")
+
+
+@query
+def greedy_dedup(spark, folder):
+    return corpus.greedy_deduplicate(news(spark, folder)).select("seq")
+
+
+@query
+def best_by_title(spark, folder):
+    return corpus.best_for_annotation(news(spark, folder)).select("seq", "source_weight", "economic_score")
+
+
+@query
+def backfill_metadata(spark, folder):
+    return corpus.backfill_metadata(news(spark, folder), table(spark, folder, "fuentes")).select("seq", "source_type", "department", "scope", "source_weight")
+
+
+@query
+def unknown_sources(spark, folder):
+    return corpus.unknown_sources(news(spark, folder), table(spark, folder, "fuentes"))
+
+
+@query
+def union_evolve(spark, folder):
+    a = news(spark, folder).select("seq", "fuente", "tema")
+    b = table(spark, folder, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("fuente"), "lang")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query
+def anti_join(spark, folder):
+    return news(spark, folder).join(table(spark, folder, "anotaciones").select("id"), "id", "left_anti").select("seq", "id")
+
+
+@query
+def semi_join(spark, folder):
+    return news(spark, folder).join(table(spark, folder, "anotaciones").select("id"), "id", "left_semi").select("seq", "id")
+
+
+@query
+def per_source_cap(spark, folder):
+    return corpus.cap_per_source(news(spark, folder).where("fuente is not null"), 20).select("fuente", "seq")
+
+
+def _operational(spark, folder):
+    rows = temporal.temporal_columns(news(spark, folder), now(), temporal.TemporalPolicy(recent_hours=240.0))
+    return rows.where("is_recent")
+
+
+@query
+def tfidf_weights(spark, folder):
+    rows = events.tfidf(_operational(spark, folder), "seq", events.document_text())
+    return rows.groupBy(F.col("key").alias("seq")).agg(F.count("*").alias("terms"), numbers.round2(F.sum("w") * 100).alias("weight"))
+
+
+@query
+def event_clusters(spark, folder):
+    return events.cluster_news(_operational(spark, folder)).select("seq", "event_id", "event_size")
+
+
+@query
+def event_summary(spark, folder):
+    return events.summarize_events(events.cluster_news(_operational(spark, folder)))
+
+
+@query
+def event_payload(spark, folder):
+    rows = table(spark, folder, "eventos_operativos")
+    return events.event_payload(rows, rows.select(F.explode(F.sequence(F.lit(1), F.greatest("documents", F.lit(1))))))
+
+
+@query
+def dominant_topic(spark, folder):
+    return events.dominant(news(spark, folder).where("fuente is not null"), "fuente", text.missing(F.trim("tema")), "tema")
+
+
+@query
+def representative_documents(spark, folder):
+    rows = news(spark, folder).withColumns({"event_id": F.col("lote").cast("string"), "effective_at": F.col("collected_at")})
+    return events.representative(rows).select("event_id", "seq")
+
+
+@query
+def quota_sample(spark, folder):
+    return annotation.quota_sample(news(spark, folder), "fuente", "seq", 200).select("fuente", "seq")
+
+
+@query
+def stratified_split(spark, folder):
+    rows = news(spark, folder).where("tono_consolidado is not null")
+    return annotation.stratified_split(rows, "tono_consolidado", "seq").select("seq", "split")
+
+
+@query
+def annotation_batch(spark, folder):
+    return annotation.build_batch(news(spark, folder)).select("annotation_id", "id")
+
+
+@query
+def annotation_corpus(spark, folder):
+    return annotation.prepare_corpus(news(spark, folder)).select("id", "titulo", "source_weight")
+
+
+@query
+def annotation_status(spark, folder):
+    return annotation.status(table(spark, folder, "anotaciones"))
+
+
+@query
+def annotation_pending(spark, folder):
+    return annotation.state(table(spark, folder, "anotaciones"), "pending").select("annotation_id", "id", "sentimiento")
+
+
+@query
+def annotation_page(spark, folder):
+    return annotation.page(table(spark, folder, "anotaciones").select("annotation_id", "id").distinct(), [F.col("annotation_id"), F.col("id")], 50, 25)
+
+
+@query
+def annotation_update(spark, folder):
+    rows = table(spark, folder, "anotaciones")
+    return annotation.update(rows, "annotation_id", "ann-000000010", {"sentimiento": "negativo", "duda": 1}).select("annotation_id", "id", "sentimiento", "duda", "fecha_anotacion")
+
+
+def _bayes(spark, folder):
+    rows = news(spark, folder).where("tono_consolidado is not null and titulo is not null")
+    tf = models.terms(rows, "seq", F.col("titulo"))
+    vectors = models.weights(tf, models.vocabulary(tf))
+    return vectors, rows.select(F.col("seq").alias("key"), F.col("tono_consolidado").alias("label"))
+
+
+@query
+def nb_parameters(spark, folder):
+    vectors, labels = _bayes(spark, folder)
+    theta, _ = models.nb_train(vectors, labels)
+    return theta.select("label", "term", numbers.round2(F.col("theta")).alias("theta"))
+
+
+@query
+def nb_predictions(spark, folder):
+    vectors, labels = _bayes(spark, folder)
+    theta, prior = models.nb_train(vectors, labels)
+    return models.nb_predict(vectors, theta, prior).select(F.col("key").alias("seq"), "label", numbers.round2(F.col("probability")).alias("probability"))
+
+
+@query
+def lda_topics(spark, folder):
+    rows = news(spark, folder).where("texto is not null")
+    fitted = models.topic_fit(rows, F.col("texto"), iterations=5)
+    return models.topic_words(fitted)
+
+
+_ORDER = ["favorable", "neutral", "desfavorable"]
+
+
+def _judged(spark, folder):
+    tone = F.when(F.col("stress_score") >= 60, "desfavorable").when(F.col("stress_score") < 45, "favorable").otherwise("neutral")
+    return news(spark, folder).where("tono_consolidado is not null and stress_score is not null").select(F.col("tono_consolidado").alias("label"), tone.alias("said"))
+
+
+@query
+def confusion_matrix(spark, folder):
+    return metrics.confusion_matrix(_judged(spark, folder), "label", "said", _ORDER)
+
+
+@query
+def class_report(spark, folder):
+    return metrics.class_report(_judged(spark, folder), "label", "said", _ORDER)
+
+
+@query
+def macro_report(spark, folder):
+    return metrics.macro_report(_judged(spark, folder), "label", "said", _ORDER)
+
+
+@query
+def consolidated_tone(spark, folder):
+    rows = table(spark, folder, "anotaciones").select("annotation_id", "id", F.lower(F.trim("sentimiento")).alias("primero"), F.when(F.col("duda") == 0, F.lower(F.trim("sentimiento"))).alias("segundo"))
+    return models.consolidate(rows, "primero", "segundo").select("annotation_id", "id", "etiqueta_consolidada", "coincidencia_modelos", "tono_consolidado")
+
+
+@query
+def catalogue_violations(spark, folder):
+    return catalogue.violations(table(spark, folder, "fuentes"), "fuente_id")
+
+
+@query
+def collection_report(spark, folder):
+    return catalogue.collection_report(table(spark, folder, "fuentes"), news(spark, folder))
+
+
+@query
+def pipeline_gate(spark, folder):
+    rows = news(spark, folder)
+    return gates.pipeline_gate(rows, rows.where("length(titulo) >= 20"))
+
+
+@query
+def event_gate(spark, folder):
+    rows = table(spark, folder, "eventos_operativos")
+    return gates.event_gate(rows, rows.select("event_id"), rows)
+
+
+@query
+def daily_pipeline(spark, folder):
+    """The whole day's run over the corpus, its gates as result."""
+    rows = news(spark, folder).withColumn("entidades", F.lit(None)).drop("entidades", "indicadores", "stress_score")
+    done = pipeline.daily(rows.where("lote <= 200"), rows.where("lote > 200"), "2026-02-01T00:00:00Z", now())
+    return done.gates
+
+
+@query
+def service_events(spark, folder):
+    return service.event_list(table(spark, folder, "eventos_operativos").distinct(), 50, 2).select("event_id", "unique_sources", "documents", "maximum_stress", "effective_at")
+
+
+@query
+def service_emerging(spark, folder):
+    rows = dated(spark, folder)
+    return service.emerging({"tema": ranking.rank_dimension(rows, "tema", hours=720.0), "indicadores": ranking.rank_dimension(rows, "indicadores", hours=720.0, labels=F.col("indicadores"))}).select("dimension", "name", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_found": p7_found}
+@query
+def service_analyze(spark, folder):
+    return service.batch_summary(service.analyze(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("texto"))))
