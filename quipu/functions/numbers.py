@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Within bounds; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def round2(c: Column) -> Column:
@@ -55,7 +56,7 @@ def json_list(c: Column, keep_malformed: bool = False) -> Column:
     """Texts of a JSON array, trimmed, blanks dropped.  What isn't an array gives an empty list, or, if malformed text is
     kept, itself as only item unless it is valid JSON of another kind."""
     items = F.from_json(c, "array<string>")
-    clean = F.filter(F.transform(items, F.trim), lambda x: x.isNotNull() & (x != ""))
+    clean = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     empty = F.array().cast("array<string>")
     if not keep_malformed:
         return F.coalesce(clean, empty)

@@ -72,7 +72,7 @@ def rank_events(events: DataFrame, column: str, previous: DataFrame | None = Non
     hours_old = F.lit(None).cast("double") if age is None else F.col(age).cast("double")
     total = events.agg(F.count("*").alias("total"))
     rows = events.select(label.alias("name"), numbers.json_list(F.col("sources")).alias("__sources"), F.col("average_stress").cast("double").alias("__stress"), hours_old.alias("__age")).where("name is not null")
-    stats = rows.groupBy("name").agg(F.count("*").alias("current"), F.avg(F.exp(-F.greatest(F.col("__age"), F.lit(0.0)) / hours)).alias("recency"), F.avg("__stress").alias("average_stress"))
+    stats = rows.groupBy("name").agg(F.count("*").alias("current"), F.avg(F.when(F.col("__age").isNotNull(), F.exp(-F.greatest(F.col("__age"), F.lit(0.0)) / hours))).alias("recency"), F.avg("__stress").alias("average_stress"))
     union = rows.select("name", F.explode("__sources").alias("s")).groupBy("name").agg(F.countDistinct("s").alias("sources"))
     stats = stats.join(union, "name", "left").fillna(0, ["sources"])
     if previous is None:
