@@ -23,8 +23,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_LABELLED = 6000
-SAMPLE_PLAIN = 6000
+SAMPLE_LABELLED = 4000
+SAMPLE_PLAIN = 4000
 #: Words (and pairs of neighbours) of a sentence that go into mining, those that tell areas apart best.
 MOST_ITEMS = 6
 LEAST_COUNT = 4
@@ -96,30 +96,57 @@ class Rules:
             self.curve = ([float("-inf")] + [p[0] for p in pools], [pools[0][1] / pools[0][2]] + [p[1] / p[2] for p in pools])
 
 
-def mine(spark, told: list[tuple[set[str], tuple[str, ...]]]) -> Rules:
+class Told:
+    """Sentences as tuples of item numbers, with the areas told of them; the driver holds no more than this."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.names: list[str] = []
+        self.rows: list[tuple[tuple[int, ...], tuple[str, ...]]] = []
+
+    def add(self, sentence: str, areas: tuple[str, ...]) -> None:
+        own = []
+        for w in items(sentence):
+            k = self.numbers.get(w)
+            if k is None:
+                k = self.numbers[w] = len(self.names)
+                self.names.append(w)
+            own.append(k)
+        self.rows.append((tuple(own), areas))
+
+    def words(self, row: tuple[int, ...]) -> set[str]:
+        return {self.names[k] for k in row}
+
+
+def mine(spark, told: Told, rows: list[tuple[tuple[int, ...], tuple[str, ...]]]) -> Rules:
     """Rules from (items, areas) of sentences; areas may be none."""
     total, by = Counter(), defaultdict(Counter)
     prior: Counter = Counter()
-    for have, areas in told:
+    for have, areas in rows:
         total.update(have)
         for a in areas:
             by[a].update(have)
             prior[a] += 1
-    n = max(1, len(told))
+    n = max(1, len(rows))
     base = {a: min(0.95, max(0.001, c / n)) for a, c in prior.items()}
     odds = lambda p: log((p + 1e-3) / (1 - p + 1e-3))
     tells = {w: max((odds((by[a][w] + 0.5) / (c + 1.0)) - odds(base[a]) for a in prior), default=0.0) for w, c in total.items() if c >= LEAST_COUNT}
-    rows = [(sorted(sorted((w for w in have if tells.get(w, 0.0) > 0.5), key=lambda w: (-tells[w], w))[:MOST_ITEMS]) + [f"={a}" for a in areas],) for have, areas in told]
-    rows = [r for r in rows if r[0]]
-    if not rows:
+    del by, total
+    best = lambda have: sorted((w for w in have if tells.get(w, 0.0) > 0.5), key=lambda w: (-tells[w], told.names[w]))[:MOST_ITEMS]
+    kept = ((" ".join(map(str, sorted(best(have)))), areas) for have, areas in rows)
+    lines = [words + "".join(f" ={a}" for a in areas) for words, areas in kept if words]
+    if not lines:
         return Rules([])
-    frame = spark.createDataFrame(rows, "items array<string>")
-    model = FPGrowth(itemsCol="items", minSupport=LEAST_COUNT / len(rows), minConfidence=LEAST_CONFIDENCE).fit(frame)
+    frame = spark.createDataFrame(pd.DataFrame({"line": lines})).select(F.split("line", " ").alias("items"))
+    count = len(lines)
+    model = FPGrowth(itemsCol="items", minSupport=LEAST_COUNT / count, minConfidence=LEAST_CONFIDENCE).fit(frame)
     of_area = model.associationRules.where("consequent[0] like '=%' and not exists(antecedent, x -> x like '=%')")
-    found = [(frozenset(r["antecedent"]), r["consequent"][0][1:], r["confidence"], r["support"] * len(rows)) for r in of_area.select("antecedent", "consequent", "confidence", "support").collect()]
     # confidence shrunk towards the area's share, so that rare words aren't trusted beyond their count
-    sure = {(w, a): (c * (k / c) + 2 * base[a]) / (k / c + 2) for w, a, c, k in found}
-    kept = []
+    sure = {}
+    for r in of_area.select("antecedent", "consequent", "confidence", "support").toLocalIterator():
+        a, c, k = r["consequent"][0][1:], r["confidence"], r["support"] * count
+        sure[frozenset(int(x) for x in r["antecedent"]), a] = (k + 2 * base[a]) / (k / c + 2)
+    out = []
     for (w, a), c in sure.items():
         parts = [w - {x} for x in w] if len(w) > 1 else []
         if len(w) > 2:
@@ -127,17 +154,8 @@ def mine(spark, told: list[tuple[set[str], tuple[str, ...]]]) -> Rules:
         if not any(sure.get((p, a), -1.0) >= c - 0.02 for p in parts) and c > base[a]:
             weight = odds(c) - odds(base[a])
             if weight > 0.3:
-                kept.append((w, a, weight))
-    return Rules(kept)
-
-
-def _judge(rules: Rules, told: list[tuple[set[str], tuple[str, ...]]]) -> None:
-    cases = []
-    for have, areas in told:
-        area, lead = rules.score(have)
-        if area is not None:
-            cases.append((lead, area in areas))
-    rules.calibrate(cases)
+                out.append((frozenset(told.names[x] for x in w), a, weight))
+    return Rules(out)
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Rules:
@@ -146,19 +164,33 @@ def learn(documents: DataFrame, labels: DataFrame) -> Rules:
     marks = labels.where("doc_id is not null and trim(area) <> ''").groupBy("doc_id").agg(F.collect_set(F.lower(F.trim("area"))).alias("areas"))
     order = F.xxhash64(F.lit("areas"), "doc_id")
     texts = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
-    one = texts.join(marks, "doc_id").orderBy(order, "doc_id").limit(SAMPLE_LABELLED).collect()
-    plain = texts.join(marks, "doc_id", "left_anti").where(F.pmod(order, F.lit(8)) == 0).orderBy(order, "doc_id").limit(SAMPLE_PLAIN).collect()
-    told = [([items(s) for s in sentences(r["text"])], tuple(sorted(r["areas"]))) for r in one]
-    fit = [(s, a) for i, (ss, a) in enumerate(told) if i % 4 for s in ss]
-    held = [(s, a) for i, (ss, a) in enumerate(told) if not i % 4 for s in ss]
-    rules = mine(spark, fit)
-    _judge(rules, held)
+    one = texts.join(marks, "doc_id").orderBy(order, "doc_id").limit(SAMPLE_LABELLED)
+    plain = texts.join(marks, "doc_id", "left_anti").orderBy(order, "doc_id").limit(SAMPLE_PLAIN)
+    told = Told()
+    held_from: list[bool] = []
+    for i, r in enumerate(one.toLocalIterator()):
+        for s in sentences(r["text"]):
+            told.add(s, tuple(sorted(r["areas"])))
+            held_from.append(i % 4 == 0)
+    labelled = len(told.rows)
+    held = [x for x, h in zip(told.rows, held_from) if h]
+    fit = [x for x, h in zip(told.rows, held_from) if not h]
+
+    def judge(rules: Rules) -> None:
+        cases = ((rules.score(told.words(have)), areas) for have, areas in held)
+        rules.calibrate([(lead, area in areas) for (area, lead), areas in cases if area is not None])
+
+    rules = mine(spark, told, fit)
+    judge(rules)
+    for r in plain.toLocalIterator():
+        for s in sentences(r["text"]):
+            told.add(s, ())
     again = []
-    for s in [s for i, (ss, _) in enumerate(told) if i % 4 for s in ss] + [items(s) for r in plain for s in sentences(r["text"])]:
-        area, lead = rules.score(s)
-        again.append((s, (area,) if area is not None and rules.sure(lead) >= VERY_SURE else ()))
-    better = mine(spark, again)
-    _judge(better, held)
+    for have, _ in fit + told.rows[labelled:]:
+        area, lead = rules.score(told.words(have))
+        again.append((have, (area,) if area is not None and rules.sure(lead) >= VERY_SURE else ()))
+    better = mine(spark, told, again)
+    judge(better)
     return better if better.by else rules
 
 
