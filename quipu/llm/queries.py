@@ -29,7 +29,7 @@ def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.restored_fields(table(spark, folder, "noticias"), TEXTS).select("seq", "campo", "restored")
 
 
-def _best(spark: SparkSession, folder: str) -> DataFrame:
+def _best(spark: SparkSession, folder: str, retained: bool) -> DataFrame:
     items = table(spark, folder, "noticias")
     weight = F.when(~F.isnan("source_weight"), F.col("source_weight"))
     rules = {
@@ -37,15 +37,15 @@ def _best(spark: SparkSession, folder: str) -> DataFrame:
         "economic_score": (F.col("economic_score"), [F.col("economic_score")]),
         "url": (F.when(linking.page_key(F.col("url")).isNotNull(), F.col("url")), [weight]),
     }
-    return fusion.fuse(items, linking.articles(items), rules)
+    return fusion.fuse(items, linking.articles(items), rules, retained=retained)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _best(spark, folder).select("grupo", "campo", "seq")
+    return _best(spark, folder, False).select("grupo", "campo", "seq")
 
 
 def p1_fused(spark: SparkSession, folder: str) -> DataFrame:
-    return _best(spark, folder)
+    return _best(spark, folder, True)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
