@@ -17,6 +17,7 @@ import itertools
 import math
 import unicodedata
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -84,12 +85,17 @@ def _forms(titles: DataFrame) -> DataFrame:
     head = r"(?s)^\s*(?:[(\[]([^)\]]{1,40})[)\]]|(.{1,40}?)\s*" + _SEPARATOR + r"(?=\s))\s*(\S.*)$"
     tail = r"(?s)^(.*\S)\s*(?:[(\[]([^)\]]{1,50})[)\]]|\s" + _SEPARATOR.replace(r"\s-\s", "-") + r"\s+([^|–—]{1,50}?))\s*$"
     part = lambda c, p, *i: F.concat(*[F.regexp_extract(c, p, k) for k in i])
-    no_pre = F.when(F.col("title").rlike(head), part(F.col("title"), head, 3))
-    df = titles.withColumns({"no_pre": no_pre, "pre": part(F.col("title"), head, 1, 2)})
-    cut_ = lambda c: F.when(F.col(c).rlike(tail), part(F.col(c), tail, 1))
-    df = df.withColumns({"no_suf": cut_("title"), "no_both": cut_("no_pre"), "suf": part(F.col("title"), tail, 2, 3)})
-    spelled = {c: spell(F.col(c)) for c in ("title", "no_pre", "no_suf", "no_both")}
-    return df.withColumns(spelled | {"pre": fold(spell(F.col("pre"))), "suf": fold(spell(F.col("suf")))})
+    # most headlines have no separator, and a pattern that doesn't match leaves the text as it is
+    some = F.col("title").rlike(r"[:|–—»/(\[]|\s-\s")
+    rest = lambda c, p, group: F.when(some, F.nullif(F.regexp_replace(c, p, group), c))
+    df = titles.withColumns({"no_pre": rest(F.col("title"), head, "$3"), "no_suf": rest(F.col("title"), tail, "$1")})
+    df = df.withColumns({
+        "no_both": F.when(F.col("no_pre").isNotNull() & F.col("no_suf").isNotNull(), rest(F.col("no_pre"), tail, "$1")),
+        "pre": F.when(F.col("no_pre").isNotNull(), part(F.col("title"), head, 1, 2)), "suf": F.when(F.col("no_suf").isNotNull(), part(F.col("title"), tail, 2, 3))})
+    there = lambda c, made: F.when(F.col(c).isNotNull(), made)
+    spelled = {c: there(c, spell(F.col(c))) for c in ("title", "no_pre", "no_suf", "no_both")}
+    df = df.withColumns(spelled | {c: F.coalesce(there(c, fold(spell(F.col(c)))), F.lit("")) for c in ("pre", "suf")})
+    return df.withColumn("folded", fold(F.col("title")))
 
 
 def learn_affixes(forms: DataFrame, sites: DataFrame) -> DataFrame:
@@ -99,7 +105,7 @@ def learn_affixes(forms: DataFrame, sites: DataFrame) -> DataFrame:
         F.struct(F.lit("suf").alias("side"), F.col("suf").alias("segment"), fold(F.col("no_suf")).alias("rest")),
     ))
     pairs = forms.where("pre <> '' or suf <> ''").select(some).where("segment <> '' and rest <> ''").distinct()
-    alone = forms.select(fold(F.col("title")).alias("rest")).distinct().withColumn("alone", F.lit(1))
+    alone = forms.select(F.col("folded").alias("rest")).distinct().withColumn("alone", F.lit(1))
     hits = pairs.join(alone, "rest", "left").groupBy("side", "segment").agg(F.count("*").alias("n"), F.coalesce(F.sum("alone"), F.lit(0)).alias("alone"))
     names = sites.select(fold(spell(F.col("site"))).alias("segment")).where("segment <> ''").distinct()
     names = names.select(F.explode(F.array(F.lit("pre"), F.lit("suf"))).alias("side"), "segment")
@@ -120,7 +126,8 @@ def _cores(forms: DataFrame, affixes: DataFrame, skeletons: DataFrame) -> DataFr
     for s in ("pre", "suf"):
         df = df.join(small(side(s), BROADCAST_ROWS), s, "left")
     raw = F.when(F.col("is_pre") & F.col("is_suf"), F.coalesce("no_both", "no_pre")).when(F.col("is_pre"), F.col("no_pre")).when(F.col("is_suf"), F.col("no_suf")).otherwise(F.col("title"))
-    df = df.select("seq", raw.alias("raw")).withColumn("core", fold(F.col("raw")))
+    df = df.select("seq", raw.alias("raw"), (F.col("is_pre") | F.col("is_suf")).alias("other"), "folded")
+    df = df.select("seq", "raw", F.when(F.col("other"), fold(F.col("raw"))).otherwise(F.col("folded")).alias("core"))
     lost = df.where(F.col("core").contains("�"))
     words = lost.select("seq", F.posexplode(F.split("core", " ")).alias("i", "skeleton")).join(skeletons, "skeleton", "left")
     mended = words.groupBy("seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("word", "skeleton").alias("w")))), lambda x: x["w"]), " ").alias("mended"))
@@ -128,11 +135,25 @@ def _cores(forms: DataFrame, affixes: DataFrame, skeletons: DataFrame) -> DataFr
 
 
 def learn_words(cores: DataFrame) -> DataFrame:
-    """``(word, n, fixed)``: frequency, and whether a word may not differ (numbers and parts of names)."""
-    one = cores.groupBy("core").agg(F.max_by("raw", (F.col("raw") != F.upper("raw")).cast("int")).alias("raw"))
-    words = one.select("raw", F.posexplode(F.arrays_zip(F.split("core", " ").alias("w"), F.split("raw", " ").alias("r"))).alias("i", "x"), F.size(F.expr(r"regexp_extract_all(raw, '(?:^| )\\p{Lu}', 0)")).alias("caps"), F.size(F.split("raw", " ")).alias("size"))
-    told = (F.col("i") > 0) & (F.col("caps") < 0.6 * F.col("size"))
-    found = words.groupBy(F.col("x.w").alias("word")).agg(F.count("*").alias("n"), F.count_if(told).alias("told"), F.count_if(told & F.col("x.r").rlike(r"^\p{Lu}")).alias("caps"))
+    """``(word, n, fixed)``: frequency, and whether a word may not differ (numbers and parts of names).
+
+    A word is part of a name if it is mostly capitalised inside headlines that aren't capitalised throughout.  Each
+    batch is counted before the words are shuffled.
+    """
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            n, told, caps = Counter(), Counter(), Counter()
+            for core, raw in zip(part["core"], part["raw"]):
+                words, written = core.split(" "), raw.split(" ")
+                n.update(words)
+                upper = [w[:1].isupper() for w in written]
+                if sum(upper) < 0.6 * len(written):
+                    told.update(words[1:])
+                    caps.update(w for w, u in zip(words[1:], upper[1:]) if u)
+            yield pd.DataFrame([(w, k, told[w], caps[w]) for w, k in n.items()], columns=["word", "n", "told", "caps"])
+
+    found = cores.select("core", "raw").mapInPandas(count, "word string, n bigint, told bigint, caps bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("told").alias("told"), F.sum("caps").alias("caps"))
     name = (F.col("told") >= 2) & (F.col("caps") >= NAME_SHARE * F.col("told"))
     return found.where("word is not null").select("word", "n", (name | F.col("word").rlike("[0-9]")).alias("fixed"))
 
