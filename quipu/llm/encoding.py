@@ -17,6 +17,7 @@ result is a table of replacements that is then applied to every text.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,7 @@ BACKOFF = 0.02
 LOCAL_ROWS = 400_000
 #: Replacements are broadcast up to this many rows (under 100 bytes each); beyond that they are joined.
 BROADCAST_ROWS = 300_000
-#: Characters between which a symbol is judged; the text's ends count as line ends.
-_PLACE = r"(?s)(?<=(.|^))([^\x00-\x7f]+)(?=(.|$))"
+_RUN = re.compile("[^\\x00-\\x7f]+")
 _CANDIDATES = ArrayType(StructType([StructField("key", StringType()), StructField("true", StringType())]))
 
 
@@ -91,16 +91,12 @@ def _readings(symbols: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda u: [{"key": k, "true": t} for k, t in readings(u, tables)])
 
 
-def places(c: Column) -> Column:
-    """Array of ``left \\u0002 symbol \\u0002 right`` for every run of non-ASCII characters."""
-    marked = F.regexp_replace(F.coalesce(c, F.lit("")), _PLACE, "\u0001$1\u0002$2\u0002$3\u0001")
-    return F.filter(F.split(marked, "\u0001"), lambda x: x.contains("\u0002"))
-
-
-def _split(df: DataFrame, c: str) -> DataFrame:
-    bit = F.split(F.col(c), "\u0002")
-    ends = lambda x: F.when(x.isin("", "\r"), "\n").otherwise(x)
-    return df.withColumns({"left": ends(bit[0]), "symbol": bit[1], "right": ends(bit[2])})
+def places(text: str) -> Iterator[tuple[str, str, str]]:
+    """(left, symbol, right) of every run of non-ASCII characters; the text's ends count as line ends."""
+    for m in _RUN.finditer(text):
+        i, j = m.span()
+        left, right = text[i - 1 : i] or "\n", text[j : j + 1] or "\n"
+        yield "\n" if left == "\r" else left, m.group(), "\n" if right == "\r" else right
 
 
 def _class(c: Column) -> Column:
@@ -109,10 +105,23 @@ def _class(c: Column) -> Column:
 
 
 def count_places(items: DataFrame, columns: list[str], source: str = "fuente") -> DataFrame:
-    """``(source, left, symbol, right, n)``: how often each symbol stands in each place; tables of parts of a corpus add up."""
-    bits = F.explode(F.concat(*[places(F.col(c)) for c in columns])).alias("bit")
-    counts = items.select(F.coalesce(name_key(F.col(source)), F.lit("")).alias("source"), bits).groupBy("source", "bit").agg(F.count("*").alias("n"))
-    return _split(counts, "bit").groupBy("source", "left", "symbol", "right").agg(F.sum("n").alias("n"))
+    """``(source, left, symbol, right, n)``: how often each symbol stands in each place; tables of parts of a corpus add up.
+
+    Each batch of texts is counted before anything is shuffled.
+    """
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            n: Counter = Counter()
+            for c in columns:
+                for s, text in zip(part["__source"], part[c]):
+                    if text and not text.isascii():
+                        n.update((s, *p) for p in places(text))
+            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["source", "left", "symbol", "right", "n"])
+
+    rows = items.select(F.coalesce(name_key(F.col(source)), F.lit("")).alias("__source"), *columns)
+    counts = rows.mapInPandas(count, "source string, left string, symbol string, right string, n bigint")
+    return counts.groupBy("source", "left", "symbol", "right").agg(F.sum("n").alias("n"))
 
 
 def learn(items: DataFrame, columns: list[str], source: str = "fuente", rounds: int = ROUNDS) -> DataFrame:
@@ -250,11 +259,36 @@ def _fields(items: DataFrame, columns: list[str], source: str, key: str) -> Data
 
 
 def _judged(items: DataFrame, learned: DataFrame, columns: list[str], source: str, key: str) -> DataFrame:
-    """``(key, campo, place, symbol, true)`` of the symbols that stand for something else."""
-    by = ["source", "left", "symbol", "right"]
-    wrong = F.broadcast(learned) if bounded(learned, BROADCAST_ROWS) else learned
-    bits = _fields(items, columns, source, key).select(key, "source", "campo", F.posexplode(places(F.col("text"))).alias("place", "bit"))
-    return _split(bits, "bit").join(wrong, by).select(key, "campo", "place", "symbol", "true")
+    """``(key, campo, place, true)`` of the symbols that stand for something else."""
+    kind = items.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, campo string, place int, true string"
+    rows = items.select(F.col(key), F.coalesce(name_key(F.col(source)), F.lit("")).alias("__source"), *columns)
+    if bounded(learned, BROADCAST_ROWS):
+        known = {(r["source"], r["left"], r["symbol"], r["right"]): r["true"] for r in learned.toLocalIterator()}
+        shared = items.sparkSession.sparkContext.broadcast(known)
+
+        def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            table = shared.value
+            symbols = {k[2] for k in table}
+            for part in parts:
+                out = []
+                for c in columns:
+                    for k, s, text in zip(part[key], part["__source"], part[c]):
+                        if text and not text.isascii():
+                            for i, (left, symbol, right) in enumerate(places(text)):
+                                if symbol in symbols and (s, left, symbol, right) in table:
+                                    out.append((k, c, i, table[s, left, symbol, right]))
+                yield pd.DataFrame(out, columns=[key, "campo", "place", "true"])
+
+        return rows.mapInPandas(judge, schema)
+
+    def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = [(k, c, i, s, *p) for c in columns for k, s, text in zip(part[key], part["__source"], part[c]) if text and not text.isascii() for i, p in enumerate(places(text))]
+            yield pd.DataFrame(out, columns=[key, "campo", "place", "source", "left", "symbol", "right"])
+
+    each = rows.mapInPandas(spread, f"`{key}` {kind}, campo string, place int, source string, left string, symbol string, right string")
+    return each.join(learned, ["source", "left", "symbol", "right"]).select(key, "campo", "place", "true")
 
 
 def damaged_fields(items: DataFrame, columns: list[str], source: str = "fuente", key: str = "seq") -> DataFrame:
