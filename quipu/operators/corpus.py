@@ -175,3 +175,23 @@ def relevant(df: DataFrame, terms: list[str] = lexicon.COLLECT_TERMS, least: int
     score = text.economic_score(F.concat_ws(" ", "titulo", "texto"), terms)
     rows = df.where((text.normalize_space(F.col("titulo")) != "") & ~text.generic_title(F.col("titulo")) & (F.length("texto") >= body))
     return rows.withColumn("economic_score", score).where(F.col("economic_score") >= least)
+
+
+def find(df: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of one key; none if there is no such key."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def clean_order(df: DataFrame) -> DataFrame:
+    """Most relevant first, then by source, title and arrival."""
+    return df.orderBy(F.desc("score_recalculado"), "fuente", "titulo", "seq")
+
+
+def merge_order(df: DataFrame) -> DataFrame:
+    """Latest collected first, then by source, title and arrival."""
+    return df.orderBy(F.desc_nulls_last("collected_at"), "fuente", "titulo", "seq")
+
+
+def drop_incomplete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have a value in every one of the columns."""
+    return df.dropna(subset=columns)

@@ -291,3 +291,28 @@ SQL["service_emerging"] = (
     "select * from (select 'tema' as dimension, name, score from (" + SQL["rank_documents_topics"] + ") where momentum = 'emergente' union all "
     "select 'indicadores', name, score from (" + _rank_documents("indicadores", 720.0, 10) + ") where momentum = 'emergente') order by score desc, dimension, name limit 20"
 )
+
+_CLEANED = _clean_text("texto")
+SQL |= {
+    "clean_top": f"with {_CLEAN} select seq, score_recalculado from c1 order by score_recalculado desc, fuente nulls first, titulo nulls first, seq limit 50",
+    "complete_rows": "select seq from noticias where titulo is not null and texto is not null and tema is not null",
+    "point_lookup": "select annotation_id, id, sentimiento from anotaciones where annotation_id = 'ann-000000010'",
+    "momentum_values": "select distinct event_id, documents as now, unique_sources as before, greatest(0, least(1, (log2((documents + 1) / (unique_sources + 1)::double) + 2) / 4)) as momentum, (documents + 1) / (unique_sources + 1)::double as ratio, case when (documents + 1) / (unique_sources + 1)::double >= 1.5 then 'emergente' when (documents + 1) / (unique_sources + 1)::double <= 0.70 then 'en descenso' else 'estable' end as label from eventos_operativos",
+    "number_coercion": "select seq, case when isnan(coalesce(try_cast(fecha as double), -1)) then -1.0 else coalesce(try_cast(fecha as double), -1) end as as_number, case when source_weight is null or isnan(source_weight) then 0.5 else greatest(0, least(0.75, source_weight)) end as weight from noticias",
+    "plain_texts": f"select seq, translate({_norm("regexp_replace(regexp_replace(lower(coalesce(titulo, '')), 'https?://[^ ]+|www[.][^ ]+', ' ', 'g'), '[^a-záéíóúüñ ]', ' ', 'g')")}, 'áéíóúüñ', 'aeiouun') as plain from noticias",
+    "absolute_urls": "select seq, case when regexp_matches(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*:') then trim(url) when trim(url) like '//%' then 'https:' || trim(url) when trim(url) like '/%' then 'https://www.x.example' || trim(url) else 'https://www.x.example/a/' || regexp_replace(trim(url), '^[.]/', '') end as absolute from noticias where url is not null and trim(url) <> ''",
+    "label_shares": f"select fuente, count(*) as total, {_pct("count(*) filter (lower(trim(sentimiento)) = 'negativo')", 'count(*)')} as negative_share from anotaciones where fuente is not null group by fuente",
+    "token_counts": f"""with c as (select seq, regexp_extract_all({_CLEANED}, '[a-záéíóúüñ]+|\\d+%?') as tk from noticias)
+select seq, len(tk) as tokens, length(array_to_string([t for t in tk if t not in ({", ".join(_q(s) for s in lexicon.STOPWORDS)})], ' ')) as classic_length,
+length(array_to_string([t for t in tk if t not in ({", ".join(_q(s) for s in lexicon.TOPIC_STOPWORDS)}) and not regexp_matches(t, '[0-9]') and length(t) >= 3], ' ')) as topic_length from c""",
+    "nb_predictions": f"""with {_NB_TERMS}, pr as (select label, ln(count(*) / (select count(*) from nb)::double) as prior, ln(0.5 / (any_value(whole) + 0.5 * any_value(v))) as unseen from nb join cw using (label), vs group by label),
+kv as (select * from vv where term in (select term from th)), ms as (select seq, sum(w) as mass from kv group by seq),
+se as (select kv.seq, pr.label, sum(kv.w * (th.theta - pr.unseen)) as s from kv join th using (term) join pr on pr.label = th.label group by kv.seq, pr.label),
+sc as (select ms.seq, pr.label, pr.prior + ms.mass * pr.unseen + coalesce(se.s, 0) as score from ms cross join pr left join se on se.seq = ms.seq and se.label = pr.label),
+tp as (select *, max(score) over (partition by seq) as top from sc)
+select seq, arg_max(label, score) as label, {_r2("1 / sum(exp(score - top))")} as probability from tp group by seq""",
+    "service_analyze": f"""with tx as (select doc_id as seq, text as raw, {_lower("text")} as nt, length(trim(text)) as n from documents), tt as (select *, {_TOKENS.format("nt")} as tk from tx),
+s as (select case when n is null or n < 10 or n > 20000 then 1 end as err, greatest(0, least(100, 50 + ({_weighed(lexicon.RISK)}) - ({_weighed(lexicon.RELIEF)}))) as st from tt)
+select count(*) as documents, count(err) as errors, avg(case when err is null then st end) as average_stress, count(*) filter (err is null and st >= 75) as critical, count(*) filter (err is null and st >= 60 and st < 75) as high,
+count(*) filter (err is null and st >= 40 and st < 60) as moderate, count(*) filter (err is null and st < 40) as low from s""",
+}

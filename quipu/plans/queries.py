@@ -472,3 +472,56 @@ def service_emerging(spark, folder):
 @query
 def service_analyze(spark, folder):
     return service.batch_summary(service.analyze(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("texto"))))
+
+
+@query
+def clean_top(spark, folder):
+    return corpus.clean_order(corpus.clean_corpus(news(spark, folder))).limit(50).select("seq", "score_recalculado")
+
+
+@query
+def merge_top(spark, folder):
+    return corpus.merge_order(_merged(spark, folder)).limit(50).select("seq", "collected_at")
+
+
+@query
+def complete_rows(spark, folder):
+    return corpus.drop_incomplete(news(spark, folder), ["titulo", "texto", "tema"]).select("seq")
+
+
+@query
+def point_lookup(spark, folder):
+    return corpus.find(table(spark, folder, "anotaciones"), "annotation_id", "ann-000000010").select("annotation_id", "id", "sentimiento")
+
+
+@query
+def momentum_values(spark, folder):
+    rows = table(spark, folder, "eventos_operativos").select("event_id", F.col("documents").alias("now"), F.col("unique_sources").alias("before")).distinct()
+    n, b = F.col("now"), F.col("before")
+    ratio = numbers.momentum_ratio(n, b)
+    return rows.select("event_id", "now", "before", numbers.momentum(n, b).alias("momentum"), ratio.alias("ratio"), numbers.momentum_label(ratio).alias("label"))
+
+
+@query
+def number_coercion(spark, folder):
+    rows = news(spark, folder)
+    return rows.select("seq", numbers.number(F.col("fecha"), -1.0).alias("as_number"), numbers.number(F.col("source_weight"), 0.5, 0.0, 0.75).alias("weight"))
+
+
+@query
+def plain_texts(spark, folder):
+    return news(spark, folder).select("seq", text.plain_text(F.col("titulo"), accents=False).alias("plain"))
+
+
+@query
+def absolute_urls(spark, folder):
+    rows = news(spark, folder).where("url is not null and trim(url) <> ''")
+    return rows.select("seq", text.absolute_url(F.lit("https://www.x.example/a/b"), F.col("url")).alias("absolute"))
+
+
+@query
+def label_shares(spark, folder):
+    """Percentages of each sentiment among the annotations, by source."""
+    rows = table(spark, folder, "anotaciones").where("fuente is not null")
+    total = rows.groupBy("fuente").agg(F.count("*").alias("total"), F.count_if(F.lower(F.trim("sentimiento")) == "negativo").alias("negative"))
+    return total.select("fuente", "total", numbers.percentage(F.col("negative"), F.col("total")).alias("negative_share"))
