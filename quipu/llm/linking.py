@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from quipu.llm import encoding
-from quipu.llm.common import cut, null_if_blank, small, store
+from quipu.llm.common import bounded, cut, null_if_blank, small, store
 
 #: Words by which headlines of one article may differ.
 EDITS = 2
@@ -159,9 +159,45 @@ def learn_words(cores: DataFrame) -> DataFrame:
 
 
 def _profiles(cores: DataFrame, words: DataFrame) -> DataFrame:
-    """``(id, core, fixed, soft)``: what may not differ as one string, and the other words from rare to frequent."""
-    long_ = store(cores.select("core").distinct().where(F.size(F.split("core", " ")) >= LEAST_WORDS).select(F.xxhash64(F.lit("h"), F.col("core")).alias("id"), "core"))
-    each = long_.select("id", F.explode(F.split("core", " ")).alias("word")).join(small(words, BROADCAST_ROWS), "word", "left")
+    """``(id, core, fixed, soft)``: what may not differ as one string, and the other words from rare to frequent.
+
+    A vocabulary of up to BROADCAST_ROWS words goes to every task; a larger one is joined.
+    """
+    long_ = cores.select("core").distinct().where(F.size(F.split("core", " ")) >= LEAST_WORDS).select(F.xxhash64(F.lit("h"), F.col("core")).alias("id"), "core")
+    if not bounded(words, BROADCAST_ROWS):
+        return _profiles_joined(store(long_), words)
+    shared = words.sparkSession.sparkContext.broadcast({r["word"]: (r["n"], r["fixed"]) for r in words.toLocalIterator()})
+
+    def told(items: list[str]) -> list[str]:
+        seen: Counter = Counter()
+        out = []
+        for w in items:
+            seen[w] += 1
+            out.append(f"{w}#{seen[w]}")
+        return out
+
+    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for part in parts:
+            fixed, soft = [], []
+            for core in part["core"]:
+                hard, rest = [], []
+                for w in core.split(" "):
+                    n, is_fixed = known.get(w) or (0, any("0" <= c <= "9" for c in w))
+                    if is_fixed:
+                        hard.append(w)
+                    else:
+                        rest.append((n, w))
+                fixed.append(" ".join(told(sorted(hard))))
+                soft.append(told([w for _, w in sorted(rest)]))
+            yield pd.DataFrame({"id": part["id"], "core": part["core"], "fixed": fixed, "soft": soft})
+
+    return long_.mapInPandas(split, "id bigint, core string, fixed string, soft array<string>")
+
+
+def _profiles_joined(long_: DataFrame, words: DataFrame) -> DataFrame:
+    """``_profiles`` for any vocabulary."""
+    each = long_.select("id", F.explode(F.split("core", " ")).alias("word")).join(words, "word", "left")
     each = each.select("id", F.coalesce("fixed", F.col("word").rlike("[0-9]")).alias("fixed"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word").alias("x"))
     some = each.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("fixed"), F.col("x.word")))).alias("fixed"), F.transform(F.sort_array(F.collect_list(F.when(~F.col("fixed"), F.col("x")))), lambda x: x["word"]).alias("soft"))
     # repeated words are told apart by their number
@@ -295,7 +331,7 @@ def learn_weights(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 3
             got += math.log(m[p[f]] / sum(m.values())) - math.log(u[p[f]] / sum(u.values()))
         return got
 
-    for _ in range(rounds):
+    for _ in range(rounds if patterns else 0):
         match = {p: 1 / (1 + math.exp(-max(-50.0, min(50.0, odds(p))))) for p, _ in patterns}
         total = sum(n for _, n in patterns)
         share = min(0.999, max(0.001, sum(n * match[p] for p, n in patterns) / total))
