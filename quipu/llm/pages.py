@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 #: Pages whose lines the trees learn from, the first in hash order.
 SAMPLE_PAGES = 1500
 TREES, DEPTH = 20, 5
+#: Pages whose lines are scored together.
+PAGES_AT_ONCE = 200
 
 # Words that open or make up what surrounds an article, in Spanish, Portuguese and English.
 _TEASER = r"^(?:m[aá]s (?:en|de|sobre|noticias|le[ií]d)|[uú]ltimas|lo m[aá]s|lo [uú]ltimo|notas? relacionad|noticias relacionad|relacionad|recomendad|tambi[eé]n en|te puede interesar|le puede interesar|puede interesar|mira adem[aá]s|lea tambi[eé]n|lee tambi[eé]n|vea tambi[eé]n|leia tamb[eé]m|veja tamb[eé]m|mais lidas|related|read (?:also|more)|more (?:in|from|on)|most read|trending|en portada|no te pierdas|destacad)"
@@ -65,19 +67,31 @@ def _compile() -> dict[str, object]:
 _RULES: dict[str, object] = {}
 
 
+class _Folds(dict):
+    """Character to its base letter or digit in lower case, or a space."""
+
+    def __missing__(self, code: int) -> str:
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code).lower()) if not unicodedata.combining(c))
+        self[code] = out = "" if unicodedata.combining(chr(code)) else "".join(c if c.isascii() and c.isalnum() else " " for c in base)
+        return out
+
+
+_FOLDS = _Folds()
+_UPPER, _LETTER, _DIGIT, _MARKS = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"[©@#☰✕↑\[\]]")
+
+
 def _fold(text: str) -> str:
-    text = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
-    return " ".join(re.findall(r"[a-z0-9]+", text))
+    return " ".join(text.translate(_FOLDS).split())
 
 
 class Line:
     """A node of the page: what is known of one line before it is scored."""
 
-    __slots__ = ("number", "text", "words", "sentences", "ends", "title_like", "label", "kind", "section", "place", "block")
+    __slots__ = ("number", "text", "folded", "words", "sentences", "ends", "title_like", "label", "kind", "section", "place", "block")
 
     def __init__(self, number: int, text: str):
         rules = _RULES or _RULES.update(_compile()) or _RULES
-        self.number, self.text = number, text
+        self.number, self.text, self.folded = number, text, _fold(text)
         body = re.sub(r"^(?:[-•*·–]|\d{1,2}[.)])\s+", "", text)
         self.words = len(body.split())
         self.ends = bool(re.search(r"[.!?…][\"'”»)]*$", text))
@@ -100,11 +114,11 @@ def headline(lines: list[Line], title: str | None, url: str | None) -> int:
     path = re.sub(r"[?#].*$", "", url or "").rstrip("/").rpartition("/")[2]
     slug = re.sub(r"(?:[-_]?\d+)?(?:\.\w+)?$", "", path).replace("_", "-").lower()
     for i, x in enumerate(lines):
-        if want and len(want) > 8 and _fold(x.text) == want:
+        if want and len(want) > 8 and x.folded == want:
             return i
     if slug.count("-") >= 2:
         for i, x in enumerate(lines):
-            own = _fold(x.text).replace(" ", "-")
+            own = x.folded.replace(" ", "-")
             if x.kind == "" and x.words >= 4 and (own == slug or own.startswith(slug + "-")):
                 return i
     return -1
@@ -142,10 +156,11 @@ def features(lines: list[Line], head: int, odds: dict[str, float]) -> np.ndarray
     """One row per line, columns as in FEATURES."""
     n = len(lines)
     out = np.zeros((n, len(FEATURES)), "float32")
-    head_words = set(_fold(lines[head].text).split()) if head >= 0 else set()
+    head_words = set(lines[head].folded.split()) if head >= 0 else set()
     dense: dict[int, list[int]] = {}
     for x in lines:
         dense.setdefault(x.block, []).append(len(x.text))
+    means = {b: sum(v) / len(v) for b, v in dense.items()}
     kind = ["p" if x.sentences > 1 else "s" if x.ends else "t" if x.title_like else "l" for x in lines]
     before = [0] * n
     after = [0] * n
@@ -156,14 +171,13 @@ def features(lines: list[Line], head: int, odds: dict[str, float]) -> np.ndarray
     near = lambda x: (min(x.words, 80), min(x.sentences, 6), x.title_like, x.label, x.kind in ("noise", "says")) if x else (0, 0, 0, 0, 1)
     for i, x in enumerate(lines):
         t = x.text
-        letters = [c for c in t if c.isalpha()]
-        folded = _fold(t).split()
+        folded = x.folded.split()
         out[i] = (
-            min(x.words, 80), min(len(t), 600), min(x.sentences, 6), x.ends, t[:1].isupper(), sum(c.isupper() for c in letters) / max(1, len(letters)), sum(c.isdigit() for c in t) / len(t),
-            bool(re.match(r"[-•*·–]\s", t)), bool(re.match(r"\d{1,2}[.)]\s", t)), bool(_RULES["clock"].match(t)), min(t.count("|") + t.count("·") + t.count(" > "), 9), len(re.findall(r"[©@#☰✕↑\[\]]", t)), ":" in t, t.count(",") / max(1, x.words), x.title_like,
+            min(x.words, 80), min(len(t), 600), min(x.sentences, 6), x.ends, t[:1].isupper(), len(_UPPER.findall(t)) / max(1, len(_LETTER.findall(t))), len(_DIGIT.findall(t)) / len(t),
+            bool(re.match(r"[-•*·–]\s", t)), bool(re.match(r"\d{1,2}[.)]\s", t)), bool(_RULES["clock"].match(t)), min(t.count("|") + t.count("·") + t.count(" > "), 9), len(_MARKS.findall(t)), ":" in t, t.count(",") / max(1, x.words), x.title_like,
             x.label, i == head, len(head_words & set(folded)) / max(1, len(set(folded))), min(max(0, i - head), 60) if head >= 0 else -1, max(0, head - i) if head >= 0 else -1, min(n - 1 - i, 60), x.kind == "noise", x.kind == "teaser", x.kind == "end", x.kind == "caption", x.kind == "byline", x.kind == "tags", x.kind == "date", x.kind == "says",
             sum(odds.get(w, 0.0) for w in folded) / max(1, len(folded)), *near(lines[i - 1] if i else None), *near(lines[i + 1] if i + 1 < n else None),
-            x.section == "teaser", x.section == "comments", min(x.place, 30), float(np.mean(dense[x.block])), min(before[i], 12), min(after[i], 12), head >= 0,
+            x.section == "teaser", x.section == "comments", min(x.place, 30), means[x.block], min(before[i], 12), min(after[i], 12), head >= 0,
         )
     return out
 
@@ -186,17 +200,14 @@ def weak_label(lines: list[Line], head: int, i: int) -> int | None:
 
 def _logit(trees: list[tuple[list, float]], x: np.ndarray) -> np.ndarray:
     """Score of boosted trees; each is (nodes, weight), a node (feature, threshold, left, right, value)."""
-    total = np.zeros(len(x))
+    total, rows = np.zeros(len(x)), np.arange(len(x))
     for nodes, weight in trees:
+        feature, limit, left, right, value = (np.array(c) for c in zip(*nodes))
         at = np.zeros(len(x), int)
-        feature = np.array([n[0] for n in nodes])
-        limit = np.array([n[1] for n in nodes])
-        left, right, value = np.array([n[2] for n in nodes]), np.array([n[3] for n in nodes]), np.array([n[4] for n in nodes])
         for _ in range(DEPTH + 1):
             f = feature[at]
-            inner = f >= 0
-            go = x[np.arange(len(x)), np.maximum(f, 0)] <= limit[at]
-            at = np.where(inner, np.where(go, left[at], right[at]), at)
+            go = x[rows, np.maximum(f, 0)] <= limit[at]
+            at = np.where(f >= 0, np.where(go, left[at], right[at]), at)
         total += weight * value[at]
     return total
 
@@ -233,7 +244,7 @@ class Model:
             told.append((lines, head, labels))
             for x, y in zip(lines, labels):
                 if y is not None:
-                    counts[y].update(set(_fold(x.text).split()))
+                    counts[y].update(set(x.folded.split()))
         sums = [sum(c.values()) + 1 for c in counts]
         self.odds = {w: log((counts[1][w] + 1) / sums[1]) - log((counts[0][w] + 1) / sums[0]) for w in set(counts[0]) | set(counts[1]) if counts[0][w] + counts[1][w] >= 3}
         data = []
@@ -266,11 +277,16 @@ class Model:
         walk(root)
         return nodes
 
-    def kept(self, text: str, title: str | None, url: str | None) -> tuple[list[Line], np.ndarray]:
-        lines, head = tree(text, title, url)
-        if not lines or not self.trees:
-            return lines, np.zeros(len(lines), bool)
-        return lines, decode(lines, head, _logit(self.trees, features(lines, head, self.odds)))
+    def kept(self, pages: list[tuple[str, str | None, str | None]]) -> Iterator[tuple[list[Line], np.ndarray]]:
+        """Lines of each page (text, title, url), and which are its main body; the pages' lines are scored together."""
+        read = [tree(*p) for p in pages]
+        rows = [features(lines, head, self.odds) for lines, head in read]
+        score = _logit(self.trees, np.concatenate(rows)) if rows and self.trees else np.full(sum(map(len, rows)), -1.0)
+        at = 0
+        for lines, head in read:
+            own = score[at : at + len(lines)]
+            at += len(lines)
+            yield lines, decode(lines, head, own) if self.trees else np.zeros(len(lines), bool)
 
 
 def _scan(pages: DataFrame, columns: str, row) -> DataFrame:
@@ -281,10 +297,12 @@ def _scan(pages: DataFrame, columns: str, row) -> DataFrame:
         own = Model.__new__(Model)
         own.trees, own.odds = shared.value
         for part in parts:
-            rows = []
-            for p in part.itertuples(index=False):
-                rows += row(p.page_id, p.texto, *own.kept(p.texto, p.titulo, p.url))
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in columns.split(", ")])
+            for i in range(0, len(part), PAGES_AT_ONCE):
+                some = part.iloc[i : i + PAGES_AT_ONCE]
+                rows = []
+                for page, (lines, keep) in zip(some["page_id"], own.kept(list(zip(some["texto"], some["titulo"], some["url"])))):
+                    rows += row(page, lines, keep)
+                yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in columns.split(", ")])
 
     return pages.where("page_id is not null and texto is not null").select("page_id", "texto", "titulo", "url").mapInPandas(each, columns)
 
@@ -294,11 +312,11 @@ def boilerplate_lines(pages: DataFrame) -> DataFrame:
 
     A page without an article has none inside; null and empty texts have no lines.  Repeated pages count once.
     """
-    row = lambda page, text, lines, keep: [(page, x.number) for x, k in zip(lines, keep) if not k]
+    row = lambda page, lines, keep: [(page, x.number) for x, k in zip(lines, keep) if not k]
     return _scan(pages, "page_id bigint, linea int", row).distinct()
 
 
 def main_bodies(pages: DataFrame) -> DataFrame:
     """``(page_id, body)``: the main body's lines in order; empty if there is no article."""
-    row = lambda page, text, lines, keep: [(page, "\n".join(x.text for x, k in zip(lines, keep) if k))]
+    row = lambda page, lines, keep: [(page, "\n".join(x.text for x, k in zip(lines, keep) if k))]
     return _scan(pages, "page_id bigint, body string", row).distinct()
