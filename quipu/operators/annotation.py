@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quipu.functions import numbers, text
 from quipu.operators.corpus import best_for_annotation, repair_strings, select_existing
+from quipu.operators.lineage import small
 
 LABELS = ["positivo", "neutral", "negativo"]
 
@@ -27,27 +28,41 @@ def quotas(counts: DataFrame, size: int) -> DataFrame:
     return rows.select("grupo", "n", (F.col("base") + more.cast("int")).alias("quota"))
 
 
+def hash_rank(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
+    """Add ``__n``, the row's place (from 1) in the hash order of its group, and ``__of``, the group's rows.
+
+    Hash order is cut into 4096 cells that are counted first; only within a cell are rows ranked, so no task sorts a group.
+    """
+    rows = df.withColumn("__h", hash_order(key, seed)).withColumn("__c", F.substring("__h", 1, 3))
+    counts = rows.groupBy(group, "__c").agg(F.count("*").alias("__k"))
+    span = Window.partitionBy(group)
+    before = counts.select(F.col(group).alias("__g"), F.col("__c").alias("__d"), (F.sum("__k").over(span.orderBy("__c")) - F.col("__k")).alias("__b"), F.sum("__k").over(span).alias("__of"))
+    place = F.row_number().over(Window.partitionBy(group, "__c").orderBy("__h", key))
+    ranked = rows.withColumn("__r", place).join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__c") == F.col("__d")))
+    return ranked.withColumn("__n", F.col("__b") + F.col("__r")).drop("__h", "__c", "__g", "__d", "__b", "__r")
+
+
 def quota_sample(df: DataFrame, group: str, key: str, size: int, seed: int = 42) -> DataFrame:
     """As many rows of each group as its quota, in hash order; too small a table is taken whole."""
     counts = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("grupo")).agg(F.count("*").alias("n"))
-    wanted = quotas(counts, size).select(F.col("grupo").alias(group), "quota")
-    rows = df.join(F.broadcast(wanted), group).withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(hash_order(key, seed), key)))
-    return rows.where("__n <= quota").drop("__n", "quota")
+    wanted = quotas(counts, size).select(F.col("grupo").alias("__q"), "quota")
+    rows = hash_rank(df.where(F.col(group).isNotNull()), group, key, seed).join(small(wanted, 100_000), F.col(group) == F.col("__q"))
+    return rows.where("__n <= quota").drop("__n", "__of", "__q", "quota")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, shares: tuple[float, float] = (0.70, 0.15), seed: int = 42) -> DataFrame:
     """Add ``split``: train, validation or test, each label divided alike, in hash order."""
-    span = Window.partitionBy(label)
-    place = (F.row_number().over(span.orderBy(hash_order(key, seed), key)) - 1) / F.count("*").over(span)
-    return df.withColumn("split", F.when(place < shares[0], "train").when(place < shares[0] + shares[1], "validation").otherwise("test"))
+    rows = hash_rank(df, label, key, seed)
+    place = (F.col("__n") - 1) / F.col("__of")
+    return rows.withColumn("split", F.when(place < shares[0], "train").when(place < shares[0] + shares[1], "validation").otherwise("test")).drop("__n", "__of")
 
 
 def build_batch(df: DataFrame, size: int = 200, title: int = 20, body: int = 150, seed: int = 42) -> DataFrame:
     """A batch to annotate: long enough records by source quota, topped up from the rest, with ids, in hash order."""
     rows = df.where((F.length("titulo") >= title) & (F.length("texto") >= body)).dropDuplicates(["id"])
     first = quota_sample(rows, "fuente", "id", size, seed)
-    rest = rows.join(first.select("id"), "id", "left_anti")
     lacks = first.agg((F.lit(size) - F.count("*")).alias("lacks"))
+    rest = rows.join(first.select("id"), "id", "left_anti").orderBy(hash_order("id", seed), "id").limit(size)
     more = rest.withColumn("__n", F.row_number().over(Window.orderBy(hash_order("id", seed), "id"))).crossJoin(F.broadcast(lacks)).where("__n <= lacks").drop("__n", "lacks")
     batch = first.unionByName(more).withColumn("annotation_id", text.annotation_id(F.col("id")))
     return select_existing(batch, ["annotation_id", "id", "titulo", "texto", "fuente", "fecha", "url"]).orderBy(hash_order("annotation_id", seed))

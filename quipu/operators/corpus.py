@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quipu.functions import lexicon, numbers, text
+from quipu.operators.lineage import cut, small
 
 #: Most rows of a dimension table that is broadcast (about 200 bytes each).
 BROADCAST_ROWS = 100_000
@@ -18,30 +19,14 @@ DEFAULTS = {"economic_score": 0, "source_type": "unknown", "department": "No esp
 COLUMNS = ["id", "titulo", "texto", "fuente", "fecha", "url", "economic_score", "source_type", "department", "scope", "source_weight", "collected_at"]
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key by the order; nulls are one key."""
-    span = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(span)).where("__n = 1").drop("__n")
+    """The first row of each key by the order; nulls are one key.
 
-
-def first_by_key(df: DataFrame, keys: dict[str, Column], order: Column) -> DataFrame:
-    """As ``keep_first`` for hot keys: the first row's place is found by a partial aggregate, and only it is fetched.
-
-    ``order`` is a struct whose smallest value is unique in the key.
+    Only the first row is asked for, so Spark keeps one row per key and input partition before it shuffles (window group
+    limit): a key that holds a third of all rows sends as few rows as any other.
     """
-    marked = df.withColumns({f"__k_{k}": c for k, c in keys.items()} | {"__o": order})
-    names = [f"__k_{k}" for k in keys]
-    first = marked.groupBy(*names).agg(F.min("__o").alias("__f"))
-    same = [marked[n].eqNullSafe(first[n]) for n in names]
-    condition = marked["__o"] == first["__f"]
-    for s in same:
-        condition = condition & s
-    return marked.join(first, condition, "left_semi").drop(*names, "__o")
+    span = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__n", F.row_number().over(span)).where("__n = 1").drop("__n")
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
@@ -82,8 +67,8 @@ def clean_corpus(df: DataFrame, title: int = 20, body: int = 250, least_score: i
     score = text.economic_score(F.concat_ws(" ", "titulo", "texto"))
     rows = df.where((F.length("titulo") >= title) & (F.length("texto") >= body) & ~text.excluded_title(F.col("titulo")))
     rows = rows.withColumn("score_recalculado", score).where(F.col("score_recalculado") >= least_score)
-    rows = keep_first(rows, [F.col("url")], [F.asc("seq")])
-    return keep_first(rows, [text.title_key(F.col("titulo"))], [F.asc("seq")])
+    rows = keep_first(rows, [F.col("url")], [F.col("seq")])
+    return keep_first(rows, [text.title_key(F.col("titulo"))], [F.col("seq")])
 
 
 def greedy_deduplicate(df: DataFrame, rounds: int = 50) -> DataFrame:
@@ -96,9 +81,9 @@ def greedy_deduplicate(df: DataFrame, rounds: int = 50) -> DataFrame:
     undecided, kept = rows, None
     while True:
         first = undecided.groupBy("u").agg(F.min("seq").alias("fu")), undecided.groupBy("t").agg(F.min("seq").alias("ft"))
-        now = undecided.join(first[0], "u").join(first[1], "t").where("seq = fu and seq = ft").select("seq", "u", "t").checkpoint()
+        now = cut(undecided.join(first[0], "u").join(first[1], "t").where("seq = fu and seq = ft").select("seq", "u", "t"))
         kept = now if kept is None else kept.unionByName(now)
-        undecided = undecided.join(now.select("u"), "u", "left_anti").join(now.select("t"), "t", "left_anti").select("seq", "u", "t").checkpoint()
+        undecided = cut(undecided.join(now.select("u"), "u", "left_anti").join(now.select("t"), "t", "left_anti").select("seq", "u", "t"))
         rounds -= 1
         if undecided.isEmpty():
             return df.join(kept.select("seq"), "seq", "left_semi")
@@ -113,9 +98,9 @@ def best_for_annotation(df: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Rows added to a table, replacing those of the same key; columns may differ.  Of several new rows any may stay."""
-    both = table.withColumn("__new", F.lit(0)).unionByName(rows.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    return keep_first(both, [F.col(key)], [F.desc("__new")]).drop("__new")
+    """Rows added to a table, replacing those of the same key; columns may differ.  Keys are unique in each of the two."""
+    both = table.withColumn("__old", F.lit(1)).unionByName(rows.withColumn("__old", F.lit(0)), allowMissingColumns=True)
+    return keep_first(both, [F.col(key)], [F.col("__old")]).drop("__old")
 
 
 def _unknown(c: str, word: str) -> Column:
@@ -127,7 +112,7 @@ def backfill_metadata(df: DataFrame, catalogue: DataFrame) -> DataFrame:
     compared without case and outer space.  Repeated names of the catalogue: the first by id counts."""
     names = catalogue.where("name is not null").groupBy(text.normalize(F.col("name")).alias("__name"))
     meta = names.agg(F.min_by(F.struct("source_type", "department", "scope", "source_weight"), "fuente_id").alias("__m"))
-    rows = df.withColumn("__name", text.normalize(F.col("fuente"))).join(small(meta), "__name", "left")
+    rows = df.withColumn("__name", text.normalize(F.col("fuente"))).join(small(meta, BROADCAST_ROWS), "__name", "left")
     lacks = _unknown("source_type", "unknown") | _unknown("department", "No especificado") | _unknown("scope", "unknown")
     use = F.col("__m").isNotNull() & lacks
     return rows.withColumns({c: F.when(use, F.col(f"__m.{c}")).otherwise(F.col(c)) for c in ("source_type", "department", "scope", "source_weight")}).drop("__m", "__name")
@@ -136,7 +121,7 @@ def backfill_metadata(df: DataFrame, catalogue: DataFrame) -> DataFrame:
 def unknown_sources(df: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``(fuente)``: distinct sources that the catalogue doesn't name."""
     known = catalogue.select(text.normalize(F.col("name")).alias("__name")).distinct()
-    return df.withColumn("__name", text.normalize(F.col("fuente"))).join(small(known), "__name", "left_anti").select("fuente").distinct()
+    return df.withColumn("__name", text.normalize(F.col("fuente"))).join(small(known, BROADCAST_ROWS), "__name", "left_anti").select("fuente").distinct()
 
 
 def repair_strings(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quipu.functions import dates, numbers, text
+from quipu.operators.lineage import cut, store
 
 THRESHOLD, MAX_DAYS, MAX_TERMS = 0.48, 3.0, 8000
 
@@ -62,14 +63,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn until nothing changes; each round is checkpointed.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         near = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(near, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        nxt = small.unionByName(near.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        nxt = cut(small.unionByName(near.select("a", F.col("m").alias("b"))).distinct())
         same = nxt.groupBy("a").count().where("count > 1").isEmpty() and nxt.join(nxt.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
         if same:
             return nxt.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -87,10 +88,10 @@ def cluster_news(df: DataFrame, threshold: float = THRESHOLD, days: float = MAX_
     Documents without words are events of their own.  Copies (same text and time) are one node.
     """
     df = df.withColumn("__at", dates.instant(F.col("effective_at")))
-    rows = df.select("seq", F.xxhash64(document_text(), F.unix_micros("__at")).alias("copy"), document_text().alias("content"), "__at").checkpoint()
+    rows = store(df.select("seq", F.xxhash64(document_text(), F.unix_micros("__at")).alias("copy"), document_text().alias("content"), "__at"))
     nodes = rows.groupBy("copy").agg(F.min("seq").alias("node"), F.first("content").alias("content"), F.first("__at").alias("at"))
     counted = rows.select("copy", F.col("seq"))
-    vectors = tfidf(rows, "seq", F.col("content"), most_terms).join(nodes.select(F.col("node").alias("key")), "key", "left_semi").checkpoint()
+    vectors = store(tfidf(rows, "seq", F.col("content"), most_terms).join(nodes.select(F.col("node").alias("key")), "key", "left_semi"))
     pairs = similar_pairs(vectors, threshold, nodes.select(F.col("node").alias("key"), "at"), days)
     roots = components(pairs.select("a", "b"))
     spread = counted.join(nodes.select("copy", "node"), "copy").join(roots, "node", "left").select("seq", F.coalesce("root", "node").alias("__root"))

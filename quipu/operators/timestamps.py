@@ -13,6 +13,8 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quipu.operators.lineage import small
+
 # Month names (Spanish, English, Portuguese), full and short.
 MONTHS = {
     1: ["enero", "january", "janeiro", "ene", "jan"],
@@ -52,7 +54,7 @@ _TIME = (
 _ZONE = r"\s*(?:\(?(?<zn>Z|[A-Z]{3,4})\)?)?(?:(?<zs>[+-])(?<zh>\d{2}):?(?<zm>\d{2})?)?"
 #: One pattern for every spelling; a value that doesn't match as a whole has no instant.
 PATTERN = (
-    r"(?iuU)^\s*(?:(?<e>\d{10}|\d{13}|\d{16})|(?:\p{L}+:\s*)?(?:\p{L}{2,}\.?,\s*)?(?:" + "|".join(_DATES) + ")" + _TIME + _ZONE + r")\s*$"
+    r"(?iu)^\s*(?:(?<e>\d{10}|\d{13}|\d{16})|(?:\p{L}+:\s*)?(?:\p{L}{2,}\.?,\s*)?(?:" + "|".join(_DATES) + ")" + _TIME + _ZONE + r")\s*$"
 )
 _PARTS = ["${e}", "${ya}${yb}${yc}${yd}${ye}", "${ma}${mb}", "${nd}${ne}", "${da}${db}${dd}${de}", "${p}", "${q}",
           "${h}${hc}", "${mi}${mc}", "${s}${sc}", "${ap}", "${zn}", "${zs}", "${zh}", "${zm}"]
@@ -110,7 +112,8 @@ def with_instant(df: DataFrame, value: str, out: str, order: Column | None = Non
     add(raw=F.regexp_replace(F.col(value), PATTERN, "\u0001" + ";".join(_PARTS)))
     add(parts=F.when(c("raw").startswith("\u0001"), F.split(F.substring(c("raw"), 2, 200), ";")))
     text = {k: c("parts")[i] for i, k in enumerate(_KEYS)}
-    whole = {k: F.expr(f"try_cast({pre}parts[{i}] as bigint)") for i, k in enumerate(_KEYS)}
+    # the pattern has only digits there; try_cast would be slow, as it throws on each empty part
+    whole = {k: F.when(text[k] != "", text[k].cast("bigint")) for k in ("e", "y", "m", "d", "p", "q", "h", "mi", "s", "zh", "zm")}
     months = {n: m for m, names in MONTHS.items() for n in names}
     add(e=whole["e"], e_len=F.length(text["e"]), y=whole["y"] + F.when(F.length(text["y"]) == 2, 2000).otherwise(0),
         m=F.coalesce(whole["m"], _lookup(months, F.lower(text["name"])).cast("bigint")), d=whole["d"], p=whole["p"], q=whole["q"],
@@ -176,9 +179,8 @@ def normalize_instants(items: DataFrame, catalogue: DataFrame) -> DataFrame:
     without zone is wall-clock time at its source, a collected_at without zone is UTC.
     """
     clock = source_clock(catalogue)
-    small = catalogue.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = items.where("seq is not null").select("seq", "fecha", "collected_at", name_key(F.col("fuente")).alias("source_key"))
-    rows = rows.join(F.broadcast(clock) if small else clock, "source_key", "left")
+    rows = rows.join(small(clock, BROADCAST_ROWS), "source_key", "left")
     one = lambda campo, order, zone: F.struct(F.lit(campo).alias("campo"), F.col(campo).alias("value"), order.alias("day_order"), zone.alias("zone"))
     both = F.array(one("fecha", F.col("day_order"), F.col("zone")), one("collected_at", F.lit(None).cast("string"), F.lit("UTC")))
     rows = rows.select("seq", F.inline(both))
