@@ -2,43 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quipu.operators.lineage import bounded, cut, folder, small, store
 from quipu.operators.timestamps import name_key
 
-__all__ = ["bounded", "cut", "name_key", "small", "store"]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The table computed once and its lineage cut, in the folder of spark.checkpoint.dir, which executors share."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quipu-"))
-    return df.checkpoint()
-
-
-def store(df: DataFrame) -> DataFrame:
-    """As ``cut``, for wide rows: written as a compressed table in the same folder."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """The table with a broadcast hint if it has at most so many rows; it should be cheap to read."""
-    return F.broadcast(df) if bounded(df, rows) else df
-
-
-def bounded(df: DataFrame, rows: int) -> bool:
-    """Whether a table has at most so many rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+__all__ = ["bounded", "cut", "folder", "name_key", "null_if_blank", "small", "store"]
 
 
 def null_if_blank(c: Column) -> Column:

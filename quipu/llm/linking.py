@@ -27,6 +27,8 @@ from pyspark.sql.types import IntegerType
 
 from quipu.llm import encoding
 from quipu.llm.common import bounded, cut, null_if_blank, small, store
+from quipu.llm.common import folder as shared_folder
+from quipu.operators.events import components
 
 #: Words by which headlines of one article may differ.
 EDITS = 2
@@ -294,25 +296,6 @@ def candidate_pairs(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, crowded
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` with the smallest node of each component as root; edges ``(a, b)``.
-
-    Alternates linking every node's larger neighbours, then its smaller ones, to the smallest; each round is cut.
-    """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        near = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(near, "a")
-        nxt = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(near.select("a", F.col("m").alias("b"))).distinct())
-        # stars: no root is anyone's child
-        if nxt.join(nxt.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and nxt.groupBy("a").count().where("count > 1").isEmpty():
-            return nxt.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges = nxt
-
-
 def learn_weights(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 30) -> dict[tuple[int, ...], float]:
     """Log odds of a match for each agreement pattern, by EM over two classes with independent fields.
 
@@ -349,8 +332,7 @@ class ArticleIndex:
 
     def __init__(self, spark, folder: str | None = None):
         self.spark = spark
-        base = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/quipu"
-        self.folder = f"{base.rstrip('/')}/articles-{uuid.uuid4().hex}"
+        self.folder = f"{(folder or shared_folder(spark)).rstrip('/')}/articles-{uuid.uuid4().hex}"
         self.batches = 0
         self.models: dict[str, DataFrame] = {}
 
