@@ -31,7 +31,7 @@ def cut(df: DataFrame) -> DataFrame:
 def store(df: DataFrame) -> DataFrame:
     """As ``cut``, for wide rows: written as a compressed table."""
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4_raw").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
