@@ -68,12 +68,16 @@ def nb_predict(vectors: DataFrame, theta: DataFrame, prior: DataFrame) -> DataFr
 
 
 def topic_pipeline(k: int = 6, iterations: int = 40, least: int = 2, most_share: float = 0.8, most_terms: int = 8000, seed: int = 42) -> Pipeline:
-    """Topic model over ``(content)``: words and pairs, counted, LDA."""
+    """Topic model over ``(content)``: words and pairs, counted, LDA.
+
+    EM reads every text in each iteration; online batches, also those of size 1.0, are drawn with replacement and leave some out.
+    Its priors are those of the reference, ``1 / k``, plus the one by which EM's differ from variational Bayes.
+    """
     return Pipeline(stages=[
         Tokenizer(inputCol="content", outputCol="words"), NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
         CountVectorizer(inputCol="terms", outputCol="counts", minDF=least, maxDF=most_share, vocabSize=most_terms),
-        LDA(featuresCol="counts", k=k, maxIter=iterations, seed=seed, optimizer="online", topicDistributionCol="topics"),
+        LDA(featuresCol="counts", k=k, maxIter=iterations, seed=seed, optimizer="em", docConcentration=[1 + 1 / k], topicConcentration=1 + 1 / k, topicDistributionCol="topics"),
     ])
 
 

@@ -395,7 +395,7 @@ def nb_predictions(spark, folder):
 @query
 def lda_topics(spark, folder):
     rows = news(spark, folder).where("texto is not null")
-    fitted = models.topic_fit(rows, F.col("texto"), iterations=5)
+    fitted = models.topic_fit(rows, F.col("texto"))
     return models.topic_words(fitted)
 
 

@@ -190,3 +190,26 @@ def test_metrics_of_nothing(spark):
     assert metrics.optimism_index(df, F.col("texto")).first().documents == 0
     report = metrics.macro_report(spark.createDataFrame([], "a string, b string"), "a", "b", ["x"]).first()
     assert (report.accuracy, report.macro_f1) == (None, 0.0)
+
+
+def test_topics_read_every_text_in_each_iteration(spark, tmp_path):
+    from quipu.plans import queries
+
+    texts = [f"reservas banco divisas {w}" for w in ("dólar", "bonos") for _ in range(15)] + [f"litio salar planta {w}" for w in ("uyuni", "baterías") for _ in range(15)]
+    spark.createDataFrame(list(enumerate(texts)), "seq bigint, texto string").write.parquet(f"{tmp_path}/noticias.parquet")
+    asked = []
+
+    def fit(df, content, **options):
+        asked.append(real(df, content, **options))
+        return asked[-1]
+
+    real, models.topic_fit = models.topic_fit, fit
+    try:
+        assert {r.topic_id for r in queries.lda_topics(spark, str(tmp_path)).collect()} == set(range(6))
+    finally:
+        models.topic_fit = real
+    counts, lda = asked[0].transform(queries.news(spark, str(tmp_path)).select(F.col("texto").alias("content"))), asked[0].stages[-1]
+    tokens = sum(float(r.counts.values.sum()) for r in counts.select("counts").collect())
+    assert lda.getMaxIter() == 40
+    # EM's topic table is made of the expected uses in all texts
+    assert abs(lda.topicsMatrix().toArray().sum() - tokens) < 1e-6 * tokens
