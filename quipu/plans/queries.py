@@ -371,27 +371,51 @@ def annotation_update(spark, folder):
     return annotation.update(rows, "annotation_id", "ann-000000010", {"sentimiento": "negativo", "duda": 1}).select("annotation_id", "id", "sentimiento", "duda", "fecha_anotacion")
 
 
-def _bayes(spark, folder):
-    rows = news(spark, folder).where("tono_consolidado is not null and titulo is not null")
-    tf = models.terms(rows, "seq", F.col("titulo"))
+def _bayes(spark, folder, said: Column):
+    rows = news(spark, folder).where(F.col("tono_consolidado").isNotNull() & said.isNotNull())
+    tf = models.terms(rows, "seq", said)
     vectors = models.weights(tf, models.vocabulary(tf))
     return vectors, rows.select(F.col("seq").alias("key"), F.col("tono_consolidado").alias("label"))
 
 
-@query
-def nb_parameters(spark, folder):
-    vectors, labels = _bayes(spark, folder)
+def _document() -> Column:
+    return F.nullif(content(), F.lit(""))
+
+
+def _nb_parameters(spark, folder, said: Column):
+    vectors, labels = _bayes(spark, folder, said)
     theta, _ = models.nb_train(vectors, labels)
     return theta.select("label", "term", numbers.round2(F.col("theta")).alias("theta"))
 
 
-@query
-def nb_predictions(spark, folder):
-    vectors, labels = _bayes(spark, folder)
+def _nb_predictions(spark, folder, said: Column):
+    vectors, labels = _bayes(spark, folder, said)
     theta, prior = models.nb_train(vectors, labels)
     return models.nb_predict(vectors, theta, prior).select(F.col("key").alias("seq"), "label", numbers.round2(F.col("probability")).alias("probability"))
 
 
+@query
+def nb_parameters(spark, folder):
+    """Of titles alone, as its SQL says; ``nb_document_parameters`` is over whole records."""
+    return _nb_parameters(spark, folder, F.col("titulo"))
+
+
+@query
+def nb_predictions(spark, folder):
+    """Of titles alone, as its SQL says; ``nb_document_predictions`` is over whole records."""
+    return _nb_predictions(spark, folder, F.col("titulo"))
+
+
+@query
+def nb_document_parameters(spark, folder):
+    return _nb_parameters(spark, folder, _document())
+
+
+@query
+def nb_document_predictions(spark, folder):
+    return _nb_predictions(spark, folder, _document())
+
+
 @query
 def lda_topics(spark, folder):
     rows = news(spark, folder).where("texto is not null")

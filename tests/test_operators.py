@@ -213,3 +213,41 @@ def test_topics_read_every_text_in_each_iteration(spark, tmp_path):
     assert lda.getMaxIter() == 40
     # EM's topic table is made of the expected uses in all texts
     assert abs(lda.topicsMatrix().toArray().sum() - tokens) < 1e-6 * tokens
+
+
+def test_bayes_over_whole_records_against_brute_force(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    from quipu.plans import queries
+
+    news = [
+        (1, "sube dólar", "crisis bancaria grave", "n"), (2, "nada nuevo", "crisis bancaria sigue", "n"), (3, None, "empleo crece fuerte", "p"),
+        (4, "nada nuevo", "empleo crece otra vez", "p"), (5, "sube dólar", None, "n"), (6, None, None, "p"),
+    ]
+    spark.createDataFrame(news, "seq bigint, titulo string, texto string, tono_consolidado string").write.parquet(f"{tmp_path}/noticias.parquet")
+    docs = {}
+    for seq, titulo, texto, _ in news:
+        said = ". ".join(x for x in (titulo, texto) if x)
+        if said:
+            r = spark.range(1).select(models.text.classic_text(F.lit(said)).alias("c")).first()
+            w = [x for x in r.c.split(" ") if len(x) >= 2]
+            docs[seq] = Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    df = Counter(t for d in docs.values() for t in d)
+    idf = {t: math.log((1 + len(docs)) / (1 + n)) + 1 for t, n in df.items() if 2 <= n <= 0.95 * len(docs)}
+    vec = {}
+    for k, d in docs.items():
+        v = {t: (1 + math.log(c)) * idf[t] for t, c in d.items() if t in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vec[k] = {t: x / norm for t, x in v.items()}
+    label, want = {seq: y for seq, *_, y in news}, {}
+    for y in ("n", "p"):
+        mass = Counter()
+        for k, v in vec.items():
+            if label[k] == y:
+                mass.update(v)
+        want |= {(y, t): math.log((m + 0.5) / (sum(mass.values()) + 0.5 * len(idf))) for t, m in mass.items()}
+    got = {(r.label, r.term): r.theta for r in queries.nb_document_parameters(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 0.00501 for k in want)
+    said = {r.seq: r.label for r in queries.nb_document_predictions(spark, str(tmp_path)).collect()}
+    assert said == {k: label[k] for k in docs}
