@@ -253,6 +253,8 @@ def _signs(text: str, control: bool) -> int:
 def _redecode(text: str, codecs: tuple[str, ...], rounds: int, control: bool) -> str:
     """The reading with fewest signs, as long as another round lessens them."""
     for _ in range(rounds):
+        if not _signs(text, control):
+            return text
         options = [text]
         for codec in codecs:
             try:

@@ -47,7 +47,8 @@ def _quality() -> list[Column]:
 def merge_corpus(previous: DataFrame, current: DataFrame, collected_at: str, title: int = 10, body: int = 100) -> DataFrame:
     """Union of two corpora with ``seq``, best record of each address, then of each title; records without address compete by title only.
 
-    Records with a short title or text are dropped.  ``collected_at`` fills the current records that have none.
+    Records with a short title or text are dropped.  ``collected_at`` fills the current records that have none.  Wrong
+    encodings are undone in all string columns of the result, as in the reference after duplicates and ids.
     """
     fill = F.coalesce(text.missing(F.col("collected_at")), F.lit(collected_at))
     rows = with_defaults(previous).unionByName(with_defaults(current).withColumn("collected_at", fill), allowMissingColumns=True)
@@ -56,7 +57,8 @@ def merge_corpus(previous: DataFrame, current: DataFrame, collected_at: str, tit
     rows = placed.unionByName(rows.where("url = ''"))
     rows = keep_first(rows, [text.title_key(F.col("titulo"))], [F.desc(F.col("url") != ""), *_quality()])
     made = text.document_id(F.col("fuente"), F.col("url"), F.col("titulo"))
-    return rows.withColumn("id", F.coalesce(text.missing(F.col("id")), made))
+    rows = rows.withColumn("id", F.coalesce(text.missing(F.col("id")), made))
+    return repair_strings(rows, string_columns(rows))
 
 
 def clean_corpus(df: DataFrame, title: int = 20, body: int = 250, least_score: int = 2) -> DataFrame:
@@ -124,6 +126,10 @@ def unknown_sources(df: DataFrame, catalogue: DataFrame) -> DataFrame:
     return df.withColumn("__name", text.normalize(F.col("fuente"))).join(small(known, BROADCAST_ROWS), "__name", "left_anti").select("fuente").distinct()
 
 
+def string_columns(df: DataFrame) -> list[str]:
+    return [c for c, kind in df.dtypes if kind == "string"]
+
+
 def repair_strings(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: text.repair_mojibake(F.col(c)) for c in columns})
 

@@ -251,3 +251,17 @@ def test_bayes_over_whole_records_against_brute_force(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 0.00501 for k in want)
     said = {r.seq: r.label for r in queries.nb_document_predictions(spark, str(tmp_path)).collect()}
     assert said == {k: label[k] for k in docs}
+
+
+def test_merge_repairs_all_string_columns(spark):
+    from quipu.plans import pipeline
+
+    bad = lambda x: x.encode().decode("latin-1")
+    body = "La inflación y el dólar suben por la escasez de divisas. " * 8
+    rows = [item(1, bad("La inflación sube en el país otra vez"), bad(body), bad("Opinión"), url="https://x/1"), item(2, "Dólar: la inflación sigue en alza hoy", body, "Opinión", url="https://x/2")]
+    rows[0] = (*rows[0][:-4], bad("Economía"), *rows[0][-3:])
+    a, b = (spark.createDataFrame([r], NEWS) for r in rows)
+    got = {r.seq: r for r in corpus.merge_corpus(a, b, "2026-01-01T00:00:00Z").collect()}
+    assert (got[1].titulo, got[1].texto, got[1].fuente, got[1].tema) == ("La inflación sube en el país otra vez", body.strip(), "Opinión", "Economía")
+    done = pipeline.daily(a.drop("entidades", "indicadores", "stress_score"), b.drop("entidades", "indicadores", "stress_score"), "2026-01-01T00:00:00Z", now())
+    assert [r.fuente for r in done.clean.select("fuente").distinct().collect()] == ["Opinión"]
