@@ -109,10 +109,10 @@ def macro_report(df: DataFrame, label: str, predicted: str, order: list[str]) ->
 
 
 def repair_report(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """Per column (before, after): cells changed and suspicious sequences before and after."""
+    """Per column (before, after): cells changed and suspicious sequences before and after; null is the empty text."""
     sums = []
     for before, after in pairs.values():
-        sums += [F.count_if(~F.col(before).eqNullSafe(F.col(after))), F.coalesce(F.sum(text.suspicious_score(F.col(before))), F.lit(0)), F.coalesce(F.sum(text.suspicious_score(F.col(after))), F.lit(0))]
+        sums += [F.count_if(F.coalesce(before, F.lit("")) != F.coalesce(after, F.lit(""))), F.coalesce(F.sum(text.suspicious_score(F.col(before))), F.lit(0)), F.coalesce(F.sum(text.suspicious_score(F.col(after))), F.lit(0))]
     one = df.agg(F.count("*").alias("rows"), F.array(*[s.cast("bigint") for s in sums]).alias("a"))
     cells = [F.struct(F.lit(k).alias("column"), F.col("a")[3 * i].alias("repaired"), F.col("a")[3 * i + 1].alias("suspicious_before"), F.col("a")[3 * i + 2].alias("suspicious_after")) for i, k in enumerate(pairs)]
     return one.select("rows", F.inline(F.array(*cells)))

@@ -224,14 +224,17 @@ def event_ids(spark, folder):
 
 @query
 def mojibake_repair(spark, folder):
-    rows = corpus.repair_strings(news(spark, folder).select("seq", "titulo", "fuente"), ["titulo", "fuente"])
-    return rows.select("seq", "titulo", "fuente")
+    rows = news(spark, folder)
+    named = corpus.string_columns(rows)
+    return corpus.repair_strings(rows.select("seq", *named), named)
 
 
 @query
 def repair_report(spark, folder):
-    rows = news(spark, folder).select("titulo", text.repair_text(F.col("titulo")).alias("fixed"))
-    return metrics.repair_report(rows, {"titulo": ("titulo", "fixed")})
+    rows = news(spark, folder)
+    named = corpus.string_columns(rows)
+    fixed = rows.select(*named, *[text.repair_text(F.col(c)).alias(f"fixed_{c}") for c in named])
+    return metrics.repair_report(fixed, {c: (c, f"fixed_{c}") for c in named})
 
 
 def _merged(spark, folder):

@@ -265,3 +265,14 @@ def test_merge_repairs_all_string_columns(spark):
     assert (got[1].titulo, got[1].texto, got[1].fuente, got[1].tema) == ("La inflación sube en el país otra vez", body.strip(), "Opinión", "Economía")
     done = pipeline.daily(a.drop("entidades", "indicadores", "stress_score"), b.drop("entidades", "indicadores", "stress_score"), "2026-01-01T00:00:00Z", now())
     assert [r.fuente for r in done.clean.select("fuente").distinct().collect()] == ["Opinión"]
+
+
+def test_repair_queries_cover_all_string_columns(spark, tmp_path):
+    from quipu.plans import queries
+
+    bad = "Economía".encode().decode("latin-1")
+    spark.createDataFrame([(1, bad, bad, "A", bad), (2, None, bad, None, "B")], "seq bigint, titulo string, texto string, fuente string, tema string").write.parquet(f"{tmp_path}/noticias.parquet")
+    got = {r.seq: (r.titulo, r.texto, r.fuente, r.tema) for r in queries.mojibake_repair(spark, str(tmp_path)).collect()}
+    assert got == {1: ("Economía", "Economía", "A", "Economía"), 2: (None, "Economía", None, "B")}
+    report = {r.column: (r.rows, r.repaired, r.suspicious_after) for r in queries.repair_report(spark, str(tmp_path)).collect()}
+    assert report == {"titulo": (2, 1, 0), "texto": (2, 2, 0), "fuente": (2, 0, 0), "tema": (2, 1, 0)}
