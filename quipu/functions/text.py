@@ -140,31 +140,37 @@ def term_pattern(term: str) -> str | None:
 
 def holds_term(normal: Column, term: str) -> Column:
     pattern = term_pattern(term)
-    return normal.rlike(pattern) if pattern else normal.contains(term)
+    return normal.contains(term) & normal.rlike(pattern) if pattern else normal.contains(term)
 
 
-def _labels(normal: Column, terms: dict[str, list[str]], special: dict[str, Column] = {}) -> Column:
-    def held(name: str) -> Column:
-        if name in special:
-            return special[name]
-        found = F.lit(False)
-        for t in terms[name]:
-            found = found | holds_term(normal, t)
-        return found
+def _once(c: Column, made) -> Column:
+    """``made`` of a column that is worked out once a row, however often ``made`` names it."""
+    return F.element_at(F.transform(F.array(c), made), 1)
 
-    return F.filter(F.array(*[F.when(held(name), F.lit(name)) for name in terms]), lambda x: x.isNotNull())
+
+def _held(normal: Column, terms: list[str]) -> Column:
+    found = F.lit(False)
+    for t in terms:
+        found = found | holds_term(normal, t)
+    return found
+
+
+def _labels(normal: Column, terms: dict[str, list[str]]) -> Column:
+    held = lambda t: F.filter(F.array(*[F.when(_held(t, words), F.lit(name)) for name, words in terms.items()]), lambda x: x.isNotNull())
+    return _once(normal, held)
 
 
 def entities(c: Column, terms: dict[str, list[str]] = lexicon.ENTITIES) -> Column:
     """Names of the entities that the text mentions, in the list's order."""
-    special = {}
-    if lexicon.CAPITALS_ONLY in terms:
-        name = lexicon.CAPITALS_ONLY
-        full = [t for t in terms[name] if t != name.lower()]
-        special[name] = _text(c).rlike(rf"(?U)(?<!\w){name}(?!\w)")
-        for t in full:
-            special[name] = special[name] | holds_term(normalize(c), t)
-    return _labels(normalize(c), terms, special)
+    name = lexicon.CAPITALS_ONLY
+    if name not in terms:
+        return _labels(normalize(c), terms)
+    full = terms | {name: [t for t in terms[name] if t != name.lower()]}
+    written = _text(c).contains(name) & _text(c).rlike(rf"(?U)(?<!\w){name}(?!\w)")
+    found = _labels(normalize(c), full)
+    # the name in capitals counts too, in its place in the list
+    every = F.array(*[F.lit(n) for n in terms])
+    return F.when(written & ~F.array_contains(found, name), F.filter(every, lambda x: F.array_contains(found, x) | (x == name))).otherwise(found)
 
 
 def indicators(c: Column, terms: dict[str, list[str]] = lexicon.INDICATORS) -> Column:
@@ -173,15 +179,17 @@ def indicators(c: Column, terms: dict[str, list[str]] = lexicon.INDICATORS) -> C
 
 def term_counts(c: Column, weights: dict[str, int], whole: bool = False) -> Column:
     """Map of term to number of uses.  Phrases count anywhere unless ``whole``; words count where they stand alone."""
-    normal = normalize(c)
 
-    def uses(t: str) -> Column:
+    def uses(normal: Column, t: str) -> Column:
         if whole:
-            return F.regexp_count(normal, F.lit(rf"(?U)(?<!\w){re.escape(t)}(?!\w)"))
-        return F.regexp_count(normal, F.lit(re.escape(t) if " " in t else rf"(?U)\b{re.escape(t)}\b"))
+            pattern = rf"(?U)(?<!\w){re.escape(t)}(?!\w)"
+        else:
+            pattern = re.escape(t) if " " in t else rf"(?U)\b{re.escape(t)}\b"
+        return F.when(normal.contains(t), F.regexp_count(normal, F.lit(pattern))).otherwise(0)
 
-    pairs = F.map_from_arrays(F.array(*[F.lit(t) for t in weights]), F.array(*[uses(t) for t in weights]))
-    return F.map_filter(pairs, lambda _, n: n > 0)
+    names = F.array(*[F.lit(t) for t in weights])
+    counts = _once(normalize(c), lambda normal: F.array(*[uses(normal, t) for t in weights]))
+    return F.map_filter(F.map_from_arrays(names, counts), lambda _, n: n > 0)
 
 
 def weigh(counts: Column, weights: dict[str, int]) -> Column:
@@ -204,22 +212,28 @@ def level(score: Column, steps: tuple[int, int, int] = (75, 60, 40), names: tupl
 
 def economic_score(c: Column, terms: list[str] = lexicon.CLEAN_TERMS) -> Column:
     """Number of different terms that the text holds, also inside words."""
-    low = normalize(c)
-    out = F.lit(0)
-    for t in terms:
-        out = out + low.contains(t).cast("int")
-    return out
+
+    def count(low: Column) -> Column:
+        out = F.lit(0)
+        for t in terms:
+            out = out + low.contains(t).cast("int")
+        return out
+
+    return _once(normalize(c), count)
+
+
+def _told(normal: Column, titles: list[str], patterns: list[str]) -> Column:
+    return _once(normal, lambda t: t.isin(titles) | t.rlike("(?U)(?:" + "|".join(patterns) + ")"))
 
 
 def excluded_title(c: Column) -> Column:
-    normal = normalize(c)
-    return normal.isin(lexicon.EXCLUDED_TITLES) | normal.rlike("(?U)(?:" + "|".join(lexicon.EXCLUDED_PATTERNS) + ")")
+    return _told(normalize(c), lexicon.EXCLUDED_TITLES, lexicon.EXCLUDED_PATTERNS)
 
 
 def generic_title(c: Column) -> Column:
     """Titles of index pages, a bank's or institute's name after them taken off."""
     key = normalize_space(F.regexp_replace(normalize(c), r"(?i)\s*[|–-]\s*(?:banco central de bolivia|bcb|ine).*$", ""))
-    return key.isin(lexicon.GENERIC_TITLES) | key.rlike("(?U)(?:" + "|".join(lexicon.GENERIC_PATTERNS) + ")")
+    return _told(key, lexicon.GENERIC_TITLES, lexicon.GENERIC_PATTERNS)
 
 
 def document_id(source: Column, url: Column, title: Column) -> Column:
@@ -269,12 +283,28 @@ def _redecode(text: str, codecs: tuple[str, ...], rounds: int, control: bool) ->
 
 
 @F.pandas_udf(StringType())
-def repair_mojibake(s: pd.Series) -> pd.Series:
-    """UTF-8 that was read as Latin-1 or Windows-1252, up to three times over; null stays null."""
+def _repair_mojibake(s: pd.Series) -> pd.Series:
     return s.map(lambda x: _redecode(x, ("latin-1", "cp1252"), 3, False), na_action="ignore")
 
 
 @F.pandas_udf(StringType())
-def repair_text(s: pd.Series) -> pd.Series:
-    """As ``repair_mojibake`` for Latin-1, up to twice; composed form, no control characters, trimmed; null becomes empty."""
-    return s.fillna("").map(lambda x: re.sub(_CONTROL, "", unicodedata.normalize("NFC", _redecode(x, ("latin-1",), 2, True))).strip())
+def _repair_text(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: re.sub(_CONTROL, "", unicodedata.normalize("NFC", _redecode(x, ("latin-1",), 2, True))).strip(), na_action="ignore")
+
+
+def repair_mojibake(c: Column) -> Column:
+    """UTF-8 that was read as Latin-1 or Windows-1252, up to three times over; null stays null.
+
+    Only texts with a sign of it go through Python.
+    """
+    signs = c.rlike("[" + "".join(sorted({s[0] for s in MERGE_SIGNS})) + "]")
+    return F.coalesce(_repair_mojibake(F.when(signs, c)), c)
+
+
+def repair_text(c: Column) -> Column:
+    """As ``repair_mojibake`` for Latin-1, up to twice; composed form, no control characters, trimmed; null becomes empty.
+
+    Plain ASCII without control characters is only trimmed, without Python.
+    """
+    plain = c.rlike(r"^[\x09\x0a\x0d\x20-\x7e]*$")
+    return F.coalesce(F.when(plain, F.regexp_replace(c, r"^\s+|\s+$", "")), _repair_text(F.when(~plain, c)), F.lit(""))

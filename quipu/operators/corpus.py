@@ -5,14 +5,19 @@ Duplicates are dropped by windows over their keys; ``seq`` is the order of arriv
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quipu.functions import lexicon, numbers, text
-from quipu.operators.lineage import cut, small
+from quipu.operators.lineage import bounded, cut, small
 
 #: Most rows of a dimension table that is broadcast (about 200 bytes each).
 BROADCAST_ROWS = 100_000
+#: Undecided rows (24 bytes each) that one task goes through in order.
+LOCAL_ROWS = 2_000_000
 
 # Defaults of missing columns.
 DEFAULTS = {"economic_score": 0, "source_type": "unknown", "department": "No especificado", "scope": "unknown", "source_weight": 0.5}
@@ -29,6 +34,11 @@ def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFr
     return df.withColumn("__n", F.row_number().over(span)).where("__n = 1").drop("__n")
 
 
+def only(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``seq``, which is unique, is in ``kept``: choices are made on keys alone, so wide rows move at most once."""
+    return df.join(kept.select("seq"), "seq", "left_semi")
+
+
 def with_defaults(df: DataFrame) -> DataFrame:
     """Missing columns added, blank texts and unreadable numbers replaced by the defaults."""
     for c in COLUMNS:
@@ -41,7 +51,7 @@ def with_defaults(df: DataFrame) -> DataFrame:
 
 
 def _quality() -> list[Column]:
-    return [F.desc(F.length("texto")), F.desc("economic_score"), F.desc(F.length("titulo")), F.desc("source_weight"), F.asc("seq")]
+    return [F.length("texto"), F.col("economic_score"), F.length("titulo"), F.col("source_weight")]
 
 
 def merge_corpus(previous: DataFrame, current: DataFrame, collected_at: str, title: int = 10, body: int = 100) -> DataFrame:
@@ -53,9 +63,10 @@ def merge_corpus(previous: DataFrame, current: DataFrame, collected_at: str, tit
     fill = F.coalesce(text.missing(F.col("collected_at")), F.lit(collected_at))
     rows = with_defaults(previous).unionByName(with_defaults(current).withColumn("collected_at", fill), allowMissingColumns=True)
     rows = rows.where((F.length("titulo") >= title) & (F.length("texto") >= body))
-    placed = keep_first(rows.where("url <> ''"), [F.col("url")], _quality())
-    rows = placed.unionByName(rows.where("url = ''"))
-    rows = keep_first(rows, [text.title_key(F.col("titulo"))], [F.desc(F.col("url") != ""), *_quality()])
+    slim = rows.select("seq", "url", text.title_key(F.col("titulo")).alias("key"), *[c.alias(f"q{i}") for i, c in enumerate(_quality())])
+    order = [F.desc("q0"), F.desc("q1"), F.desc("q2"), F.desc("q3"), F.asc("seq")]
+    placed = keep_first(slim.where("url <> ''"), [F.col("url")], order).unionByName(slim.where("url = ''"))
+    rows = only(rows, keep_first(placed, [F.col("key")], [F.desc(F.col("url") != ""), *order]))
     made = text.document_id(F.col("fuente"), F.col("url"), F.col("titulo"))
     rows = rows.withColumn("id", F.coalesce(text.missing(F.col("id")), made))
     return repair_strings(rows, string_columns(rows))
@@ -66,31 +77,45 @@ def clean_corpus(df: DataFrame, title: int = 20, body: int = 250, least_score: i
 
     All records without address are one address.
     """
-    score = text.economic_score(F.concat_ws(" ", "titulo", "texto"))
-    rows = df.where((F.length("titulo") >= title) & (F.length("texto") >= body) & ~text.excluded_title(F.col("titulo")))
-    rows = rows.withColumn("score_recalculado", score).where(F.col("score_recalculado") >= least_score)
-    rows = keep_first(rows, [F.col("url")], [F.col("seq")])
-    return keep_first(rows, [text.title_key(F.col("titulo"))], [F.col("seq")])
-
-
-def greedy_deduplicate(df: DataFrame, rounds: int = 50) -> DataFrame:
+    score = text.economic_score(F.concat_ws(" ", "titulo", "texto")).alias("score_recalculado")
+    slim = df.where((F.length("titulo") >= title) & (F.length("texto") >= body))
+    slim = slim.select("seq", "url", text.title_key(F.col("titulo")).alias("key"), text.excluded_title(F.col("titulo")).alias("out"), score)
+    slim = cut(slim).where(~F.col("out") & (F.col("score_recalculado") >= least_score))
+    slim = keep_first(keep_first(slim, [F.col("url")], [F.col("seq")]), [F.col("key")], [F.col("seq")])
+    return df.drop("score_recalculado").join(slim.select("seq", "score_recalculado"), "seq")
+
+
+def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows (seq, u, t) that the rule of ``greedy_deduplicate`` keeps, in one pass."""
+    frames = list(parts)
+    rows = pd.concat(frames, ignore_index=True).sort_values("seq") if frames else pd.DataFrame({"seq": [], "u": [], "t": []})
+    urls, titles, kept = set(), set(), []
+    for seq, u, t in zip(rows["seq"], rows["u"], rows["t"]):
+        if u not in urls and t not in titles:
+            urls.add(u)
+            titles.add(t)
+            kept.append(seq)
+    yield pd.DataFrame({"seq": kept}, dtype="int64")
+
+
+def greedy_deduplicate(df: DataFrame, local: int = LOCAL_ROWS) -> DataFrame:
     """Rows kept in order of arrival unless their address or title was kept before; dropped rows block nothing.
 
-    A row is kept once no earlier undecided or kept row shares a key with it, and dropped once a kept one does; that is
-    repeated until all are decided, each round over the undecided only.  Blank keys are keys like others.
+    A row is kept once no earlier undecided or kept row shares a key with it, and dropped once a kept one does.  Rounds of
+    that over all tasks leave fewer and fewer undecided; once they are at most ``local`` rows of three numbers, one task goes
+    through them in order, so long chains end too.  Blank keys are keys like others.
     """
-    rows = df.select("seq", text.normalize_url(F.col("url")).alias("u"), text.simple_title_key(F.col("titulo")).alias("t"))
-    undecided, kept = rows, None
-    while True:
+    rows = df.select("seq", F.xxhash64(text.normalize_url(F.col("url"))).alias("u"), F.xxhash64(text.simple_title_key(F.col("titulo"))).alias("t"))
+    # rows that share a key with nobody need no rounds
+    alone = cut(rows.withColumns({"nu": F.count("*").over(Window.partitionBy("u")), "nt": F.count("*").over(Window.partitionBy("t"))}))
+    kept = alone.where("nu = 1 and nt = 1").select("seq")
+    undecided = alone.where("nu > 1 or nt > 1").select("seq", "u", "t")
+    while not bounded(undecided, local):
         first = undecided.groupBy("u").agg(F.min("seq").alias("fu")), undecided.groupBy("t").agg(F.min("seq").alias("ft"))
         now = cut(undecided.join(first[0], "u").join(first[1], "t").where("seq = fu and seq = ft").select("seq", "u", "t"))
-        kept = now if kept is None else kept.unionByName(now)
-        undecided = cut(undecided.join(now.select("u"), "u", "left_anti").join(now.select("t"), "t", "left_anti").select("seq", "u", "t"))
-        rounds -= 1
-        if undecided.isEmpty():
-            return df.join(kept.select("seq"), "seq", "left_semi")
-        if rounds == 0:
-            raise ValueError("rows are still undecided after the given rounds")
+        kept = kept.unionByName(now.select("seq"))
+        undecided = cut(undecided.join(now.select("u"), "u", "left_anti").join(now.select("t"), "t", "left_anti"))
+    return only(df, kept.unionByName(undecided.coalesce(1).mapInPandas(_in_order, "seq bigint")))
 
 
 def best_for_annotation(df: DataFrame) -> DataFrame:

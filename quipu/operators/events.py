@@ -1,19 +1,30 @@
 """Events: clusters of documents that tell the same, and their summaries.
 
-Similarity is the cosine of TF-IDF vectors.  Pairs over the threshold are found without comparing all: of each vector only
-the rarest terms are indexed, as many as leave a rest too short to reach the threshold alone, so any pair above it
-meets in an indexed term (prefix filtering).  Identical vectors collapse first, so copies make no pairs.
+Similarity is the cosine of TF-IDF vectors.  Pairs over the threshold are found without comparing all: documents meet in
+their rarest terms within neighbouring spans of time, and only pairs whose common rare terms come near enough to the
+threshold are compared in full (prefix filtering with a bound on the rest).  Copies collapse first and make no pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quipu.functions import dates, numbers, text
-from quipu.operators.lineage import cut, store
+from quipu.operators.lineage import bounded, cut, store
 
 THRESHOLD, MAX_DAYS, MAX_TERMS = 0.48, 3.0, 8000
+#: Norm of what a document's indexed terms leave out, at most.
+REST = 0.3
+#: Edges (16 bytes each) that one task joins to components; more are joined in rounds over all tasks.
+LOCAL_EDGES = 1_000_000
+#: Members of an event whose texts one task puts together; the ids of larger ones are made from digests of parts.
+MOST_MEMBERS = 10_000
 
 
 def document_text() -> Column:
@@ -39,31 +50,80 @@ def tfidf(df: DataFrame, key: str, content: Column, most_terms: int = MAX_TERMS)
     return raw.join(norm, "key").select("key", "term", "df", (F.col("w") / F.col("norm")).alias("w"))
 
 
+@F.pandas_udf(DoubleType())
+def _dot(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.Series:
+    """Product of two sparse vectors: terms and weights of each."""
+    out = np.empty(len(ta))
+    for i, (p, u, q, v) in enumerate(zip(ta, wa, tb, wb)):
+        _, x, y = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+        out[i] = float(np.dot(u[x], v[y]))
+    return pd.Series(out)
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, times: DataFrame | None = None, days: float = MAX_DAYS) -> DataFrame:
-    """``(a, b, cosine)`` of different vectors, a < b, at or above the threshold; with ``times`` (key, at) only pairs close in time."""
+    """``(a, b, cosine)`` of different vectors, a < b, at or above the threshold; with ``times`` (key, at) only pairs close in time.
+
+    In an order common to all, from rare to frequent, each document is indexed by its first terms, until what is left has a
+    norm of REST at most.  Of two documents, the one whose indexed terms end first shares with the other only terms that
+    both index, and beyond them no more than REST; so the products of common indexed terms reach threshold - REST in any
+    pair sought.  Timed documents meet per span of ``days`` and its neighbours, those without time meet all.
+    """
+    least = min(REST, threshold)
     rest = F.sqrt(F.greatest(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key").orderBy(F.desc("df"), F.desc("term"))), F.lit(0.0)))
-    prefix = vectors.withColumn("rest", rest).where(F.col("rest") >= threshold - 1e-9).select("key", "term")
-    if times is not None:
-        prefix = prefix.join(times, "key", "left")
-    a = prefix.select("term", F.col("key").alias("a"), *([F.col("at").alias("at_a")] if times is not None else []))
-    b = prefix.select("term", F.col("key").alias("b"), *([F.col("at").alias("at_b")] if times is not None else []))
-    met = a.join(b, "term").where("a < b")
-    if times is not None:
-        met = met.where(dates.compatible(F.col("at_a"), F.col("at_b"), days))
-    met = met.select("a", "b").distinct()
-    packed = vectors.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
-    left, right = packed.select(F.col("key").alias("a"), F.map_keys("v").alias("ta"), F.col("v").alias("va")), packed.select(F.col("key").alias("b"), F.col("v").alias("vb"))
-    both = met.join(left, "a").join(right, "b")
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
-    return both.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= threshold)
+    prefix = vectors.withColumn("rest", rest).where(F.col("rest") >= least - 1e-9).select(F.xxhash64("term").alias("term"), "key", "w")
+    if times is None:
+        prefix = prefix.withColumns({"at": F.lit(None).cast("bigint"), "span": F.lit(0)})
+    else:
+        prefix = prefix.join(times.select("key", F.unix_micros("at").alias("at")), "key", "left")
+        prefix = prefix.withColumn("span", F.floor(F.col("at") / (days * 86_400_000_000)))
+    side = lambda df, s: df.select("term", "span", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "at", "w")])
+    if times is None:
+        met = side(prefix, "a").join(side(prefix, "b"), ["term", "span"])
+    else:
+        timed, free = prefix.where("at is not null"), prefix.where("at is null")
+        near = timed.withColumn("span", F.explode(F.array(*[F.col("span") + i for i in (-1, 0, 1)])))
+        met = side(timed, "a").join(side(near, "b"), ["term", "span"]).where(F.abs(F.col("at_a") - F.col("at_b")) <= days * 86_400_000_000)
+        for x, y in ((free, prefix), (timed, free)):
+            met = met.unionByName(side(x, "a").drop("span").join(side(y, "b").drop("span"), "term").withColumn("span", F.lit(0)))
+    met = met.where("key_a < key_b").groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b")).agg(F.sum(F.col("w_a") * F.col("w_b")).alias("part"))
+    met = met.where(F.col("part") >= threshold - least - 1e-9).select("a", "b")
+    packed = vectors.groupBy("key").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("v")).select("key", "v.t", "v.w")
+    of = lambda s: packed.select(F.col("key").alias(s), F.col("t").alias(f"t{s}"), F.col("w").alias(f"w{s}"))
+    both = met.join(of("a"), "a").join(of("b"), "b")
+    return both.select("a", "b", _dot("ta", "wa", "tb", "wb").alias("cosine")).where(F.col("cosine") >= threshold)
+
+
+def _joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of edges (a, b) on arrays: every node takes its neighbours' least root until nothing changes."""
+    frames = list(parts)
+    a, b = (np.concatenate([f[c].to_numpy("int64") for f in frames]) if frames else np.empty(0, "int64") for c in ("a", "b"))
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[a], root[b])
+        now = root.copy()
+        for x in (a, b):
+            np.minimum.at(now, root[x], low)
+            np.minimum.at(now, x, low)
+        while not np.array_equal(now, now[now]):
+            now = now[now]
+        if np.array_equal(now, root):
+            break
+        root = now
+    moved = root != np.arange(len(names))
+    yield pd.DataFrame({"node": names[moved], "root": names[root[moved]]})
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` of every node of the edges ``(a, b)``, the root being the smallest node of its component.
+    """``(node, root)`` of every node of the edges ``(a, b)`` but the roots, which are the smallest nodes of their components.
 
-    Large-star and small-star steps in turn until nothing changes; each round is checkpointed.
+    Up to LOCAL_EDGES edges are joined in one task, more by large-star and small-star steps in turn until nothing changes;
+    each round is checkpointed.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if bounded(edges, LOCAL_EDGES):
+        return cut(edges.coalesce(1).mapInPandas(_joined, "node bigint, root bigint"))
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -82,23 +142,41 @@ def event_id(members: Column) -> Column:
     return F.concat(F.lit("evt-"), F.substring(F.sha1(F.array_join(F.array_sort(F.flatten(members)), "|")), 1, 12))
 
 
+def event_ids(df: DataFrame, group: str, most: int = MOST_MEMBERS) -> DataFrame:
+    """``(group, event_id, event_size)`` by the columns ``url, titulo, effective_at`` of a group's rows.
+
+    The texts of up to ``most`` members are put together as a whole; a larger group's id comes from the digests of 1024
+    parts of its texts, so none is gathered.
+    """
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = df.select(group, F.array(text_of("url"), text_of("titulo"), text_of("effective_at")).alias("__m"))
+    sizes = cut(rows.groupBy(group).agg(F.count("*").cast("int").alias("event_size")))
+    large = sizes.where(F.col("event_size") > most).select(group)
+    ids = rows.join(sizes.where(F.col("event_size") <= most).select(group), group, "left_semi").groupBy(group).agg(event_id(F.collect_list("__m")).alias("event_id"))
+    if not large.isEmpty():
+        each = rows.join(F.broadcast(large), group).select(group, F.explode("__m").alias("x")).withColumn("p", F.pmod(F.xxhash64("x"), F.lit(1024)))
+        # equal texts are counted, so a part is as long as its different texts
+        part = each.groupBy(group, "p", F.sha1("x").alias("x")).agg(F.count("*").alias("n")).groupBy(group, "p").agg(F.bit_xor(F.xxhash64("x", "n")).alias("a"), F.sum(F.xxhash64("n", "x") % 1_000_000_007).alias("b"))
+        told = part.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "p", "a", "b"))), "|").alias("t"))
+        ids = ids.unionByName(told.select(group, F.concat(F.lit("evt-"), F.substring(F.sha1("t"), 1, 12)).alias("event_id")))
+    return ids.join(sizes, group)
+
+
 def cluster_news(df: DataFrame, threshold: float = THRESHOLD, days: float = MAX_DAYS, most_terms: int = MAX_TERMS) -> DataFrame:
     """Add ``event_id`` and ``event_size``: components of similar documents close in time; df has ``seq`` and ``effective_at``.
 
     Documents without words are events of their own.  Copies (same text and time) are one node.
     """
     df = df.withColumn("__at", dates.instant(F.col("effective_at")))
-    rows = store(df.select("seq", F.xxhash64(document_text(), F.unix_micros("__at")).alias("copy"), document_text().alias("content"), "__at"))
-    nodes = rows.groupBy("copy").agg(F.min("seq").alias("node"), F.first("content").alias("content"), F.first("__at").alias("at"))
-    counted = rows.select("copy", F.col("seq"))
-    vectors = store(tfidf(rows, "seq", F.col("content"), most_terms).join(nodes.select(F.col("node").alias("key")), "key", "left_semi"))
-    pairs = similar_pairs(vectors, threshold, nodes.select(F.col("node").alias("key"), "at"), days)
-    roots = components(pairs.select("a", "b"))
-    spread = counted.join(nodes.select("copy", "node"), "copy").join(roots, "node", "left").select("seq", F.coalesce("root", "node").alias("__root"))
+    rows = store(df.select("seq", document_text().alias("content"), "__at").withColumn("copy", F.xxhash64("content", F.unix_micros("__at"))))
+    nodes = rows.groupBy("copy").agg(F.min("seq").alias("node"), F.first("__at").alias("at"))
+    spread = cut(rows.select("copy", "seq").join(nodes, "copy").select("seq", "node", "at"))
+    alone = spread.where("seq = node").select(F.col("node").alias("key"), "at")
+    vectors = store(tfidf(rows, "seq", F.col("content"), most_terms).join(alone.select("key"), "key", "left_semi"))
+    roots = components(similar_pairs(vectors, threshold, alone, days).select("a", "b"))
+    spread = spread.join(roots, "node", "left").select("seq", F.coalesce("root", "node").alias("__root"))
     out = df.join(spread, "seq")
-    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    ids = out.groupBy("__root").agg(event_id(F.collect_list(F.array(text_of("url"), text_of("titulo"), text_of("effective_at")))).alias("event_id"), F.count("*").cast("int").alias("event_size"))
-    return out.join(ids, "__root").drop("__root", "__at")
+    return out.join(event_ids(out, "__root"), "__root").drop("__root", "__at")
 
 
 def dominant(df: DataFrame, group: str, value: Column, name: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Cutting lineage in a folder that all executors share, and checking sizes before a broadcast.
 
-The folder is spark.checkpoint.dir of the session.  Only where it is unset, as in tests on one machine, a temporary one is
-made.  Stored tables stay there until the folder is cleared.
+The folder is spark.checkpoint.dir of the session.  Only on one machine (a local master) may it be unset: a temporary one is
+made then; on a cluster that is an error.  Stored tables are deleted when the application ends, or before by ``drop``.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -17,7 +18,10 @@ def folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     set_ = context._jsc.sc().getCheckpointDir()
     if set_.isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quipu-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quipu-"))
         set_ = context._jsc.sc().getCheckpointDir()
     return (context.getConf().get("spark.checkpoint.dir") or set_.get()).rstrip("/")
 
@@ -30,9 +34,32 @@ def cut(df: DataFrame) -> DataFrame:
 
 def store(df: DataFrame) -> DataFrame:
     """As ``cut``, for wide rows: written as a compressed table."""
-    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = place(df.sparkSession)
     df.write.option("compression", "snappy").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_OPEN: set[str] = set()
+
+
+def place(spark: SparkSession) -> str:
+    """Path of a new table, deleted when the application ends."""
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
+    if not _OPEN:
+        atexit.register(lambda: drop(SparkSession.getActiveSession(), list(_OPEN)))
+    _OPEN.add(path)
+    return path
+
+
+def drop(spark: SparkSession | None, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        _OPEN.discard(path)
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is gone; the folder's owner clears it
+            return
 
 
 def bounded(df: DataFrame, rows: int) -> bool:
@@ -43,3 +70,12 @@ def bounded(df: DataFrame, rows: int) -> bool:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """The table with a broadcast hint if it has at most so many rows; it should be cheap to read."""
     return F.broadcast(df) if bounded(df, rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that lies in fewer parts than there are cores, dealt out evenly; any other as it is.
+
+    A small file is one part however costly its rows are.  Tables of many files have parts enough and aren't moved.
+    """
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= 2 * most else df.repartition(most)

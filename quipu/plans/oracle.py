@@ -261,6 +261,7 @@ select seq, case when use then mt else source_type end as source_type, case when
     "semi_join": "select seq, id from noticias where id in (select id from anotaciones)",
     "per_source_cap": "select fuente, seq from noticias where fuente is not null qualify row_number() over (partition by fuente order by seq) <= 20",
     "tfidf_weights": f"with {_dated(240.0)}, {_OP}, {_TFIDF} select seq, count(*) as terms, {_r2('sum(w) * 100')} as weight from ve group by seq",
+    "event_clusters_corpus": f"with recursive {_dated(240.0)}, op as (select * from dated where e is not null), {_CLUSTERS} select cl.seq, ei.event_id, ei.event_size from cl join ei using (root)",
     "event_clusters": f"with recursive {_dated(240.0)}, {_OP}, {_CLUSTERS} select cl.seq, ei.event_id, ei.event_size from cl join ei using (root)",
     "event_payload": f"select sum(greatest(documents, 1)) as documents, count(*) as events, {_r2('(1 - count(*) / sum(greatest(documents, 1))::double) * 100')} as compression_ratio, count(*) filter (unique_sources >= 2) as multi_source_events, max(documents) as largest_event from eventos_operativos",
     "dominant_topic": f"select fuente, tema from (select fuente, {_missing('trim(tema)')} as tema, count(*) as n, min(seq) as f from noticias where fuente is not null group by 1, 2) where tema is not null qualify row_number() over (partition by fuente order by n desc, f) = 1",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quipu.functions import dates, lexicon, numbers, text
-from quipu.operators import annotation, corpus, events, gates, metrics, models, ranking, temporal, timestamps
+from quipu.operators import annotation, corpus, events, gates, lineage, metrics, models, ranking, temporal, timestamps
 from quipu.plans import pipeline, service
 from quipu.sources import catalogue
 
@@ -39,13 +39,18 @@ def news(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "noticias")
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """News for work on whole texts, spread over all cores."""
+    return lineage.spread(news(spark, folder))
+
+
 def dated(spark: SparkSession, folder: str) -> DataFrame:
     return temporal.temporal_columns(news(spark, folder), now())
 
 
 def levelled(spark: SparkSession, folder: str) -> DataFrame:
     """News with a stress level; whether the models agree isn't told in these tables."""
-    return news(spark, folder).withColumns({"stress_nivel": text.level(F.col("stress_score")), "coincidencia_modelos": F.lit(None).cast("boolean")})
+    return texts(spark, folder).withColumns({"stress_nivel": text.level(F.col("stress_score")), "coincidencia_modelos": F.lit(None).cast("boolean")})
 
 
 def content() -> Column:
@@ -172,36 +177,36 @@ def url_keys(spark, folder):
 
 @query
 def economic_scores(spark, folder):
-    return news(spark, folder).select("seq", text.economic_score(content()).alias("clean_score"), text.economic_score(content(), lexicon.COLLECT_TERMS).alias("collect_score"))
+    return texts(spark, folder).select("seq", text.economic_score(content()).alias("clean_score"), text.economic_score(content(), lexicon.COLLECT_TERMS).alias("collect_score"))
 
 
 @query
 def lexical_stress(spark, folder):
     risk, relief = text.weigh(text.term_counts(content(), lexicon.RISK), lexicon.RISK), text.weigh(text.term_counts(content(), lexicon.RELIEF), lexicon.RELIEF)
-    rows = news(spark, folder).select("seq", risk.alias("risk"), relief.alias("relief"))
+    rows = texts(spark, folder).select("seq", risk.alias("risk"), relief.alias("relief"))
     return rows.select("seq", "risk", "relief", text.stress(F.col("risk"), F.col("relief")).alias("stress")).withColumn("level", text.level(F.col("stress")))
 
 
 @query
 def optimism_terms(spark, folder):
     counts = text.term_counts(F.concat_ws(" ", "titulo", "texto"), lexicon.OPTIMISM, whole=True)
-    return metrics.merged_counts(news(spark, folder).select(counts.alias("counts")), "counts")
+    return metrics.merged_counts(texts(spark, folder).select(counts.alias("counts")), "counts")
 
 
 @query
 def entity_mentions(spark, folder):
-    return news(spark, folder).select("seq", F.explode(text.entities(content())).alias("entity"))
+    return texts(spark, folder).select("seq", F.explode(text.entities(content())).alias("entity"))
 
 
 @query
 def indicator_mentions(spark, folder):
-    return news(spark, folder).select("seq", F.explode(text.indicators(content())).alias("indicator"))
+    return texts(spark, folder).select("seq", F.explode(text.indicators(content())).alias("indicator"))
 
 
 @query
 def token_counts(spark, folder):
     words = text.tokens(F.col("texto"))
-    return news(spark, folder).select("seq", F.size(words).alias("tokens"), F.length(text.classic_text(F.col("texto"))).alias("classic_length"), F.length(text.topic_text(F.col("texto"))).alias("topic_length"))
+    return texts(spark, folder).select("seq", F.size(words).alias("tokens"), F.length(text.classic_text(F.col("texto"))).alias("classic_length"), F.length(text.topic_text(F.col("texto"))).alias("topic_length"))
 
 
 @query
@@ -224,21 +229,21 @@ def event_ids(spark, folder):
 
 @query
 def mojibake_repair(spark, folder):
-    rows = news(spark, folder)
+    rows = texts(spark, folder)
     named = corpus.string_columns(rows)
     return corpus.repair_strings(rows.select("seq", *named), named)
 
 
 @query
 def repair_report(spark, folder):
-    rows = news(spark, folder)
+    rows = texts(spark, folder)
     named = corpus.string_columns(rows)
     fixed = rows.select(*named, *[text.repair_text(F.col(c)).alias(f"fixed_{c}") for c in named])
     return metrics.repair_report(fixed, {c: (c, f"fixed_{c}") for c in named})
 
 
 def _merged(spark, folder):
-    rows = news(spark, folder)
+    rows = texts(spark, folder)
     return corpus.merge_corpus(rows.where("lote <= 200"), rows.where("lote > 200"), "2026-02-01T00:00:00Z")
 
 
@@ -249,7 +254,7 @@ def corpus_merge(spark, folder):
 
 @query
 def clean_dedup(spark, folder):
-    return corpus.clean_corpus(news(spark, folder)).select("seq", "score_recalculado")
+    return corpus.clean_corpus(texts(spark, folder)).select("seq", "score_recalculado")
 
 
 @query
@@ -296,7 +301,7 @@ def per_source_cap(spark, folder):
 
 def _operational(spark, folder):
     rows = temporal.temporal_columns(news(spark, folder), now(), temporal.TemporalPolicy(recent_hours=240.0))
-    return rows.where("is_recent")
+    return lineage.spread(lineage.store(rows.where("is_recent")))
 
 
 @query
@@ -310,6 +315,13 @@ def event_clusters(spark, folder):
     return events.cluster_news(_operational(spark, folder)).select("seq", "event_id", "event_size")
 
 
+@query
+def event_clusters_corpus(spark, folder):
+    """Clusters of all dated news, whatever their age."""
+    rows = temporal.temporal_columns(texts(spark, folder), now())
+    return events.cluster_news(rows.where("effective_at is not null")).select("seq", "event_id", "event_size")
+
+
 @query
 def event_summary(spark, folder):
     return events.summarize_events(events.cluster_news(_operational(spark, folder)))
@@ -503,7 +515,7 @@ def service_analyze(spark, folder):
 
 @query
 def clean_top(spark, folder):
-    return corpus.clean_order(corpus.clean_corpus(news(spark, folder))).limit(50).select("seq", "score_recalculado")
+    return corpus.clean_order(corpus.clean_corpus(texts(spark, folder))).limit(50).select("seq", "score_recalculado")
 
 
 @query

@@ -70,16 +70,33 @@ def document(spark: SparkSession, **sections: DataFrame) -> DataFrame:
 def replace_table(df: DataFrame, path: str) -> None:
     """Replace a Parquet table, also with rows made from itself: written beside it, then moved into its place.
 
-    Readers see the old or the new table; if the write fails, the old one stays.
+    The old table is set aside, not deleted, until the new one is in place, and put back if that fails; every move's
+    outcome is checked.  One writer at a time: a lock file beside the table keeps others out (FileExistsError).
     """
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    at = {p: jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old)}
-    fs = at[path].getFileSystem(conf)
-    if fs.exists(at[path]):
-        fs.rename(at[path], at[old])
-    fs.rename(at[new], at[path])
-    fs.delete(at[old], True)
+    spark, path = df.sparkSession, path.rstrip("/")
+    jvm = spark._jvm
+    run = uuid.uuid4().hex
+    at = {k: jvm.org.apache.hadoop.fs.Path(path + v) for k, v in (("table", ""), ("new", f".new-{run}"), ("old", f".old-{run}"), ("lock", ".lock"))}
+    fs = at["table"].getFileSystem(spark._jsc.hadoopConfiguration())
+    if at["lock"].getParent() is not None:
+        fs.mkdirs(at["lock"].getParent())
+    if not fs.createNewFile(at["lock"]):
+        raise FileExistsError(f"another writer holds {path}.lock")
+    try:
+        df.write.parquet(f"{path}.new-{run}")
+        aside = fs.exists(at["table"])
+        if aside and not fs.rename(at["table"], at["old"]):
+            raise OSError(f"can't set {path} aside; it is unchanged")
+        try:
+            moved = fs.rename(at["new"], at["table"])
+        except Exception:
+            moved = False
+        if not moved:
+            if aside and not fs.rename(at["old"], at["table"]):
+                raise OSError(f"can't move the new table into place; the old one is {path}.old-{run}")
+            raise OSError(f"can't move the new table into place; {path} is unchanged")
+        fs.delete(at["old"], True)
+    finally:
+        fs.delete(at["new"], True)
+        fs.delete(at["lock"], False)
     spark.catalog.refreshByPath(path)

@@ -88,7 +88,9 @@ def test_backfill(spark):
     assert [r.fuente for r in corpus.unknown_sources(rows, meta).where("fuente is not null").collect()] == ["B"]
 
 
-def test_components_against_brute_force(spark):
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_components_against_brute_force(spark, monkeypatch, local):
+    monkeypatch.setattr(events, "LOCAL_EDGES", local)
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
     root = {}
@@ -126,7 +128,35 @@ def test_similar_pairs_against_brute_force(spark):
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 9))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "seq bigint, t string")
     got = events.similar_pairs(events.tfidf(df, "seq", F.col("t")), 0.48).collect()
-    assert {(r.a, r.b) for r in got} == cosine_pairs(texts, 0.48)
+    want = cosine_pairs(texts, 0.48)
+    assert {(r.a, r.b) for r in got} == want
+    at = {i: None if i % 9 == 0 else rng.randrange(20) for i in range(len(texts))}
+    times = spark.createDataFrame([(i, None if d is None else 86400 * d) for i, d in at.items()], "key bigint, s bigint").select("key", F.timestamp_seconds("s").alias("at"))
+    got = events.similar_pairs(events.tfidf(df, "seq", F.col("t")), 0.48, times).collect()
+    assert {(r.a, r.b) for r in got} == {(a, b) for a, b in want if at[a] is None or at[b] is None or abs(at[a] - at[b]) <= 3}
+
+
+def test_ids_of_large_events_need_no_gathering(spark):
+    rows = [(g, f"u{i}", "t", "z") for g in (1, 2) for i in range(30 + g)]
+    df = spark.createDataFrame(rows, "g int, url string, titulo string, effective_at string")
+    ids = lambda d, most: {r.g: (r.event_id, r.event_size) for r in events.event_ids(d, "g", most).collect()}
+    whole, parts = ids(df, 100), ids(df, 31)
+    assert whole[1] == parts[1] and whole[2] != parts[2] and parts[2][1] == 32
+    assert ids(df.orderBy(F.desc("url")), 31) == parts
+
+
+def test_greedy_chain_of_many_rows(spark):
+    rows = [item(i, f"Título {(i + 1) // 2}", url=f"https://x/{i // 2}") for i in range(150)]
+    want, urls, titles = [], set(), set()
+    for r in rows:
+        u, t = r[5], r[1].lower()
+        if u not in urls and t not in titles:
+            want.append(r[0])
+            urls.add(u)
+            titles.add(t)
+    df = spark.createDataFrame(rows, NEWS)
+    assert sorted(r.seq for r in corpus.greedy_deduplicate(df).collect()) == want
+    assert sorted(r.seq for r in corpus.greedy_deduplicate(df, 146).collect()) == want
 
 
 def test_clustering_and_summary(spark):

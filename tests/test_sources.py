@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
@@ -62,3 +63,15 @@ def test_entry(spark):
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and "p7_found" in names
     assert entry.entry(spark).count() >= 0
+
+
+def test_replacement_keeps_the_old_table_if_the_move_fails(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.replace_table(spark.range(3), path)
+    (tmp_path / "t.lock").touch()
+    with pytest.raises(FileExistsError):
+        tables.replace_table(spark.range(5), path)
+    (tmp_path / "t.lock").unlink()
+    assert spark.read.parquet(path).count() == 3
+    tables.replace_table(spark.read.parquet(path).where("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
