@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quipu.operators.lineage import bounded, cut, folder, small, store
+from quipu.operators.lineage import bounded, cut, drop, folder, place, small, store
 from quipu.operators.timestamps import name_key
 
-__all__ = ["bounded", "cut", "folder", "name_key", "null_if_blank", "small", "store"]
+__all__ = ["bounded", "cut", "drop", "folder", "name_key", "null_if_blank", "place", "small", "store"]
 
 
 def null_if_blank(c: Column) -> Column:

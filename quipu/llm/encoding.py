@@ -291,6 +291,20 @@ def _judged(items: DataFrame, learned: DataFrame, columns: list[str], source: st
     return each.join(learned, ["source", "left", "symbol", "right"]).select(key, "campo", "place", "true")
 
 
+def mender(learned: DataFrame):
+    """A function (source, text) for executors that applies the replacements; ``learned`` is small enough to broadcast."""
+    shared = learned.sparkSession.sparkContext.broadcast({(r["source"], r["left"], r["symbol"], r["right"]): r["true"] for r in learned.toLocalIterator() if r["true"] is not None})
+
+    def mend(source: str, text: str) -> str:
+        table, out, at = shared.value, [], 0
+        for m, (left, symbol, right) in zip(_RUN.finditer(text), places(text)):
+            out += [text[at : m.start()], table.get((source, left, symbol, right), symbol)]
+            at = m.end()
+        return "".join(out) + text[at:]
+
+    return mend
+
+
 def damaged_fields(items: DataFrame, columns: list[str], source: str = "fuente", key: str = "seq") -> DataFrame:
     """``(key, campo)`` of every field that holds characters produced by a wrong reading, restorable or not.
 

@@ -9,6 +9,9 @@ relative addresses link nothing.
 Nothing compares records pairwise within a group: records collapse to distinct headlines and pages, which link
 by stars; near headlines meet in blocking keys made of a headline's rarest words, and where too many meet in
 one key, they are linked through wildcard keys instead, again by stars.
+
+``ArticleIndex`` keeps all that in tables of a folder and takes in batch after batch: a batch's keys are probed in the
+stored ones, which are scanned but never shuffled or written again, and only clusters that new links touch change.
 """
 
 from __future__ import annotations
@@ -16,18 +19,16 @@ from __future__ import annotations
 import itertools
 import math
 import unicodedata
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from quipu.llm import encoding
-from quipu.llm.common import bounded, cut, null_if_blank, small, store
-from quipu.llm.common import folder as shared_folder
+from quipu.llm.common import bounded, cut, drop, name_key, null_if_blank, place, small
 from quipu.operators.events import components
 
 #: Words by which headlines of one article may differ.
@@ -40,13 +41,22 @@ HOT_KEY = 32
 KEY_WORDS = 5
 #: A segment is an affix if this share of the headlines it is set around also stand alone.
 AFFIX_SHARE = 0.2
+#: Count of the segments that are affixes in any case.
+SURE = 1 << 40
 #: A word is part of a name if this share of its uses inside a headline is capitalised.
 NAME_SHARE = 0.8
 BROADCAST_ROWS = 300_000
+#: Most numbers (about 40 bytes each) that are broadcast to probe a stored table; more are joined.
+KEY_ROWS = 1_000_000
+#: Records of a batch that one task works on.
+ROWS_A_TASK = 20_000
 
 _BASE = {chr(c): unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xDF, 0x250) if chr(c) == chr(c).lower()}
 _BASE = {k: v for k, v in _BASE.items() if v != k and v.isascii()}
-_SEPARATOR = r"(?:::|:|\||–|—|\s-\s|»|/)"
+# What sites set between a headline and their own words around it.
+_HEAD = r"(?s)^\s*(?:[(\[]([^)\]]{1,40})[)\]]|(.{1,40}?)\s*(?:::|:|\||–|—|\s-\s|»|/)(?=\s))\s*(\S.*)$"
+_TAIL = r"(?s)^(.*\S)\s*(?:[(\[]([^)\]]{1,50})[)\]]|\s(?:::|:|\||–|—|-|»|/)\s+([^|–—]{1,50}?))\s*$"
+_SOME = r"[:|–—»/(\[]|\s-\s"
 
 
 def spell(c: Column) -> Column:
@@ -75,72 +85,162 @@ def page_key(url: Column) -> Column:
     return F.when(u.rlike(whole), key)
 
 
-def _restored(items: DataFrame, learned: DataFrame) -> DataFrame:
-    """``(seq, title)``: headlines as written, wrong encodings undone."""
-    fixed = small(store(encoding.restored_fields(items, ["titulo"], learned=learned).select("seq", "restored")), BROADCAST_ROWS)
-    titles = items.select("seq", null_if_blank(F.col("titulo")).alias("titulo")).where("titulo is not null")
-    return titles.join(fixed, "seq", "left").select("seq", F.coalesce("restored", "titulo").alias("title"))
-
-
-def _forms(titles: DataFrame) -> DataFrame:
-    """Each headline whole and without what may be an affix before or after it, spelled."""
-    head = r"(?s)^\s*(?:[(\[]([^)\]]{1,40})[)\]]|(.{1,40}?)\s*" + _SEPARATOR + r"(?=\s))\s*(\S.*)$"
-    tail = r"(?s)^(.*\S)\s*(?:[(\[]([^)\]]{1,50})[)\]]|\s" + _SEPARATOR.replace(r"\s-\s", "-") + r"\s+([^|–—]{1,50}?))\s*$"
-    part = lambda c, p, *i: F.concat(*[F.regexp_extract(c, p, k) for k in i])
-    # most headlines have no separator, and a pattern that doesn't match leaves the text as it is
-    some = F.col("title").rlike(r"[:|–—»/(\[]|\s-\s")
-    rest = lambda c, p, group: F.when(some, F.nullif(F.regexp_replace(c, p, group), c))
-    df = titles.withColumns({"no_pre": rest(F.col("title"), head, "$3"), "no_suf": rest(F.col("title"), tail, "$1")})
-    df = df.withColumns({
-        "no_both": F.when(F.col("no_pre").isNotNull() & F.col("no_suf").isNotNull(), rest(F.col("no_pre"), tail, "$1")),
-        "pre": F.when(F.col("no_pre").isNotNull(), part(F.col("title"), head, 1, 2)), "suf": F.when(F.col("no_suf").isNotNull(), part(F.col("title"), tail, 2, 3))})
-    there = lambda c, made: F.when(F.col(c).isNotNull(), made)
-    spelled = {c: there(c, spell(F.col(c))) for c in ("title", "no_pre", "no_suf", "no_both")}
-    df = df.withColumns(spelled | {c: F.coalesce(there(c, fold(spell(F.col(c)))), F.lit("")) for c in ("pre", "suf")})
-    return df.withColumn("folded", fold(F.col("title")))
-
-
-def learn_affixes(forms: DataFrame, sites: DataFrame) -> DataFrame:
-    """``(side, segment)`` of what sites set around headlines: their names (``site``), or anything without which the rest often stands alone too."""
-    some = F.inline(F.array(
-        F.struct(F.lit("pre").alias("side"), F.col("pre").alias("segment"), fold(F.col("no_pre")).alias("rest")),
-        F.struct(F.lit("suf").alias("side"), F.col("suf").alias("segment"), fold(F.col("no_suf")).alias("rest")),
-    ))
-    pairs = forms.where("pre <> '' or suf <> ''").select(some).where("segment <> '' and rest <> ''").distinct()
-    alone = forms.select(F.col("folded").alias("rest")).distinct().withColumn("alone", F.lit(1))
-    hits = pairs.join(alone, "rest", "left").groupBy("side", "segment").agg(F.count("*").alias("n"), F.coalesce(F.sum("alone"), F.lit(0)).alias("alone"))
+class _Spelling(dict):
+    """Character to itself if it is part of a word, else to a space; to its folded form if ``folded``."""
+
+    def __init__(self, folded: bool):
+        self.folded = folded
+
+    def __missing__(self, code: int) -> str:
+        c, kind = chr(code), unicodedata.category(chr(code))
+        if 0x300 <= code <= 0x36F:
+            out = "" if self.folded else c
+        elif kind[0] not in "LN" and c != "\ufffd":
+            out = " "
+        else:
+            out = "".join(_BASE.get(x, x) for x in c.lower() if not 0x300 <= ord(x) <= 0x36F) if self.folded else c
+        self[code] = out
+        return out
+
+
+_WORDS, _FOLDED = _Spelling(False), _Spelling(True)
+
+
+def _written(text: str) -> str:
+    """As ``spell``, of a Python text."""
+    import re
+
+    if "&" in text:
+        text = re.sub(r"&#?\w+;", " ", re.sub(r"&([A-Za-z])(?:acute|grave|circ|tilde|uml|ring|cedil|caron);", r"\1", text))
+    return " ".join(text.translate(_WORDS).split())
+
+
+def _folded(text: str) -> str:
+    """As ``fold`` of spelled words."""
+    return " ".join(text.translate(_FOLDED).split())
+
+
+_FORMS = "seq bigint, lote int, u bigint, title string, pre string, suf string, no_pre string, no_suf string, no_both string, was bigint"
+
+
+def read_titles(items: DataFrame, learned: DataFrame) -> DataFrame:
+    """``(seq, lote, u, title, pre, suf, no_pre, no_suf, no_both)`` of items (seq, lote, titulo, fuente, u).
+
+    The headline as spelled, wrong encodings undone, whole and without what may be an affix before or after it, and these
+    affixes folded; ``was`` is null.  Null and blank headlines have a null title.
+    """
+    if bounded(learned, BROADCAST_ROWS):
+        mend = encoding.mender(learned)
+    else:
+        fixed = cut(encoding.restored_fields(items, ["titulo"], learned=learned).select("seq", "restored"))
+        items = items.join(fixed, "seq", "left").withColumn("titulo", F.coalesce("restored", "titulo")).drop("restored")
+        mend = lambda _, text: text
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        head, tail, some = re.compile(_HEAD), re.compile(_TAIL), re.compile(_SOME)
+        for part in parts:
+            rows = []
+            for text, source in zip(part["titulo"], part["source"]):
+                if text is None or text.strip().lower() in ("", "nan", "none", "null"):
+                    rows.append((None,) * 6)
+                    continue
+                if not text.isascii():
+                    text = mend(source, text)
+                pre = suf = no_pre = no_suf = no_both = None
+                if some.search(text):
+                    m, k = head.match(text), tail.match(text)
+                    if m:
+                        pre, no_pre = _folded(_written(m[1] or m[2])), _written(m[3])
+                    if k:
+                        suf, no_suf = _folded(_written(k[2] or k[3])), _written(k[1])
+                    if m and k and (both := tail.match(m[3])):
+                        no_both = _written(both[1])
+                rows.append((_written(text), pre or None, suf or None, no_pre, no_suf, no_both))
+            out = pd.DataFrame(rows, columns=["title", "pre", "suf", "no_pre", "no_suf", "no_both"])
+            for i, c in enumerate(("seq", "lote", "u")):
+                out.insert(i, c, part[c].to_numpy())
+            yield out.assign(was=None).astype({"lote": "Int32", "u": "Int64", "was": "Int64"})
+
+    rows = items.select("seq", F.col("lote").cast("int").alias("lote"), "u", "titulo", F.coalesce(name_key(F.col("fuente")), F.lit("")).alias("source"))
+    return rows.mapInPandas(read, _FORMS)
+
+
+def count_affixes(forms: DataFrame, past: DataFrame | None, sites: DataFrame) -> DataFrame:
+    """``(side, segment, n, alone)``: headlines each segment is set around, and how many of them also stand alone, here or in ``past`` (id).
+
+    Names of sites (``site``) are affixes by themselves and come with a count that no share undoes.
+    """
+    key = lambda c: F.xxhash64(F.lit("h"), fold(F.col(c)))
+    some = F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("segment"), key(f"no_{s}").alias("h")) for s in ("pre", "suf")]))
+    pairs = cut(forms.where("pre is not null or suf is not null").select(some).where("segment is not null and h is not null").distinct())
+    wanted = small(pairs.select("h").distinct(), BROADCAST_ROWS)
+    alone = forms.select(key("title").alias("h")).join(wanted, "h", "left_semi")
+    if past is not None:
+        alone = alone.union(past.select(F.col("id").alias("h")).join(wanted, "h", "left_semi"))
+    alone = alone.distinct().withColumn("alone", F.lit(1))
+    hits = pairs.join(alone, "h", "left").groupBy("side", "segment").agg(F.count("*").alias("n"), F.coalesce(F.sum("alone"), F.lit(0)).alias("alone"))
     names = sites.select(fold(spell(F.col("site"))).alias("segment")).where("segment <> ''").distinct()
-    names = names.select(F.explode(F.array(F.lit("pre"), F.lit("suf"))).alias("side"), "segment")
-    return hits.where(f"alone >= 2 and alone >= {AFFIX_SHARE} * n").select("side", "segment").union(names).distinct()
+    return hits.union(names.select(F.explode(F.array(F.lit("pre"), F.lit("suf"))).alias("side"), "segment", F.lit(0), F.lit(SURE)))
 
 
-def learn_skeletons(forms: DataFrame) -> DataFrame:
-    """``(skeleton, word)``: the commonest folded word for each word whose other than ASCII letters are unknown."""
+def choose_affixes(counts: DataFrame) -> DataFrame:
+    """``(side, segment)`` of what sites set around headlines: their names, or anything without which the rest often stands alone too."""
+    hits = counts.groupBy("side", "segment").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"))
+    return hits.where(f"alone >= 2 and alone >= {AFFIX_SHARE} * n").select("side", "segment")
+
+
+def count_skeletons(forms: DataFrame) -> DataFrame:
+    """``(w, n)``: words with other than ASCII letters, of which some may elsewhere be unknown."""
     words = forms.select(F.explode(F.expr(r"regexp_extract_all(lower(title), '[a-z]*[\\u00df-\\u00ff][a-z\\u00df-\\u00ff]*', 0)")).alias("w"))
-    words = words.groupBy("w").agg(F.count("*").alias("n")).select(F.regexp_replace("w", "[^a-z]", "�").alias("skeleton"), fold(F.col("w")).alias("word"), "n")
+    return words.groupBy("w").agg(F.count("*").alias("n"))
+
+
+def choose_skeletons(counts: DataFrame) -> DataFrame:
+    """``(skeleton, word)``: the commonest folded word for each word whose other than ASCII letters are unknown."""
+    words = counts.groupBy("w").agg(F.sum("n").alias("n")).select(F.regexp_replace("w", "[^a-z]", "�").alias("skeleton"), fold(F.col("w")).alias("word"), "n")
     return words.groupBy("skeleton").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
 
 
-def _cores(forms: DataFrame, affixes: DataFrame, skeletons: DataFrame) -> DataFrame:
-    """``(seq, core, raw)``: the folded headline without affixes, and as written."""
-    side = lambda s: affixes.where(F.col("side") == s).select(F.col("segment").alias(s), F.lit(True).alias(f"is_{s}"))
-    df = forms
+_PENDING = "title string, pre string, suf string, no_pre string, no_suf string, no_both string"
+
+
+def strip_affixes(forms: DataFrame, affixes: DataFrame) -> DataFrame:
+    """``(seq, lote, u, was, core, raw, title, ...)``: the folded headline without affixes, unknown letters filled in, and as written.
+
+    The forms stay beside it where later batches may teach more: affixes not known yet, letters unknown.
+    """
     for s in ("pre", "suf"):
-        df = df.join(small(side(s), BROADCAST_ROWS), s, "left")
-    raw = F.when(F.col("is_pre") & F.col("is_suf"), F.coalesce("no_both", "no_pre")).when(F.col("is_pre"), F.col("no_pre")).when(F.col("is_suf"), F.col("no_suf")).otherwise(F.col("title"))
-    df = df.select("seq", raw.alias("raw"), (F.col("is_pre") | F.col("is_suf")).alias("other"), "folded")
-    df = df.select("seq", "raw", F.when(F.col("other"), fold(F.col("raw"))).otherwise(F.col("folded")).alias("core"))
-    lost = df.where(F.col("core").contains("�"))
-    words = lost.select("seq", F.posexplode(F.split("core", " ")).alias("i", "skeleton")).join(skeletons, "skeleton", "left")
-    mended = words.groupBy("seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("word", "skeleton").alias("w")))), lambda x: x["w"]), " ").alias("mended"))
-    return df.join(small(store(mended), BROADCAST_ROWS), "seq", "left").select("seq", F.coalesce("mended", "core").alias("core"), "raw").where("core <> ''")
+        known = affixes.where(F.col("side") == s).select(F.col("segment").alias(s), F.lit(True).alias(f"is_{s}"))
+        forms = forms.join(small(known, BROADCAST_ROWS), s, "left")
+
+    def strip(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["title", "pre", "suf", "no_pre", "no_suf", "no_both"]
+        for part in parts:
+            raws, cores, open_ = [], [], []
+            for is_pre, is_suf, *forms_ in zip(*[part[c] for c in ("is_pre", "is_suf", *names)]):
+                title, pre, suf, no_pre, no_suf, no_both = forms_
+                raw = (no_both or no_pre) if is_pre is True and is_suf is True else no_pre if is_pre is True else no_suf if is_suf is True else title
+                raws.append(raw or None)
+                cores.append((_folded(raw) or None) if raw else None)
+                open_.append(forms_ if title and (pre or suf or "\ufffd" in title) else [None] * 6)
+            out = pd.DataFrame({"seq": part["seq"], **{c: part[c].astype(t) for c, t in (("lote", "Int32"), ("u", "Int64"), ("was", "Int64"))}, "core": cores, "raw": raws})
+            yield out.join(pd.DataFrame(open_, columns=names, index=out.index))
+
+    return forms.mapInPandas(strip, f"seq bigint, lote int, u bigint, was bigint, core string, raw string, {_PENDING}")
 
 
-def learn_words(cores: DataFrame) -> DataFrame:
-    """``(word, n, fixed)``: frequency, and whether a word may not differ (numbers and parts of names).
+def fill_letters(cores: DataFrame, skeletons: DataFrame) -> DataFrame:
+    """``(seq, mended)`` of headlines with unknown letters: their words filled in where a known word fits."""
+    lost = cores.where(F.col("core").contains("�")).select("seq", F.posexplode(F.split("core", " ")).alias("i", "skeleton")).join(skeletons, "skeleton", "left")
+    return lost.groupBy("seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("word", "skeleton").alias("w")))), lambda x: x["w"]), " ").alias("mended"))
 
-    A word is part of a name if it is mostly capitalised inside headlines that aren't capitalised throughout.  Each
-    batch is counted before the words are shuffled.
+
+def count_words(cores: DataFrame) -> DataFrame:
+    """``(word, n, told, caps)``: headlines' words, their uses inside headlines not capitalised throughout, and those capitalised.
+
+    Each batch is counted before the words are shuffled.
     """
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,19 +255,33 @@ def learn_words(cores: DataFrame) -> DataFrame:
                     caps.update(w for w, u in zip(words[1:], upper[1:]) if u)
             yield pd.DataFrame([(w, k, told[w], caps[w]) for w, k in n.items()], columns=["word", "n", "told", "caps"])
 
-    found = cores.select("core", "raw").mapInPandas(count, "word string, n bigint, told bigint, caps bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("told").alias("told"), F.sum("caps").alias("caps"))
-    name = (F.col("told") >= 2) & (F.col("caps") >= NAME_SHARE * F.col("told"))
-    return found.where("word is not null").select("word", "n", (name | F.col("word").rlike("[0-9]")).alias("fixed"))
+    found = cores.select("core", "raw").mapInPandas(count, "word string, n bigint, told bigint, caps bigint")
+    return found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("told").alias("told"), F.sum("caps").alias("caps"))
+
+
+def choose_words(counts: DataFrame) -> DataFrame:
+    """``(word, n, fixed, changed)`` of counts by batch: whether a word may not differ (numbers and parts of names), and whether
+    the last batch changed that.
+
+    A word is part of a name if it is mostly capitalised inside headlines.  ``n`` is the count of the first batch that had the
+    word and stays, so that the order of words, on which blocking keys rest, never changes.
+    """
+    name = lambda told, caps: ((told >= 2) & (caps >= NAME_SHARE * told)) | F.col("word").rlike("[0-9]")
+    now = F.lit(counts.agg(F.max("batch")).first()[0])
+    old = lambda c: F.coalesce(F.sum(F.when(F.col("batch") < now, F.col(c))), F.lit(0)).alias(f"old_{c}")
+    sums = counts.where("word is not null").groupBy("word").agg(F.min_by("n", "batch").alias("n"), F.min("batch").alias("since"), F.sum("told").alias("told"), F.sum("caps").alias("caps"), old("told"), old("caps"))
+    fixed, before = name(F.col("told"), F.col("caps")), name(F.col("old_told"), F.col("old_caps"))
+    return sums.select("word", "n", fixed.alias("fixed"), ((F.col("since") < now) & (fixed != before)).alias("changed"))
 
 
 def _profiles(cores: DataFrame, words: DataFrame) -> DataFrame:
-    """``(id, core, fixed, soft)``: what may not differ as one string, and the other words from rare to frequent.
+    """``(id, core, fixed, soft)`` of headlines (id, core): what may not differ as one string, and the other words from rare to frequent.
 
     A vocabulary of up to BROADCAST_ROWS words goes to every task; a larger one is joined.
     """
-    long_ = cores.select("core").distinct().where(F.size(F.split("core", " ")) >= LEAST_WORDS).select(F.xxhash64(F.lit("h"), F.col("core")).alias("id"), "core")
+    long_ = cores.select("id", "core")
     if not bounded(words, BROADCAST_ROWS):
-        return _profiles_joined(store(long_), words)
+        return _profiles_joined(cut(long_), words)
     shared = words.sparkSession.sparkContext.broadcast({r["word"]: (r["n"], r["fixed"]) for r in words.toLocalIterator()})
 
     def told(items: list[str]) -> list[str]:
@@ -233,8 +347,8 @@ def _edits(a: list[str], b: list[str]) -> int:
 
 @F.pandas_udf(IntegerType())
 def word_edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Words replaced, added or missing between two folded headlines."""
-    return pd.Series([_edits(x.split(" "), y.split(" ")) for x, y in zip(a, b)], dtype="int32")
+    """Words replaced, added or missing between two folded headlines; null where one is null."""
+    return pd.Series([None if x is None or y is None else _edits(x.split(" "), y.split(" ")) for x, y in zip(a, b)], dtype="Int32")
 
 
 def _wild(words: list[str], fixed: set[int]) -> Iterator[tuple[str, bool]]:
@@ -254,12 +368,12 @@ def _wild(words: list[str], fixed: set[int]) -> Iterator[tuple[str, bool]]:
                 yield "m1" + some((i,), (j,)), False
 
 
-def hot_links(profiles: DataFrame) -> DataFrame:
-    """``(a, b)`` links among headlines of crowded keys, by stars in wildcard keys, so in linear space.
+def wild_keys(profiles: DataFrame) -> DataFrame:
+    """``(key, id, hub)`` of headlines (id, core, fixed): wildcard keys by which crowded headlines are linked.
 
     Headlines with the same two words masked, or equal but for one word left out in each, are within two edits
     of each other; those with a word left out and one masked, or two left out, are within two edits of any that
-    has none left out.  Together these are all ways to be within two edits.
+    has none left out (``hub``).  Together these are all ways to be within two edits.
     """
 
     def keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,7 +390,11 @@ def hot_links(profiles: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["wild", "id", "whole"])
 
     wild = profiles.select("id", "core", "fixed").mapInPandas(keys, "wild string, id bigint, whole boolean")
-    wild = wild.select(F.xxhash64("wild").alias("key"), "id", (F.col("whole") | F.col("wild").startswith("d")).alias("hub"))
+    return wild.select(F.xxhash64("wild").alias("key"), "id", (F.col("whole") | F.col("wild").startswith("d")).alias("hub"))
+
+
+def hot_links(wild: DataFrame) -> DataFrame:
+    """``(a, b)`` links among headlines that share a wildcard key, by stars, so in linear space."""
     hubs = wild.groupBy("key").agg(F.min(F.when(F.col("hub"), F.col("id"))).alias("a"), F.count("*").alias("n")).where("n > 1 and a is not null")
     return wild.join(hubs.select("key", "a"), "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
@@ -284,16 +402,15 @@ def hot_links(profiles: DataFrame) -> DataFrame:
 def candidate_pairs(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs ``(a, b)`` of headlines that meet in a key ``(key, id, new)``, and the headlines of crowded keys.
 
-    Only keys with a new headline count, and only pairs with one.  One shuffle by key serves count and pairs.
+    Only keys with a new headline count, and only pairs with one.  Keys are counted in part before they are shuffled; nearly
+    all stand alone, and only the rows of the others are looked at again.
     """
-    span = Window.partitionBy("key")
-    met = keys.withColumns({"n": F.count("*").over(span), "any": F.max("new").over(span)}).where("n > 1 and any").drop("any")
-    met = store(met)
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("new").alias("any")).where("n > 1 and any").select("key", "n")
+    met = cut(keys.join(small(cut(counts), KEY_ROWS), "key"))
     crowded = met.where(f"n > {HOT_KEY}").select("id").distinct()
     few = met.where(f"n <= {HOT_KEY}")
     a, b = (few.select("key", F.col("id").alias(s), F.col("new").alias(f"new_{s}")) for s in "ab")
-    pairs = a.join(b, "key").where("a < b and (new_a or new_b)").select("a", "b").distinct()
-    return pairs, crowded
+    return a.join(b, "key").where("a < b and (new_a or new_b)").select("a", "b").distinct(), crowded
 
 
 def learn_weights(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 30) -> dict[tuple[int, ...], float]:
@@ -323,105 +440,197 @@ def learn_weights(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 3
 
 
 class ArticleIndex:
-    """Articles of all batches so far: persisted blocking keys, headlines and representatives, extended batch by batch.
+    """Articles of all batches so far: stored keys, headlines and representatives, extended batch by batch.
 
-    A batch is compared with the history through its keys alone; only clusters that it touches change their
-    representative.  Tables lie in a folder that all executors share, one subfolder a batch.  What the first batch
-    teaches (affixes, word frequencies, names) is kept, so keys stay comparable.
+    The tables lie in ``folder``, which all executors share, one subfolder a batch; an index opened on a folder that has
+    batches goes on from there.  Without a folder a temporary one is used.  A batch's keys are probed in the stored ones by a
+    scan without a shuffle; only clusters that it touches change their representative.  Counts behind encodings, affixes and
+    words are stored per batch and add up; where a batch changes what is an affix or may not differ, the headlines concerned
+    are keyed again.
     """
 
-    def __init__(self, spark, folder: str | None = None):
+    TABLES = {
+        "places": "source string, left string, symbol string, right string, n bigint", "affixes": "side string, segment string, n bigint, alone bigint",
+        "skeletons": "w string, n bigint", "words": "word string, n bigint, told bigint, caps bigint, batch int",
+        "records": f"seq bigint, lote int, h bigint, u bigint, node bigint, {_PENDING}",
+        "headlines": "id bigint, core string, fixed string, soft array<string>, batch int", "keys": "key bigint, id bigint", "wild": "key bigint, id bigint, hub boolean",
+        "rated": "a bigint, b bigint, edits int, unlike int, longer int", "roots": "node bigint, root bigint, batch int",
+    }
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
-        self.folder = f"{(folder or shared_folder(spark)).rstrip('/')}/articles-{uuid.uuid4().hex}"
+        self.folder = (folder or place(spark)).rstrip("/")
+        self.parts = 1
+        self.temporary: list[str] = []
         self.batches = 0
-        self.models: dict[str, DataFrame] = {}
+        # representatives are written last, so a batch cut short is taken in again
+        while self._there(f"{self.folder}/roots/{self.batches:05d}"):
+            self.batches += 1
+
+    def _there(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
     def _keep(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}/{self.batches:05d}"
-        df.write.parquet(path)
-        return self.spark.read.parquet(path)
-
-    def _all(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(*[f"{self.folder}/{name}/{i:05d}" for i in range(self.batches)]) if self.batches else None
-
-    def _with(self, name: str, now: DataFrame) -> DataFrame:
-        past = self._all(name)
-        return now if past is None else past.unionByName(now)
-
-    def extend(self, items: DataFrame) -> DataFrame:
-        """Take in a batch (seq, lote, titulo, fuente, url); gives ``(seq, lote, node, h, u)`` of its records."""
-        items = items.select("seq", "lote", "titulo", "fuente", "url").where("seq is not null")
-        counts = self._keep("places", encoding.count_places(items, ["titulo"]))
-        total = self._with("places", counts).groupBy("source", "left", "symbol", "right").agg(F.sum("n").alias("n"))
-        learned = encoding.learn_counts(cut(total) if self.batches else counts)
-        forms = store(_forms(_restored(items, learned)))
-        if not self.models:
-            self.models = {"affixes": cut(learn_affixes(forms, items.select(F.col("fuente").alias("site")).distinct())), "skeletons": cut(learn_skeletons(forms))}
-        cores = store(_cores(forms, self.models["affixes"], self.models["skeletons"]))
-        if "words" not in self.models:
-            self.models["words"] = cut(learn_words(cores))
-        profiles = _profiles(cores, self.models["words"])
-        past = self._all("profiles")
-        if past is not None:
-            profiles = profiles.join(past.select("id"), "id", "left_anti")
-        profiles = self._keep("profiles", profiles)
-        keys = self._keep("keys", blocking_keys(profiles))
+        df.coalesce(self.parts).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.TABLES[name]).parquet(path)
+
+    def _temp(self, df: DataFrame) -> DataFrame:
+        self.temporary.append(place(self.spark))
+        df.coalesce(self.parts).write.option("compression", "snappy").parquet(self.temporary[-1])
+        return self.spark.read.schema(df.schema).parquet(self.temporary[-1])
+
+    def _all(self, name: str, more: int = 0) -> DataFrame | None:
+        """A table of all batches before this one, or with ``more`` of 1 also of this one."""
+        paths = [p for i in range(self.batches + more) if self._there(p := f"{self.folder}/{name}/{i:05d}")]
+        return self.spark.read.schema(self.TABLES[name]).parquet(*paths) if paths else None
+
+    def _of(self, name: str, column: str, wanted: DataFrame, more: int = 0) -> DataFrame:
+        """Rows of a stored table whose ``column`` is one of ``wanted``, by a scan; beyond KEY_ROWS wanted by a join."""
+        stored = self._all(name, more)
+        return stored.join(small(wanted.select(F.col(wanted.columns[0]).alias(column)), KEY_ROWS), column, "left_semi")
+
+    def extend(self, items: DataFrame) -> None:
+        """Take in a batch (seq, lote, titulo, fuente, url).  Rows without seq are left out; exact duplicates count once."""
+        items = items.select("seq", "lote", "titulo", "fuente", page_key(F.col("url")).alias("page")).where("seq is not null")
+        items = items.select("seq", "lote", "titulo", "fuente", F.when(F.col("page").isNotNull(), F.xxhash64(F.lit("u"), F.col("page"))).alias("u"))
+        self.parts = max(1, math.ceil(items.count() / ROWS_A_TASK))
+        again = self.batches > 0
+        self._keep("places", encoding.count_places(items, ["titulo"]))
+        learned = encoding.learn_counts(cut(self._all("places", 1).groupBy("source", "left", "symbol", "right").agg(F.sum("n").alias("n"))))
+        forms = self._temp(read_titles(items, learned))
+        cores = self._temp(self._cores(items, forms))
         h = F.when(F.size(F.split("core", " ")) >= LEAST_WORDS, F.xxhash64(F.lit("h"), F.col("core")))
-        page = items.select("seq", "lote", page_key(F.col("url")).alias("page"))
-        page = page.select("seq", "lote", F.when(F.col("page").isNotNull(), F.xxhash64(F.lit("u"), F.col("page"))).alias("u"))
-        records = page.join(cores.select("seq", h.alias("h")), "seq", "left").withColumn("node", F.coalesce("h", "u"))
-        records = self._keep("records", records)
-        every_profile = self._with("profiles", profiles)
+        cores = cores.withColumn("h", h)
+        forms_ = [c.split(" ")[0] for c in _PENDING.split(", ")]
+        records = self._keep("records", cores.where("was is null").select("seq", "lote", "h", "u", F.coalesce("h", "u").alias("node"), *forms_))
+        links = records.where("h is not null and u is not null").select(F.col("h").alias("a"), F.col("u").alias("b"))
+        if again:  # the same headline under what it was taken for before
+            links = links.union(cores.where("was is not null and h is not null").select("was", "h"))
+        self._join(links.union(self._near(self._keyed(cores))).where("a <> b").distinct())
+        drop(self.spark, self.temporary)
+        self.temporary = []
+        self.batches += 1
+
+    def _cores(self, items: DataFrame, forms: DataFrame) -> DataFrame:
+        """Cores of the batch and of earlier headlines that what it teaches changes."""
+        again = self.batches > 0
+        self._keep("affixes", count_affixes(forms, self._all("headlines"), items.select(F.col("fuente").alias("site")).distinct()))
+        self._keep("skeletons", count_skeletons(forms))
+        affixes = cut(choose_affixes(self._all("affixes", 1)))
+        every = forms
+        if again:
+            new = affixes.subtract(choose_affixes(self._all("affixes")))
+            new = small(cut(new), BROADCAST_ROWS)
+            past = self._all("records").where("title is not null and h is not null").withColumn("was", F.col("h")).select(*[c.split(" ")[0] for c in _FORMS.split(", ")])
+            side = lambda s: past.join(new.where(F.col("side") == s).select(F.col("segment").alias(s)), s, "left_semi").select(past.columns)
+            every = forms.unionByName(side("pre").union(side("suf")).union(past.where(F.col("title").contains("�"))).distinct())
+        cores = strip_affixes(every, affixes)
+        if forms.where(F.col("title").contains("�")).isEmpty() and not again:
+            return cores
+        cores = self._temp(cores)
+        mended = small(cut(fill_letters(cores, choose_skeletons(self._all("skeletons", 1)))), BROADCAST_ROWS)
+        return cores.join(mended, "seq", "left").withColumn("core", F.coalesce("mended", "core")).drop("mended")
+
+    def _keyed(self, cores: DataFrame) -> DataFrame:
+        """Blocking keys of the batch's new headlines and of those whose words that may not differ have changed."""
+        again = self.batches > 0
+        fresh = cores.where("h is not null").groupBy(F.col("h").alias("id")).agg(F.first("core").alias("core"), F.first("raw").alias("raw"))
+        if again:
+            fresh = self._temp(fresh)
+            known = cut(self._of("headlines", "id", fresh.select("id")).select("id").distinct())
+            fresh = fresh.join(small(known, KEY_ROWS), "id", "left_anti")
+        else:
+            fresh = self._temp(fresh)
+        self._keep("words", count_words(fresh).withColumn("batch", F.lit(self.batches)))
+        words = cut(choose_words(self._all("words", 1)))
+        every = fresh.select("id", "core")
+        if again:
+            changed = words.where("changed").select("word")
+            if not changed.isEmpty():
+                every = every.union(self._holding(changed))
+        profiles = self._keep("headlines", _profiles(every, words).withColumn("batch", F.lit(self.batches)))
+        return self._keep("keys", blocking_keys(profiles))
+
+    def _holding(self, words: DataFrame) -> DataFrame:
+        """``(id, core)`` of stored headlines that hold one of the words."""
+        stored = self._all("headlines").select("id", "core")
+        if bounded(words, BROADCAST_ROWS):
+            shared = self.spark.sparkContext.broadcast({r[0] for r in words.toLocalIterator()})
+
+            def hold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for part in parts:
+                    yield part[[not shared.value.isdisjoint(c.split(" ")) for c in part["core"]]]
+
+            return stored.mapInPandas(hold, "id bigint, core string").distinct()
+        each = stored.select("id", "core", F.explode(F.split("core", " ")).alias("word"))
+        return each.join(words, "word", "left_semi").select("id", "core").distinct()
+
+    def _near(self, keys: DataFrame) -> DataFrame:
+        """Links ``(a, b)`` among the new headlines and between them and stored ones."""
         every = keys.withColumn("new", F.lit(True))
         if self.batches:
-            every = every.unionByName(self._all("keys").withColumn("new", F.lit(False)))
+            every = every.unionByName(cut(self._of("keys", "key", keys.select("key"))).select("key", "id").withColumn("new", F.lit(False)))
         pairs, crowded = candidate_pairs(every)
-        near = cut(self._scored(pairs, every_profile))
-        crowded = cut(crowded)
-        if not crowded.isEmpty():
-            near = near.unionByName(hot_links(every_profile.join(crowded, "id", "left_semi")))
-        links = records.where("h is not null and u is not null").select(F.col("h").alias("a"), F.col("u").alias("b")).distinct().unionByName(near)
-        self._join(links)
-        self.batches += 1
-        return records
-
-    def _scored(self, pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-        """Pairs that the learned weights call a match and that are within EDITS word edits, fixed words equal."""
-        side = lambda s: profiles.select(F.col("id").alias(s), F.col("core").alias(f"core_{s}"), F.col("fixed").alias(f"fixed_{s}"), F.col("soft").alias(f"soft_{s}"))
+        near = self._scored(cut(pairs))
+        if crowded.isEmpty():
+            return near
+        # headlines that became crowded get wildcard keys; they are stored, so each is made once
+        stored = self._all("wild") is not None
+        if stored:
+            crowded = crowded.join(small(cut(self._of("wild", "id", crowded).select("id").distinct()), KEY_ROWS), "id", "left_anti")
+        wild = self._keep("wild", wild_keys(self._latest(crowded)).distinct())
+        if stored:
+            wild = wild.unionByName(self._of("wild", "key", wild.select("key").distinct()))
+        return near.union(hot_links(wild))
+
+    def _latest(self, ids: DataFrame) -> DataFrame:
+        """``(id, core, fixed, soft)`` of headlines as they are keyed now."""
+        found = self._of("headlines", "id", ids.select("id"), 1)
+        return found.groupBy("id").agg(F.max_by(F.struct("core", "fixed", "soft"), "batch").alias("x")).select("id", "x.*")
+
+    def _scored(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that differ in at most EDITS words, none of them fixed.
+
+        All pairs that were compared are stored with their agreement, for ``weights``.
+        """
+        profiles = cut(self._latest(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+        side = lambda s: small(profiles.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("core", "fixed", "soft")]), BROADCAST_ROWS)
         both = pairs.join(side("a"), "a").join(side("b"), "b").where("fixed_a = fixed_b")
         lost = F.greatest(F.size("soft_a"), F.size("soft_b")) - F.size(F.array_intersect("soft_a", "soft_b"))
         rare = F.size(F.array_intersect(F.slice("soft_a", 1, 4), F.slice("soft_b", 1, 4)))
-        rated = store(both.select("a", "b", "core_a", "core_b", F.least(lost, F.lit(EDITS + 3)).alias("lost"), (4 - rare).alias("unlike"), F.least(F.abs(F.size("soft_a") - F.size("soft_b")), F.lit(3)).alias("longer")))
-        fields = ["lost", "unlike", "longer"]
-        patterns = [(tuple(r[f] for f in fields), float(r["n"])) for r in rated.groupBy(*fields).agg(F.count("*").alias("n")).collect()]
-        weights = learn_weights(patterns)
-        # the weights may only settle what the definition leaves open: pairs that lose at most EDITS words
-        table = self.spark.createDataFrame([(*p, w) for p, w in weights.items()] or [(-1, -1, -1, 0.0)], "lost int, unlike int, longer int, weight double")
-        likely = rated.join(F.broadcast(table), fields).where(f"weight > 0 or lost <= {EDITS}")
-        return likely.where(word_edits("core_a", "core_b") <= EDITS).select("a", "b")
+        # word edits are at least the words lost, so they are only worked out where these are few
+        near = lost <= EDITS
+        edits = F.coalesce(word_edits(F.when(near, F.col("core_a")), F.when(near, F.col("core_b"))), lost)
+        rated = self._keep("rated", both.select("a", "b", F.least(edits, F.lit(EDITS + 3)).cast("int").alias("edits"), (4 - rare).cast("int").alias("unlike"), F.least(F.abs(F.size("soft_a") - F.size("soft_b")), F.lit(3)).cast("int").alias("longer")))
+        return rated.where(f"edits <= {EDITS}").select("a", "b")
+
+    def weights(self) -> dict[tuple[int, ...], float]:
+        """Log odds of a match by (edits, rare words unlike, difference in length), learned from the patterns so far.
+
+        The definition of the same headline is a rule on edits, so the weights rate links and don't overrule it.
+        """
+        rows = self._all("rated").groupBy("edits", "unlike", "longer").agg(F.count("*").alias("n")).orderBy("edits", "unlike", "longer").collect()
+        return learn_weights([((r[0], r[1], r[2]), float(r[3])) for r in rows])
 
     def _join(self, links: DataFrame) -> None:
         """Union of the clusters that the links touch: new rows of the representative table."""
-        roots = self.roots()
-        if roots is not None:
+        if self.batches:
+            links = cut(links)
+            nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            roots = small(cut(self._of("roots", "node", nodes).groupBy("node").agg(F.max_by("root", "batch").alias("root"))), KEY_ROWS)
             for side in ("a", "b"):
                 links = links.join(roots.select(F.col("node").alias(side), "root"), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
-        links = cut(links.where("a <> b").distinct())
-        # a headline and a page that only link each other need no rounds
-        degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n")).where("n = 1").select("a")
-        lone = links.join(degree, "a", "left_semi").join(degree.withColumnRenamed("a", "b"), "b", "left_semi").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
-        lone = cut(lone)
-        rest = links.join(lone.select(F.col("node").alias("b"), F.col("root").alias("a")), ["a", "b"], "left_anti").join(lone.select(F.col("node").alias("a"), F.col("root").alias("b")), ["a", "b"], "left_anti")
-        found = lone.unionByName(components(rest)) if not rest.isEmpty() else lone
-        if roots is not None:  # nodes of clusters that got another representative
-            moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("now")), "root").select("node", F.col("now").alias("root"))
-            found = found.unionByName(moved)
+        found = components(links)
+        if self.batches:  # nodes of clusters that got another representative
+            now = small(found.select(F.col("node").alias("root"), F.col("root").alias("now")), KEY_ROWS)
+            found = found.unionByName(self._all("roots").join(now, "root").select("node", F.col("now").alias("root")).distinct())
         self._keep("roots", found.withColumn("batch", F.lit(self.batches)))
 
-    def roots(self) -> DataFrame | None:
+    def roots(self) -> DataFrame:
         """``(node, root)`` as of now: the latest row of each node; nodes without a row are their own."""
-        rows = self._all("roots")
-        return None if rows is None else rows.groupBy("node").agg(F.max_by("root", "batch").alias("root"))
+        return self._all("roots").groupBy("node").agg(F.max_by("root", "batch").alias("root"))
 
     def articles(self) -> DataFrame:
         """``(seq, lote, grupo)`` of all records so far; grupo is the article's smallest seq.
@@ -433,13 +642,21 @@ class ArticleIndex:
         return records.join(least, "root", "left").select("seq", "lote", F.coalesce("grupo", "seq").alias("grupo"))
 
 
-def articles(items: DataFrame, batches: list[tuple[int | None, int | None]] = [(None, None)]) -> DataFrame:
-    """``(seq, lote, grupo)``, taken in by ranges of lotes; a null lote belongs to the first range.
+def ranges(items: DataFrame, batches: int) -> list[tuple[int | None, int | None]]:
+    """Consecutive ranges [low, high) of lotes with about as many rows each; fewer if few lotes have most rows."""
+    shares = [i / batches for i in range(1, batches)]
+    cuts = items.agg(F.percentile_approx("lote", shares, 1000).alias("c")).first()["c"] if shares else None
+    cuts = sorted(set(cuts or []))
+    return list(zip([None, *cuts], [*cuts, None]))
+
+
+def articles(items: DataFrame, batches: int = 1) -> DataFrame:
+    """``(seq, lote, grupo)``, taken in by that many ranges of lotes; a null lote belongs to the first range.
 
     Exact duplicate rows count once.
     """
     index = ArticleIndex(items.sparkSession)
-    for low, high in batches:
+    for low, high in ranges(items, batches):
         part = items
         if low is not None:
             part = part.where(F.col("lote") >= low)

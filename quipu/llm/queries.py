@@ -18,6 +18,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Batches in which p6_found takes in the lotes, one after the other.
+BATCHES = 8
 TEXTS = ["titulo", "texto", "fuente"]
 
 
@@ -94,10 +96,7 @@ def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "noticias")
-    low, high = items.agg(F.min("lote"), F.max("lote")).first()
-    middle = None if low is None else (low + high + 1) // 2
-    ranges = [(None, None)] if middle is None else [(None, middle), (middle, None)]
-    rows = linking.articles(items, ranges)
+    rows = linking.articles(items, BATCHES)
     first = rows.where("seq = grupo").select("grupo", F.col("lote").alias("first"))
     later = rows.join(first, "grupo").where("lote > first and seq > grupo")
     return later.select(F.col("grupo").alias("seq_a"), F.col("seq").alias("seq_b")).distinct()

@@ -38,7 +38,7 @@ def components(n, links):
 
 def brute(rows, index):
     """All pairs over the same spelling and fixed words."""
-    profiles = {r.id: (r.core, r.fixed) for r in index._all("profiles").collect()}
+    profiles = {r.id: (r.core, r.fixed) for r in sorted(index._all("headlines").collect(), key=lambda r: r.batch)}
     record = {r.seq: (r.h, r.u) for r in index._all("records").collect()}
     links = []
     for a, b in itertools.combinations(range(len(rows)), 2):
@@ -90,7 +90,7 @@ def test_wildcard_links_are_within_two_edits_and_complete(spark):
     rng = random.Random(4)
     cores = sorted({" ".join(rng.choice("ab") for _ in range(rng.randrange(5, 8))) for _ in range(60)})
     df = spark.createDataFrame([(i, c, "") for i, c in enumerate(cores)], "id bigint, core string, fixed string")
-    links = [(r.a, r.b) for r in linking.hot_links(df).collect()]
+    links = [(r.a, r.b) for r in linking.hot_links(linking.wild_keys(df)).collect()]
     edits = lambda a, b: linking._edits(cores[a].split(), cores[b].split())
     assert all(edits(a, b) <= 2 for a, b in links)
     every = [(a, b) for a, b in itertools.combinations(range(len(cores)), 2) if edits(a, b) <= 2]
@@ -100,9 +100,9 @@ def test_wildcard_links_are_within_two_edits_and_complete(spark):
 def test_joined_vocabulary_agrees(spark):
     index = linking.ArticleIndex(spark)
     index.extend(spark.createDataFrame(news(), SCHEMA))
-    long_ = index._all("profiles").select("id", "core")
+    long_ = index._all("headlines").select("id", "core")
     key = lambda df: {(r.id, r.core, r.fixed, tuple(r.soft)) for r in df.select("id", "core", "fixed", "soft").collect()}
-    assert key(linking._profiles_joined(long_, index.models["words"])) == key(index._all("profiles"))
+    assert key(linking._profiles_joined(long_, linking.choose_words(index._all("words")))) == key(index._all("headlines"))
 
 
 def test_weights_separate():
