@@ -82,7 +82,7 @@ def _reports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _reports(spark, folder).where("shortfall > 0").select("campo", "categoria")
+    return _reports(spark, folder).where("slack > 0").select("campo", "categoria")
 
 
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,6 +94,20 @@ def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
     return drawn[0].unionByName(drawn[1])
 
 
+def _crossed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Annotations by sentiment and topic, the topics' targets being those of events."""
+    targets = table(spark, folder, "cuotas_muestra")
+    rows = table(spark, folder, "anotaciones").where(F.trim("annotation_id") != "").withColumn("at", F.try_to_timestamp("fecha_anotacion"))
+    rows = rows.select(F.col("annotation_id").alias("key"), quotas.category_key(F.col("sentimiento")).alias("a"), quotas.category_key(F.col("tema")).alias("b"), "at")
+    pool = rows.groupBy("key").agg(F.max_by(F.struct("a", "b"), F.struct("at", "a", "b")).alias("x")).select("key", "x.a", "x.b")
+    cells, report = quotas.crossed(pool, *(targets.where(F.col("campo") == c) for c in ("sentimiento", "dominant_topic")))
+    return pool, cells, report
+
+
+def p5_crossed(spark: SparkSession, folder: str) -> DataFrame:
+    return _crossed(spark, folder)[2]
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "noticias")
     rows = linking.articles(items, BATCHES)
@@ -112,8 +126,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """The mix by tokens: target and actual shares."""
-    return mixing.plan(table(spark, folder, "documents"), table(spark, folder, "mezcla_fuentes"), mixing.token_count(F.col("text")))[2]
+    """The mix by tokens: target shares and those of the documents selected."""
+    return mixing.shares(*mixing.plan(table(spark, folder, "documents"), table(spark, folder, "mezcla_fuentes"), mixing.token_count(F.col("text"))))
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p5_sample": p5_sample,
+    "p5_crossed": p5_crossed,
     "p6_found": p6_found,
     "p8_found": p8_found,
     "p9_found": p9_found,

@@ -8,11 +8,15 @@ with keyed as (
   from noticias where fuente is not null and lower(trim(fuente)) not in ('', 'nan', 'none', 'null')
 ), each as (
   select seq, src, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as linea from keyed
+), rested as (
+  select *, regexp_replace(lower(line), '[\s\x0b\x{85}\p{Z}0-9]+', '', 'g') as rest from each
+), parts as (
+  select *, regexp_replace(rest, '[\x00-\x7f]+', '', 'g') as foreign_, length(regexp_replace(rest, '[^a-z]+', '', 'g')) as own from rested
 ), hashed as (
   select seq, src, line, linea,
-    case when regexp_matches(regexp_replace(lower(line), '[^\x21-\x2f\x3a-\x7e]+', '', 'g'), '[a-z]') then 'a' || regexp_replace(lower(line), '[^\x21-\x2f\x3a-\x7e]+', '', 'g')
-         when regexp_replace(line, '[\s\p{Z}]+', '', 'g') <> '' then 'b' || regexp_replace(lower(line), '[\s\p{Z}\d]+', '', 'g') end as k
-  from each
+    case when regexp_replace(line, '[\s\x0b\x{85}\p{Z}]+', '', 'g') = '' then null when foreign_ <> '' and (length(regexp_replace(foreign_, '[^\p{L}]+', '', 'g')) > own or own = 0) then 'b' || rest
+         else 'a' || regexp_replace(rest, '[^\x21-\x7e]+', '', 'g') end as k
+  from parts
 ), sizes as (select src, count(*) as n from keyed group by src),
 found as (
   select h.src, h.k from hashed h join sizes s using (src) where h.k is not null

@@ -26,7 +26,7 @@ def line_case(n=90, seed=3):
 def test_lines_against_brute_force(spark):
     rows = line_case() + [(1000, None, "Otro"), (1001, "", None), (1002, "x\n" * 5000, "Otro"), (1003, "Lea también la línea", None)]
     df = spark.createDataFrame(rows, "seq bigint, texto string, fuente string").withColumn("line", F.lit(1))
-    key = lambda s: re.sub(r"[^\x21-\x2f\x3a-\x7e]+", "", s.lower())
+    key = lambda s: re.sub(r"[^\x21-\x7e]+", "", re.sub(r"[\s\d\xa0]+", "", s.lower()))
     docs, sizes = defaultdict(set), Counter()
     for seq, t, src in rows:
         if src:
@@ -49,16 +49,25 @@ def test_lines_against_brute_force(spark):
     assert sitelines.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_other_scripts_and_repeated_rows(spark):
+    rows = [(i, f"Фото: AP\nВидео: AP{'' if i else ' x'}\naño{i}\ntexto 5G 中文" if i % 2 else "Фото: AP\nao\ntexto 5G 汉字", "A") for i in range(40)] + [(100, "una sola", "A")] * 30
+    df = spark.createDataFrame(rows, "seq bigint, texto string, fuente string")
+    got = {(r.seq, r.linea) for r in sitelines.repeated_lines(df).collect()}
+    assert {i for i, n in got if n == 1} == set(range(40)) and (100, 1) not in got
+    key = lambda t: spark.createDataFrame([(t,)], "t string").select(sitelines.line_key(F.col("t"))).first()[0]
+    assert key("Фото: AP") != key("Видео: AP") and key("año 12") == key("AÃ±O") == key("aÃ±o 3")
+
+
 def test_quotas(spark):
     pool = spark.createDataFrame([(f"k{i}", "a" if i < 60 else "b" if i < 90 else "c") for i in range(100)], "key string, category string")
     targets = spark.createDataFrame([("f", " A", 0.5, 5), ("f", "B", 0.2, 5), ("f", "c", 0.3, 5), ("f", "d", 0.0, 3)], "campo string, categoria string, target_share double, min_rows int")
-    got = {r.categoria: (r.available, r.quota, r.shortfall) for r in quotas.report(pool, targets).collect()}
-    assert got["c"] == (10, 10, 5.0) and got["d"] == (0, 0, 3.0)
+    got = {r.categoria: (r.available, r.quota, r.slack) for r in quotas.report(pool, targets).collect()}
+    assert got["c"] == (10, 10, 5) and got["d"] == (0, 0, 3)
     assert got[" A"][1] + got["B"][1] + got["c"][1] == 50 and got[" A"][2] == got["B"][2] == 0
     drawn = quotas.draw(pool, quotas.report(pool, targets)).groupBy("category").count().collect()
     assert {r.category: r["count"] for r in drawn} == {"a": got[" A"][1], "b": got["B"][1], "c": 10}
     empty = quotas.report(pool.limit(0), targets).collect()
-    assert {r.categoria for r in empty if r.shortfall > 0} == {" A", "B", "c", "d"}
+    assert {r.categoria for r in empty if r.slack > 0} == {" A", "B", "c", "d"}
     assert quotas.draw(pool.limit(0), quotas.report(pool.limit(0), targets)).count() == 0
 
 
@@ -69,6 +78,44 @@ def test_flow_crosses_two_fields():
     assert quota == [1, 4, 5, 0] and not any(short.values())
 
 
+def test_flow_crosses_two_fields_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(30):
+        cells = [((a, b), rng.randrange(4)) for a in "ab" for b in "xy"]
+        size = rng.randrange(1, 1 + max(1, sum(n for _, n in cells)))
+        targets = {(0, "a"): (rng.random(), rng.randrange(2)), (0, "b"): (rng.random(), 0), (1, "x"): (rng.random(), 0), (1, "y"): (rng.random(), rng.randrange(2))}
+        want = {k: max(m, int(p * size + 1e-9)) for k, (p, m) in targets.items()}
+
+        def cost(q):
+            total = 0
+            for k, (_, least) in targets.items():
+                got = sum(v for (cats, _), v in zip(cells, q) if cats[k[0]] == k[1])
+                least = min(least, want[k])
+                total += max(0, min(got, want[k]) - least) + 50 * max(0, got - want[k])
+            return total
+
+        quota, _ = quotas.solve(cells, targets, size)
+        every = [q for q in itertools.product(*[range(n + 1) for _, n in cells]) if sum(q) == min(size, sum(n for _, n in cells))]
+        assert sum(quota) == min(size, sum(n for _, n in cells)) and cost(quota) == min(map(cost, every))
+
+
+def test_many_categories_are_all_met():
+    cells = [((i,), 2) for i in range(10_001)]
+    quota, _ = quotas.solve(cells, {(0, i): (1 / 10_001, 1) for i in range(10_001)}, 10_001)
+    assert quota == [1] * 10_001
+    assert sum(quotas.slack(cells, {(0, i): (0.0, 3) for i in range(10_001)}, 10).values()) == 10_001
+
+
+def test_crossed_sample(spark):
+    pool = spark.createDataFrame([(f"k{i}", "ab"[i % 2], "xyz"[i % 3]) for i in range(60)], "key string, a string, b string")
+    target = lambda name, **kinds: spark.createDataFrame([(name, k, p, 2) for k, p in kinds.items()], "campo string, categoria string, target_share double, min_rows int")
+    cells, report = quotas.crossed(pool, target("f", a=0.5, b=0.5), target("g", x=0.2, y=0.5, w=0.1))
+    got = {(r.campo, r.categoria): (r.available, r.quota, r.slack, r.missed) for r in report.collect()}
+    assert got["f", "a"][:2] == (30, 15) and got["f", "b"][:2] == (30, 15) and got["g", "w"] == (0, 0, 3, 3) and got["g", "y"] == (20, 15, 0, 0)
+    every = pool.select("key", F.concat_ws("|", "a", F.when(F.col("b").isin("x", "y", "w"), F.col("b")).otherwise("")).alias("category"))
+    assert quotas.draw(every, cells).count() == 30
+
+
 def test_eligible_takes_the_latest_row(spark):
     rows = [("1", "Positivo", "2026-01-02"), ("1", "negativo", "2026-01-01"), ("2", " POSÍTIVO ", None), ("2", "otro", "2026-01-01"), ("3", None, None), (None, "positivo", None), ("", "positivo", None)]
     targets = spark.createDataFrame([("f", "positivo", 1.0, 1)], "campo string, categoria string, target_share double, min_rows int")
@@ -91,9 +138,24 @@ def test_mix(spark):
         mine = [r for r in chosen if r.source == s]
         assert max(r.copies for r in mine) <= most
         assert abs(sum(r.copies * size[r.doc_id] for r in mine) - got[s].routed) <= 8
+    actual = {r.source: r for r in mixing.shares(table, routes, report).collect()}
+    assert abs(sum(r.actual_share for r in actual.values()) - 1) < 1e-9 and actual["gone"].selected == 0
+    assert actual["small"].selected == sum(r.copies * size[r.doc_id] for r in chosen if r.source == "small")
     assert mixing.plan(docs.limit(0), targets, mixing.word_count(F.col("text")))[2].where("short").count() == 0
 
 
+def test_no_small_pattern_is_lost(spark, monkeypatch):
+    size = {p: 4 for p in range(20)} | {99: 10**12}
+    routes = mixing._route([(p, ["tail" if p < 99 else "big"], n) for p, n in size.items()], {"tail": (80.0, 1), "big": (10.0**11, 1)})
+    assert sum(v for (_, s), v in routes.items() if s == "tail") == 80
+    rows = [(i, f"t{i // 2}", f"s{i % 2 if i % 3 else 0}{i % 5}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([(s, 0.1, 2) for s in {r[2] for r in rows}], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 3)
+    table, _, report = mixing.plan(docs, targets, mixing.word_count(F.col("text")))
+    assert table.count() == 60 and all(r.routed == 3 for r in report.collect())
+
+
 def test_token_count(spark):
     df = spark.createDataFrame([("Hola, mundo",), ("",), (None,)], "t string")
     got = [r.n for r in df.select(mixing.token_count(F.col("t")).alias("n")).collect()]

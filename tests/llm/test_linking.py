@@ -132,13 +132,26 @@ def test_fusion_against_brute_force(spark):
     assert fusion.fuse(df.limit(0), gs.limit(0), rules).count() == 0
 
 
-def test_quality_model_trusts_the_reliable(spark):
-    rows = []
-    for g in range(60):
-        rows += [(g, "f", g * 10, s) for s in (1, 2, 3)]
-        rows += [(g, "f", g * 10 + 1 + g % 3, 4)]
-    truth, quality = fusion.quality_model(spark.createDataFrame(rows, "grupo bigint, campo string, value bigint, source bigint"))
-    p = {(r.grupo, r.value): r.p_true for r in truth.collect()}
-    assert all((v >= 0.5) == (k[1] % 10 == 0) for k, v in p.items())
-    sens = {r.source: r.sensitivity for r in quality.collect()}
-    assert sens[4] < sens[1]
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_quality_model_finds_planted_truth(spark, monkeypatch, local):
+    """Three good sources, two that name a false value more often than not; several values may be true."""
+    monkeypatch.setattr(fusion, "MOST_ROUNDS", 200 if local else 6)
+    rng = random.Random(11)
+    rows, covers, true = [], [], set()
+    for g in range(300):
+        good = [g * 10] + [g * 10 + 1] * (rng.random() < 0.3)
+        true |= {(g, v) for v in good}
+        for s in (1, 2, 3):
+            covers.append((g, s))
+            rows += [(g, "f", v, s) for v in good if rng.random() < 0.9] + [(g, "f", g * 10 + 5 + s, s)] * (rng.random() < 0.05)
+        for s in (4, 5):
+            covers.append((g, s))
+            rows += [(g, "f", g * 10 + s - 2, s)] if rng.random() < 0.6 else [(g, "f", good[0], s)]
+    truth, quality = fusion.quality_model(spark.createDataFrame(rows, "grupo bigint, campo string, value bigint, source bigint"), spark.createDataFrame(covers, "grupo bigint, source bigint"), local)
+    said = {(r.grupo, r.value): r.p_true for r in truth.collect()}
+    kept = {k for k, p in said.items() if p >= 0.5}
+    right = true & set(said)
+    assert len(kept & right) >= 0.95 * len(right) and len(kept & right) >= 0.95 * len(kept)
+    quality = {r.source: (r.sensitivity, r.specificity) for r in quality.collect()}
+    assert all(quality[a][0] > quality[b][0] and quality[a][1] > quality[b][1] for a in (1, 2, 3) for b in (4, 5))
+    assert fusion.quality_model(spark.createDataFrame([], "grupo bigint, campo string, value bigint, source bigint"))[0].count() == 0
