@@ -43,8 +43,11 @@ def number(c: Column, default: float, low: float | None = None, high: float | No
 
 def softmax(scores: Column) -> Column:
     """Probabilities of an array of log scores."""
-    shifted = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, y: a + y))
+    # the largest score and the sum are worked out once a row
+    one = lambda made, then: F.element_at(F.transform(F.array(made), then), 1)
+    shifted = one(F.struct(scores.alias("a"), F.array_max(scores).alias("m")), lambda s: F.transform(s["a"], lambda x: F.exp(x - s["m"])))
+    total = lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, y: a + y).alias("t"))
+    return one(one(shifted, total), lambda s: F.transform(s["e"], lambda x: x / s["t"]))
 
 
 def argmax(scores: Column) -> Column:
@@ -83,5 +86,14 @@ def lookup(c: Column, table: dict[str, str], default: Column | None = None) -> C
     return F.coalesce(got, F.raise_error(F.concat(F.lit("unknown label: "), c)) if default is None else default)
 
 
+# Sentiment labels by what they are called in datasets.
+SENTIMENTS = {"positive": "positivo", "positivo": "positivo", "neutral": "neutral", "negative": "negativo", "negativo": "negativo"}
+
+
+def sentiment(c: Column) -> Column:
+    """Canonical sentiment of a label in any case; null stays null, an unknown label is an error."""
+    return F.when(c.isNotNull(), lookup(c, SENTIMENTS))
+
+
 # Tone of a sentiment label.
 TONES = {"positivo": "favorable", "neutral": "neutral", "negativo": "desfavorable"}

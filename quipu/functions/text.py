@@ -29,6 +29,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+def compatible(c: Column) -> Column:
+    """``nfkc`` of texts that hold a character it may change; all others stay out of Python."""
+    told = r"[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u00a1\u00bf\u00ab\u00bb\u2013\u2014\u2018-\u201d\u20ac]"
+    return F.coalesce(nfkc(F.when(c.rlike(told), c)), c)
+
+
 def missing(c: Column) -> Column:
     """The text, or null where it is null, blank or the word nan."""
     return F.when(~F.lower(F.trim(c)).isin("", "nan"), c)

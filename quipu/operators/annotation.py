@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quipu.functions import numbers, text
-from quipu.operators.corpus import best_for_annotation, repair_strings, select_existing
+from quipu.operators.corpus import best_for_annotation, keep_first, repair_strings, select_existing
 from quipu.operators.lineage import small
 
 LABELS = ["positivo", "neutral", "negativo"]
@@ -58,8 +58,8 @@ def stratified_split(df: DataFrame, label: str, key: str, shares: tuple[float, f
 
 
 def build_batch(df: DataFrame, size: int = 200, title: int = 20, body: int = 150, seed: int = 42) -> DataFrame:
-    """A batch to annotate: long enough records by source quota, topped up from the rest, with ids, in hash order."""
-    rows = df.where((F.length("titulo") >= title) & (F.length("texto") >= body)).dropDuplicates(["id"])
+    """A batch to annotate: long enough records (the first by ``seq`` of each id) by source quota, topped up from the rest, with ids, in hash order."""
+    rows = keep_first(df.where((F.length("titulo") >= title) & (F.length("texto") >= body)), [F.col("id")], [F.col("seq")])
     first = quota_sample(rows, "fuente", "id", size, seed)
     lacks = first.agg((F.lit(size) - F.count("*")).alias("lacks"))
     rest = rows.join(first.select("id"), "id", "left_anti").orderBy(hash_order("id", seed), "id").limit(size)

@@ -208,6 +208,11 @@ def merge_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc_nulls_last("collected_at"), "fuente", "titulo", "seq")
 
 
+def collected_order(df: DataFrame) -> DataFrame:
+    """By source, there most relevant first, then by title and arrival."""
+    return df.orderBy("fuente", F.desc_nulls_last("economic_score"), "titulo", "seq")
+
+
 def drop_incomplete(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows that have a value in every one of the columns."""
     return df.dropna(subset=columns)

@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer, NGram, SQLTransformer, Tokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -113,6 +113,27 @@ def topic_report(model: PipelineModel, df: DataFrame, key: str, content: Column)
     return topic_infer(model, df, key, content).groupBy("topic_id").agg(F.count("*").alias("documents")).withColumn("perplexity", F.exp(F.lit(bound)))
 
 
+def save_pipeline(model: PipelineModel, path: str) -> None:
+    """Store a fitted pipeline; an earlier one at the path is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_pipeline(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def save_bayes(known: DataFrame, theta: DataFrame, prior: DataFrame, path: str) -> None:
+    """Store vocabulary, term probabilities and class priors as tables."""
+    for name, df in (("vocabulary", known), ("theta", theta), ("prior", prior)):
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def load_bayes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(vocabulary, theta, prior)`` as stored."""
+    known, theta, prior = (spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in ("vocabulary", "theta", "prior"))
+    return known, theta, prior
+
+
 def score_with(df: DataFrame, content: str, load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]]) -> DataFrame:
     """Add ``modelo_etiqueta, modelo_confianza`` of any scorer; ``load`` runs once per task and gives a function over batches."""
     schema = StructType([StructField("label", StringType()), StructField("confidence", DoubleType())])

@@ -40,6 +40,19 @@ def temporal_columns(df: DataFrame, now: Column, policy: TemporalPolicy = Tempor
     }).drop("__p", "__c", "__f", "__e", "__a")
 
 
+# Columns that may tell when a document counts, best first.
+DATE_COLUMNS = ["effective_at", "published_at", "fecha", "collected_at"]
+
+
+def date_column(df: DataFrame, candidates: list[str] = DATE_COLUMNS) -> str | None:
+    """The first candidate with a readable time in any row, for the table as a whole; None if there is none."""
+    have = [c for c in candidates if c in df.columns]
+    if not have:
+        return None
+    counts = df.agg(*[F.count(dates.instant(F.col(c).cast("string"))).alias(c) for c in have]).first()
+    return next((c for c in have if counts[c]), None)
+
+
 def operational(df: DataFrame) -> DataFrame:
     """Recent rows, latest first, then by stress; missing stress last."""
     return df.where("is_recent").orderBy(F.desc_nulls_last("effective_at"), F.desc_nulls_last("stress_score"))

@@ -283,6 +283,24 @@ select seq, case when place < 0.70 then 'train' when place < 0.70 + 0.15 then 'v
     "macro_report": f"with {_CLASSES} select (select avg((label = said)::int) from jd) as accuracy, (select count(*) from jd) as rows, avg(precision) as macro_precision, avg(recall) as macro_recall, avg(f1) as macro_f1 from rep",
     "consolidated_tone": "with a as (select annotation_id, id, lower(trim(sentimiento)) as s, case when duda = 0 then lower(trim(sentimiento)) end as t from anotaciones) select annotation_id, id, coalesce(s, t) as etiqueta_consolidada, s = t as coincidencia_modelos, case coalesce(s, t) when 'positivo' then 'favorable' when 'neutral' then 'neutral' when 'negativo' then 'desfavorable' end as tono_consolidado from a",
     "catalogue_violations": "select fuente_id::varchar as id, 'weight_out_of_range' as rule from fuentes where source_weight is null or source_weight not between 0 and 1 union all select fuente_id::varchar, 'no_homepage' from fuentes where trim(coalesce(homepage, '')) = '' union all select fuente_id::varchar, 'unknown_source_type' from fuentes where trim(coalesce(source_type, '')) <> '' and source_type not in ('official', 'newspaper', 'television', 'agency', 'business', 'regional')",
+    "collected_violations": f"""with c as (select seq::varchar as id, fuente as name, source_type, department, scope, source_weight, {_lower('fuente')} as k from noticias)
+select id, 'missing_name' as rule from c where trim(coalesce(name, '')) = '' union all select id, 'missing_source_type' from c where trim(coalesce(source_type, '')) = ''
+union all select id, 'missing_department' from c where trim(coalesce(department, '')) = '' union all select id, 'missing_scope' from c where trim(coalesce(scope, '')) = ''
+union all select id, 'unknown_source_type' from c where trim(coalesce(source_type, '')) <> '' and source_type not in ('official', 'newspaper', 'television', 'agency', 'business', 'regional')
+union all select id, 'weight_out_of_range' from c where source_weight is null or isnan(source_weight) or source_weight not between 0 and 1
+union all select id, 'duplicate_id' from c qualify count(*) over (partition by id) > 1 union all select id, 'duplicate_name' from c qualify count(*) over (partition by k) > 1""",
+    "service_batch_report": """with ok as (select * from noticias where texto is not null)
+select 'outcome' as kind, case when texto is null then 'failed' else 'processed' end as value, count(*) as count from noticias group by 1, 2
+union all select 'sentiment', tono_consolidado, count(*) from ok where tono_consolidado is not null group by 2 union all select 'topic', tema, count(*) from ok where tema is not null group by 2
+union all select 'entity', x, count(*) from (select unnest(entidades) as x from ok) where x is not null group by 2 union all select 'indicator', x, count(*) from (select unnest(indicadores) as x from ok) where x is not null group by 2""",
+    "collected_top": "select seq, fuente, economic_score from noticias order by fuente nulls first, economic_score desc nulls last, titulo nulls first, seq limit 50",
+    "relevant_items": f"""with {_texts("concat_ws(' ', titulo, texto)")}, s as (select seq, {_held_terms(lexicon.COLLECT_TERMS)} as economic_score from tt), g as (select seq, {_GENERIC} as generic from (select seq, {_lower('titulo')} as nt from noticias))
+select seq, s.economic_score from s join g using (seq) join noticias n using (seq) where not g.generic and {_lower('n.titulo')} <> '' and length(n.texto) >= 250 and s.economic_score >= 2""",
+    "labelled_texts": f"""select texto, sentimiento from (select trim(regexp_replace(coalesce(titulo, ''), '{_SPACE}', ' ', 'g')) as texto, lower(trim(sentimiento)) as sentimiento from anotaciones)
+where sentimiento in ('positivo', 'neutral', 'negativo') and length(texto) >= 10""",
+    "softmax_argmax": """with e as (select vec_id, [x::double for x in embedding] as v from embeddings), p as (select vec_id, v, list_sum([exp(x - list_max(v)) for x in v]) as s from e)
+select vec_id, (list_position(v, list_max(v)) - 1)::int as label, floor(1 / s * 100 * 100 + 0.5) / 100.0 as confidence from p""",
+    "date_columns": "select 'all' as of, 'fecha' as column union all select 'collected', 'collected_at'",
     "collection_report": f"select name, (select count(*) from noticias n where {_lower('n.fuente')} = {_lower('f.name')}) as documents from fuentes f",
     "pipeline_gate": f"""with tx as (select fuente, {_lower("titulo")} as nt from noticias), g as (select count(*)::double as n, count(distinct fuente)::double as s, avg({_GENERIC}::int) as gen from tx), c as (select count(*)::double as c from noticias where length(titulo) >= 20)
 select 'operational_rows' as check, n as value, 1.0 as threshold, n >= 1 as passed from g union all select 'missing_metadata_columns', 0.0, 0.0, true union all select 'distinct_sources', s, 3.0, s >= 3 from g union all select 'generic_title_ratio', gen, 0.05, gen <= 0.05 from g union all select 'clean_rows', c, 30.0, c >= 30 from c""",

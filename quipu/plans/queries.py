@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quipu.functions import dates, lexicon, numbers, text
 from quipu.operators import annotation, corpus, events, gates, lineage, metrics, models, ranking, temporal, timestamps
 from quipu.plans import pipeline, service
-from quipu.sources import catalogue
+from quipu.sources import catalogue, pages
 
 FLAGSHIP = "rank_documents_topics"
 NOW = "2026-02-01 00:00:00"
@@ -472,6 +472,13 @@ def catalogue_violations(spark, folder):
     return catalogue.violations(table(spark, folder, "fuentes"), "fuente_id")
 
 
+@query
+def collected_violations(spark, folder):
+    """Rules of the catalogue over the sources as collected records describe them, which break most."""
+    rows = news(spark, folder).select("seq", F.col("fuente").alias("name"), "source_type", "department", "scope", "source_weight")
+    return catalogue.violations(rows, "seq")
+
+
 @query
 def collection_report(spark, folder):
     return catalogue.collection_report(table(spark, folder, "fuentes"), news(spark, folder))
@@ -485,16 +492,30 @@ def pipeline_gate(spark, folder):
 
 @query
 def event_gate(spark, folder):
-    rows = table(spark, folder, "eventos_operativos")
-    return gates.event_gate(rows, rows.select("event_id"), rows)
+    clustered = lineage.store(events.cluster_news(_operational(spark, folder)))
+    summary = lineage.store(events.summarize_events(clustered))
+    return gates.event_gate(summary, clustered, _operational(spark, folder), payload=events.event_payload(summary, clustered))
+
+
+def _daily(spark, folder):
+    rows = news(spark, folder).drop("entidades", "indicadores", "stress_score")
+    return pipeline.daily(rows.where("lote <= 200"), rows.where("lote > 200"), "2026-08-20T00:00:00Z", F.lit("2026-08-20 00:00:00+00:00").cast("timestamp"), policy=temporal.TemporalPolicy(recent_hours=720.0))
 
 
 @query
 def daily_pipeline(spark, folder):
-    """The whole day's run over the corpus, its gates as result."""
-    rows = news(spark, folder).withColumn("entidades", F.lit(None)).drop("entidades", "indicadores", "stress_score")
-    done = pipeline.daily(rows.where("lote <= 200"), rows.where("lote > 200"), "2026-02-01T00:00:00Z", now())
-    return done.gates
+    """The whole day's run over the corpus, near its newest records: rows of every output."""
+    return _daily(spark, folder).counts()
+
+
+@query
+def daily_gates(spark, folder):
+    return _daily(spark, folder).gates
+
+
+@query
+def daily_snapshot(spark, folder):
+    return _daily(spark, folder).snapshot
 
 
 @query
@@ -513,6 +534,50 @@ def service_analyze(spark, folder):
     return service.batch_summary(service.analyze(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("texto"))))
 
 
+@query
+def service_batch_report(spark, folder):
+    """Tones, topics, entities and indicators of the news as analysed; records without text are errors."""
+    rows = news(spark, folder).withColumn("error", F.when(F.col("texto").isNull(), "sin texto"))
+    return service.batch_report(rows.select("error", "tono_consolidado", "tema", "entidades", "indicadores"))
+
+
+@query
+def collected_top(spark, folder):
+    return corpus.collected_order(news(spark, folder)).limit(50).select("seq", "fuente", "economic_score")
+
+
+@query
+def relevant_items(spark, folder):
+    return corpus.relevant(texts(spark, folder)).select("seq", "economic_score")
+
+
+@query
+def labelled_texts(spark, folder):
+    return pages.labelled_texts(table(spark, folder, "anotaciones"), F.col("titulo"), F.col("sentimiento"))
+
+
+@query
+def softmax_argmax(spark, folder):
+    rows = table(spark, folder, "embeddings").withColumn("p", numbers.softmax(F.transform("embedding", lambda x: x.cast("double"))))
+    return rows.select("vec_id", numbers.argmax(F.col("p")).alias("label"), numbers.round2(F.array_max("p") * 100).alias("confidence"))
+
+
+@query
+def date_columns(spark, folder):
+    """Which column dates the corpus, and which if it had no collection times."""
+    rows = news(spark, folder)
+    found = [("all", temporal.date_column(rows)), ("collected", temporal.date_column(rows, ["tema", "collected_at"]))]
+    return spark.createDataFrame(found, "of string, `column` string")
+
+
+@query
+def topic_inference(spark, folder):
+    """Topics of all texts by the other model's parameters: rarer terms left out, 30 iterations."""
+    rows = texts(spark, folder).where("texto is not null")
+    fitted = models.topic_fit(rows, F.col("texto"), iterations=30, least=8, most_share=0.7, most_terms=12_000)
+    return models.topic_infer(fitted, rows, "seq", F.col("texto"), {0: "Primer tema"})
+
+
 @query
 def clean_top(spark, folder):
     return corpus.clean_order(corpus.clean_corpus(texts(spark, folder))).limit(50).select("seq", "score_recalculado")

@@ -60,6 +60,36 @@ def batch_summary(analysed: DataFrame) -> DataFrame:
         *[F.count_if(ok & (F.col("stress_nivel") == n)).alias(a) for n, a in (("crítico", "critical"), ("alto", "high"), ("moderado", "moderate"), ("bajo", "low"))])
 
 
+def batch_report(analysed: DataFrame, limit: int | None = None) -> DataFrame:
+    """``(kind, value, count)`` over an analysed batch: tones, topics, entities, indicators, whether the models agree, outcomes.
+
+    Rows with an error count as failed and for nothing else; missing tones, topics and agreements aren't counted.
+    """
+    ok = analysed.where(F.col("error").isNull())
+    count = lambda df, kind, value: df.select(F.lit(kind).alias("kind"), value.cast("string").alias("value")).where("value is not null").groupBy("kind", "value").agg(F.count("*").alias("count"))
+    out = count(analysed, "outcome", F.when(F.col("error").isNull(), "processed").otherwise("failed"))
+    for kind, c in (("sentiment", "tono_consolidado"), ("topic", "tema"), ("agreement", "coincidencia_modelos")):
+        if c in analysed.columns:
+            out = out.unionByName(count(ok, kind, F.col(c)))
+    for kind, c in (("entity", "entidades"), ("indicator", "indicadores")):
+        out = out.unionByName(count(ok.select(F.explode(c).alias("x")), kind, F.col("x")))
+    return out if limit is None else out.orderBy("kind", F.desc("count"), "value").limit(limit)
+
+
+def history(table: DataFrame, days: int = 30) -> DataFrame:
+    """The latest rows of the history, 1 to 365, by date."""
+    return table.orderBy(F.desc("date")).limit(_limit(days, 365)).orderBy("date")
+
+
+def topic_keywords(words: DataFrame, names: dict[int, str] = {}, most: int = 10) -> DataFrame:
+    """``(topic_id, name, keywords)`` of ``models.topic_words``; a topic without name is called by its number."""
+    rows = words.where(F.col("rank") <= most).groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("x"))
+    name = F.concat(F.lit("Tema "), F.col("topic_id").cast("string"))
+    if names:
+        name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("topic_id").cast("int")), name)
+    return rows.select("topic_id", name.alias("name"), F.transform("x", lambda r: r["term"]).alias("keywords"))
+
+
 def frequencies(analysed: DataFrame, limit: int = 15) -> DataFrame:
     """``(kind, value, count, percentage)`` of entities and indicators."""
     one = lambda c: metrics.list_frequency(analysed, F.col(c), limit).withColumn("kind", F.lit(c))

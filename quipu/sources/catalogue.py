@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quipu.functions import text
+from quipu.operators.lineage import small
 
 # What a source may be.
 SOURCE_TYPES = ["official", "newspaper", "television", "agency", "business", "regional"]
@@ -34,8 +35,9 @@ def violations(catalogue: DataFrame, key: str = "id") -> DataFrame:
     each = F.filter(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(name)) for name, broken in rules]), lambda x: x.isNotNull())
     out = catalogue.select(c(key).cast("string").alias("id"), F.explode(each).alias("rule"))
     for name, k in (("duplicate_id", c(key).cast("string")), ("duplicate_name", text.normalize(c("name")))):
-        twice = catalogue.groupBy(k.alias("k")).agg(F.collect_list(c(key).cast("string")).alias("ids"), F.count("*").alias("n")).where("n > 1 and k is not null")
-        out = out.unionByName(twice.select(F.explode("ids").alias("id"), F.lit(name).alias("rule")))
+        twice = catalogue.groupBy(k.alias("k")).agg(F.count("*").alias("n")).where("n > 1 and k is not null").select("k")
+        rows = catalogue.select(c(key).cast("string").alias("id"), k.alias("k")).join(small(twice, 100_000), "k")
+        out = out.unionByName(rows.select("id", F.lit(name).alias("rule")))
     return out
 
 

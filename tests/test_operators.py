@@ -4,7 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quipu.functions import numbers, text
 from quipu.operators import annotation, corpus, events, gates, metrics, models, ranking, temporal
+from quipu.plans import pipeline, service
+from quipu.sources import catalogue
 
 NOW = "2026-07-10 12:00:00+00:00"
 
@@ -306,3 +309,91 @@ def test_repair_queries_cover_all_string_columns(spark, tmp_path):
     assert got == {1: ("Economía", "Economía", "A", "Economía"), 2: (None, "Economía", None, "B")}
     report = {r.column: (r.rows, r.repaired, r.suspicious_after) for r in queries.repair_report(spark, str(tmp_path)).collect()}
     assert report == {"titulo": (2, 1, 0), "texto": (2, 2, 0), "fuente": (2, 0, 0), "tema": (2, 1, 0)}
+
+
+def test_compatibility_forms(spark):
+    rows = [("ﬁnanzas del BCB — 1º año…",), ("El ＢＣＢ informó",), ("áéíóúñ ü «sí» €5",), (None,), ("",)]
+    got = [r.v for r in spark.createDataFrame(rows, "t string").select(text.compatible(F.col("t")).alias("v")).collect()]
+    assert got == ["finanzas del BCB — 1o año...", "El BCB informó", "áéíóúñ ü «sí» €5", None, ""]
+    done = pipeline.lexical_columns(spark.createDataFrame([(None, "El ＢＣＢ informó sobre la inﬂación")], "titulo string, texto string")).first()
+    assert done.entidades == ["BCB"] and done.indicadores == ["inflación"]
+
+
+def test_unknown_sentiment_is_an_error(spark):
+    df = spark.createDataFrame([("Positive ",), ("neutral",), (None,)], "s string")
+    assert [r.v for r in df.select(numbers.sentiment(F.col("s")).alias("v")).collect()] == ["positivo", "neutral", None]
+    with pytest.raises(Exception, match="unknown label"):
+        spark.createDataFrame([("otro",)], "s string").select(numbers.sentiment(F.col("s"))).collect()
+
+
+def test_bayes_survives_storing(spark, tmp_path):
+    df = spark.createDataFrame([(i, "sube el precio" if i % 2 else "baja la deuda", "a" if i % 2 else "b") for i in range(12)], "seq bigint, t string, y string")
+    tf = models.terms(df, "seq", F.col("t"))
+    known = models.vocabulary(tf)
+    vectors = models.weights(tf, known)
+    theta, prior = models.nb_train(vectors, df.select(F.col("seq").alias("key"), F.col("y").alias("label")))
+    models.save_bayes(known, theta, prior, str(tmp_path / "nb"))
+    known, theta, prior = models.load_bayes(spark, str(tmp_path / "nb"))
+    new = spark.createDataFrame([(1, "el precio sube"), (2, "la deuda baja")], "seq bigint, t string")
+    got = models.nb_predict(models.weights(models.terms(new, "seq", F.col("t")), known), theta, prior).collect()
+    assert {r.key: r.label for r in got} == {1: "a", 2: "b"}
+
+
+def test_topic_model_survives_storing(spark, tmp_path):
+    df = spark.createDataFrame([(i, "litio salar mina agua" if i % 2 else "banco crédito tasa ahorro") for i in range(20)], "seq bigint, t string")
+    fitted = models.topic_fit(df, F.col("t"), k=2, iterations=5, least=1, most_share=1.0)
+    models.save_pipeline(fitted, str(tmp_path / "lda"))
+    got = {r.key: r.topic_id for r in models.topic_infer(models.load_pipeline(str(tmp_path / "lda")), df, "seq", F.col("t")).collect()}
+    assert len({got[i] for i in range(0, 20, 2)}) == len({got[i] for i in range(1, 20, 2)}) == 1
+    words = service.topic_keywords(models.topic_words(fitted), {0: "Primero"}, 3).collect()
+    assert {r.name for r in words} == {"Primero", "Tema 1"} and all(len(r.keywords) == 3 for r in words)
+
+
+def test_date_column_is_chosen_for_the_whole_table(spark):
+    df = spark.createDataFrame([("x", "2026-01-01", None), (None, None, "2026-01-02")], "published_at string, fecha string, collected_at string")
+    assert temporal.date_column(df) == "fecha" and temporal.date_column(df.select("published_at", "collected_at")) == "collected_at"
+    assert temporal.date_column(df.limit(0)) is None and temporal.date_column(df.select(F.lit(1).alias("z"))) is None
+
+
+def test_gates_name_missing_columns_and_wrong_counts(spark):
+    ops = spark.createDataFrame([item(1), item(2)], NEWS)
+    bare = spark.createDataFrame([("e", 2, 1)], "event_id string, documents int, unique_sources int")
+    payload = spark.createDataFrame([(2, 5, 0)], "documents int, events int, multi_source_events int")
+    got = {r.check: (r.value, r.passed) for r in gates.event_gate(bare, ops, ops, payload=payload, rankings={"topics": bare}, snapshot=bare.select(F.lit(1).alias("economic_events"))).collect()}
+    assert got["missing_event_columns"] == (9.0, False) and got["missing_clustered_columns"] == (2.0, False) and got["missing_rankings"] == (2.0, False)
+    assert got["payload_events"] == (4.0, False) and got["payload_documents"] == (0.0, True) and got["snapshot_events"] == (0.0, True)
+    report = spark.createDataFrame([(3, 1.0)], "total_documents int, macro_index double")
+    got = {r.check: (r.value, r.passed) for r in gates.pipeline_gate(ops, ops, report=report).collect()}
+    assert got["missing_report_sections"] == (3.0, False) and got["report_total"] == (1.0, False)
+
+
+def test_day_has_all_outputs(spark):
+    body = "La escasez de divisas y el tipo de cambio preocupan al BCB por la inflación y las reservas del país. " * 4
+    rows = [item(i, f"Título número {i} sobre el dólar paralelo", body + f" caso{i}", f"F{i % 4}", f"2026-07-10T0{i % 9}:00:00Z", f"https://x/{i}", "2026-07-10T11:00:00Z") for i in range(40)]
+    df = spark.createDataFrame(rows, NEWS).drop("entidades", "indicadores", "stress_score").withColumn("tema", F.lit("t")).withColumn("tono_consolidado", F.lit("favorable"))
+    done = pipeline.daily(df.limit(0), df, "2026-07-10T11:00:00Z", now())
+    day = done.snapshot.first()
+    assert done.snapshot.columns[:22] == pipeline.SNAPSHOT and (day.documents, day.historical_documents, day.favorable_percentage, day.top_topic) == (40, 40, 100.0, "t")
+    assert day.economic_events == done.events.count() and day.top_entity == "BCB" and day.operational_window_hours == 72.0
+    assert not [r.check for r in done.gates.collect() if not r.passed and r.check not in ("event_ratio", "largest_event_share")]
+    assert {r.output: r.rows for r in done.counts().collect()}["series"] == 1
+    old = pipeline.add_to_history(spark.createDataFrame([("2026-07-10", 1), ("2026-07-09", 2)], "date string, documents bigint"), done.snapshot)
+    assert [(r.date, r.documents) for r in service.history(old, 5).collect()] == [("2026-07-09", 2), ("2026-07-10", 40)]
+
+
+def test_batch_report_and_collected_order(spark):
+    rows = [(None, "favorable", "t", ["BCB"], ["i"]), (None, None, "t", [], None), ("e", "favorable", "t", ["BCB"], [])]
+    df = spark.createDataFrame(rows, "error string, tono_consolidado string, tema string, entidades array<string>, indicadores array<string>")
+    got = {(r.kind, r.value): r["count"] for r in service.batch_report(df).collect()}
+    assert got == {("outcome", "processed"): 2, ("outcome", "failed"): 1, ("sentiment", "favorable"): 1, ("topic", "t"): 2, ("entity", "BCB"): 1, ("indicator", "i"): 1}
+    news = spark.createDataFrame([item(1, "b", fuente="B"), item(2, "a", fuente="A", score=1), item(3, "c", fuente="A", score=5), item(4, "a", fuente="A", score=5)], NEWS)
+    assert [r.seq for r in corpus.collected_order(news).collect()] == [4, 3, 2, 1]
+
+
+def test_catalogue_rules_are_told_apart(spark):
+    rows = [("1", "A", "official", "LP", "n", "active", 0.5, "h"), ("1", "a ", "blog", None, "n", "gone", 2.0, None), ("2", None, "", "LP", "", "inactive", None, None)]
+    got = {(r.id, r.rule) for r in catalogue.violations(spark.createDataFrame(rows, "id string, name string, source_type string, department string, scope string, status string, source_weight double, homepage string")).collect()}
+    assert got == {
+        ("1", "unknown_source_type"), ("1", "missing_department"), ("1", "unknown_status"), ("1", "weight_out_of_range"), ("1", "duplicate_id"), ("1", "duplicate_name"),
+        ("2", "missing_name"), ("2", "missing_source_type"), ("2", "missing_scope"), ("2", "weight_out_of_range"),
+    }
