@@ -78,4 +78,4 @@ def spread(df: DataFrame) -> DataFrame:
     A small file is one part however costly its rows are.  Tables of many files have parts enough and aren't moved.
     """
     most = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= 2 * most else df.repartition(most)
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= most else df.repartition(most)
