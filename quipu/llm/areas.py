@@ -23,6 +23,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quipu.llm.common import cut
+
 SAMPLE_LABELLED = 4000
 SAMPLE_PLAIN = 4000
 #: Words (and pairs of neighbours) of a sentence that go into mining, those that tell areas apart best.
@@ -164,8 +166,11 @@ def learn(documents: DataFrame, labels: DataFrame) -> Rules:
     marks = labels.where("doc_id is not null and trim(area) <> ''").groupBy("doc_id").agg(F.collect_set(F.lower(F.trim("area"))).alias("areas"))
     order = F.xxhash64(F.lit("areas"), "doc_id")
     texts = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
-    one = texts.join(marks, "doc_id").orderBy(order, "doc_id").limit(SAMPLE_LABELLED)
-    plain = texts.join(marks, "doc_id", "left_anti").orderBy(order, "doc_id").limit(SAMPLE_PLAIN)
+    # ids are chosen first, then their texts are fetched by a broadcast of these few
+    ids = texts.select("doc_id").distinct()
+    labelled = ids.join(marks, "doc_id").orderBy(order, "doc_id").limit(SAMPLE_LABELLED)
+    unlabelled = ids.join(marks.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(SAMPLE_PLAIN)
+    one, plain = (cut(texts.join(F.broadcast(cut(x)), "doc_id")).orderBy(order, "doc_id") for x in (labelled, unlabelled))
     told = Told()
     held_from: list[bool] = []
     for i, r in enumerate(one.toLocalIterator()):

@@ -1,11 +1,11 @@
 """Passages of held-out items inside a corpus, by q-gram filtering and banded alignment.
 
 Both sides become lower-case words without accents, one space between.  The items' q-grams are one sorted hash array,
-which every task holds; its size is checked.  Tasks hash every position of their documents, keep those in the array,
+which every Python worker builds once and holds; its size is bounded.  Tasks hash every position of their documents, keep those in the array,
 and count them by (document, item, band of diagonals).  A passage of L characters with at most e word edits shares at
 least L - q + 1 - e * (q + W) q-grams within one band, W being the longest word of the item; regions that reach this
-bound are aligned word by word along the band.  Items that are too many for one array are taken in blocks against all
-documents.
+bound are aligned word by word along the band.  Items that are too many for one array are taken in blocks, by the hash
+of their id, each against all documents; the driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -17,10 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LEAST_WORDS = 12
-#: Item characters that one task holds; more items are taken block by block.
-BLOCK_CHARS = 20_000_000
+#: Item characters that one worker holds, about 40 bytes each; more items are taken block by block.
+BLOCK_CHARS = 4_000_000
+#: Hits of grams that are counted together, about 60 bytes each.
+HITS_AT_ONCE = 2_000_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -65,6 +68,7 @@ class Items:
         self.words = {i: words(t).split(" ") for i, t in items}
         self.words = {i: w for i, w in self.words.items() if w != [""]}
         self.need: dict[int, int] = {}
+        self.names: list[int] = []
         region = {}
         for i, w in self.words.items():
             k = min(least, len(w))
@@ -78,15 +82,19 @@ class Items:
             data = np.frombuffer(" ".join(w).encode(), "uint8")
             h = _grams(data, self.q)
             hashes.append(h)
-            owners.append(np.full(len(h), i, "int64"))
-            places.append(np.arange(len(h)))
+            owners.append(np.full(len(h), len(self.names), "int32"))
+            places.append(np.arange(len(h), dtype="int32"))
+            self.names.append(i)
             self.need[i] = max(1, region[i] - self.q + 1 - edits * (self.q + max(map(len, w))))
         cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        h, o, p = cat(hashes, "uint64"), cat(owners, "int64"), cat(places, "int64")
+        h, o, p = cat(hashes, "uint64"), cat(owners, "int32"), cat(places, "int32")
         by = np.argsort(h, kind="stable")
         self.hash, self.owner, self.place = h[by], o[by], p[by]
-        self.sieve = np.zeros(1 << 22, bool)
-        self.sieve[self.hash >> np.uint64(42)] = True
+        bits = max(16, int(len(h) * 8).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.sieve = np.zeros(1 << bits, bool)
+        self.sieve[self.hash >> self.shift] = True
+        self.least_of = np.array([self.need[i] for i in self.names], "int64")
         self.band = max(1, edits * 24)
 
     def found(self, docs: list[str]) -> Iterator[tuple[int, int]]:
@@ -95,26 +103,44 @@ class Items:
         data = np.frombuffer(b"\0\0".join(coded) + b"\0" * 16, "uint8")
         starts = np.cumsum([0] + [len(c) + 2 for c in coded])
         h = _grams(data, self.q)
-        at = np.flatnonzero(self.sieve[h >> np.uint64(42)])
+        at = np.flatnonzero(self.sieve[h >> self.shift])
         low = np.searchsorted(self.hash, h[at], "left")
         n = np.searchsorted(self.hash, h[at], "right") - low
         at, low, n = at[n > 0], low[n > 0], n[n > 0]
         out = set()
         if len(at):
-            hit = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pos = np.repeat(at, n)
-            doc = np.searchsorted(starts, pos, "right") - 1
-            item, diagonal = self.owner[hit], pos - starts[doc] - self.place[hit]
-            counts: dict[tuple[int, int], dict[int, int]] = defaultdict(lambda: defaultdict(int))
-            for d, i, g in zip(doc.tolist(), item.tolist(), diagonal.tolist()):
-                counts[d, i][g // self.band] += 1
+            # grams that many items share are counted in arrays, a few million hits at a time
+            ends = np.cumsum(n)
+            codes, sums = np.empty(0, "int64"), np.empty(0, "int64")
+            span = (int(starts[-1]) + int(self.place.max(initial=0))) // self.band + 3
+            for first in range(0, int(ends[-1]), HITS_AT_ONCE):
+                i, j = np.searchsorted(ends, [first, first + HITS_AT_ONCE], "right")
+                j = min(j + 1, len(n))
+                lows, ns, pos_ = low[i:j], n[i:j], at[i:j]
+                begin = np.maximum(first - (ends[i:j] - ns), 0)
+                stop = np.minimum(first + HITS_AT_ONCE - (ends[i:j] - ns), ns)
+                ns = np.maximum(stop - begin, 0)
+                hit = np.repeat(lows + begin, ns) + np.arange(ns.sum()) - np.repeat(np.cumsum(ns) - ns, ns)
+                pos = np.repeat(pos_, ns)
+                doc = np.searchsorted(starts, pos, "right") - 1
+                band = (pos - starts[doc] - self.place[hit]) // self.band + int(self.place.max(initial=0)) // self.band + 1
+                code = (doc * len(self.names) + self.owner[hit]) * span + band
+                codes, back = np.unique(np.concatenate([codes, code]), return_inverse=True)
+                sums = np.bincount(back, np.concatenate([sums, np.ones(len(code), "int64")]), len(codes)).astype("int64")
+            reach = sums.copy()
+            if self.edits:
+                after = np.searchsorted(codes, codes + 1)
+                after[after == len(codes)] = 0
+                reach += np.where(codes[after] == codes + 1, sums[after], 0)
+            some = np.flatnonzero(reach >= self.least_of[codes // span % len(self.names)])
+            bands: dict[tuple[int, int], list[int]] = defaultdict(list)
+            for c in codes[some].tolist():
+                bands[c // span // len(self.names), self.names[c // span % len(self.names)]].append(c % span - int(self.place.max(initial=0)) // self.band - 1)
             cache: dict[int, list[str]] = {}
-            for (d, i), bands in counts.items():
-                reach = [b for b, k in bands.items() if k + (bands.get(b + 1, 0) if self.edits else 0) >= self.need[i]]
-                if reach:
-                    w = cache.setdefault(d, docs[d].split(" "))
-                    if self._aligned(w, i, [(b * self.band, (b + 2 if self.edits else b + 1) * self.band) for b in reach]):
-                        out.add((d, i))
+            for (d, i), own in bands.items():
+                w = cache.setdefault(d, docs[d].split(" "))
+                if self._aligned(w, i, [(b * self.band, (b + 2 if self.edits else b + 1) * self.band) for b in own]):
+                    out.add((d, i))
         for i in self.short:
             whole = " " + " ".join(self.words[i]) + " "
             out |= {(d, i) for d, t in enumerate(docs) if whole in f" {t} "}
@@ -162,25 +188,29 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: int = LEAST_WORD
 
     Null and empty texts, and items without words, hold and are held by nothing.  Repeated rows count once.
     """
-    known = [(r["item_id"], r["text"]) for r in items.select("item_id", "text").where("item_id is not null and text is not null").distinct().toLocalIterator()]
-    blocks, size = [[]], 0
-    for i, t in known:
-        if size > BLOCK_CHARS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((i, t))
-        size += len(t)
+    known = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    chars = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-chars // BLOCK_CHARS))
     out = None
-    for block in blocks:
-        shared = documents.sparkSession.sparkContext.broadcast(block)
-
-        def scan(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = Items(shared.value, least, edits)
+    for block in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else known
+        shared = documents.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows.toLocalIterator()])
+        name = f"{shared._jbroadcast.id()}-{least}-{edits}"
+
+        def scan(parts: Iterator[pd.DataFrame], shared=shared, name=name) -> Iterator[pd.DataFrame]:
+            import sys
+            import types
+
+            # workers serve many tasks; the last index stays with them
+            held = sys.modules.setdefault("_quipu_leaks", types.ModuleType("_quipu_leaks"))
+            if getattr(held, "name", None) != name:
+                held.index = None
+                held.index, held.name = Items(shared.value, least, edits), name
             for part in parts:
                 for s in range(0, len(part), 500):
                     some = part.iloc[s : s + 500]
                     ids = some["doc_id"].tolist()
-                    rows = [(ids[d], i) for d, i in index.found([words(t) for t in some["text"]])]
+                    rows = [(ids[d], i) for d, i in held.index.found([words(t) for t in some["text"]])]
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
 
         now = documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(scan, "doc_id bigint, item_id bigint")

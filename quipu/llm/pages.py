@@ -109,7 +109,10 @@ class Line:
 
 
 def headline(lines: list[Line], title: str | None, url: str | None) -> int:
-    """Place of the page's own headline: the line that is the title, or that the address spells; -1 if there is none."""
+    """Place of the page's own headline: the line that is the title, or that the address spells; -1 if there is none.
+
+    Where there is neither a title nor an address that spells one: the first line like a headline that paragraphs follow.
+    """
     want = _fold(title or "")
     path = re.sub(r"[?#].*$", "", url or "").rstrip("/").rpartition("/")[2]
     slug = re.sub(r"(?:[-_]?\d+)?(?:\.\w+)?$", "", path).replace("_", "-").lower()
@@ -121,6 +124,13 @@ def headline(lines: list[Line], title: str | None, url: str | None) -> int:
             own = x.folded.replace(" ", "-")
             if x.kind == "" and x.words >= 4 and (own == slug or own.startswith(slug + "-")):
                 return i
+    elif not want:
+        for i, x in enumerate(lines):
+            if x.kind == "teaser":
+                break
+            below = [y for y in lines[i + 1 : i + 9] if y.kind == "" and y.ends]
+            if x.title_like and x.kind == "" and len(below) >= 2 and any(y.sentences > 1 for y in below):
+                return i
     return -1
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quipu.llm import areas, encoding, fusion, leaks, linking, mixing, pages, quotas, sitelines
 from quipu.llm.sql import SQL
+from quipu.operators.lineage import spread
 
 
 __all__ = ["QUERIES", "SQL"]
@@ -20,11 +21,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 #: Batches in which p6_found takes in the lotes, one after the other.
 BATCHES = 8
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for work on whole texts, spread over all cores if it is small."""
+    return spread(table(spark, folder, name))
+
+
 TEXTS = ["titulo", "texto", "fuente"]
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return encoding.damaged_fields(table(spark, folder, "noticias"), TEXTS)
+    return encoding.damaged_fields(texts(spark, folder, "noticias"), TEXTS)
 
 
 def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,19 +57,19 @@ def p1_fused(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return sitelines.repeated_lines(table(spark, folder, "noticias"))
+    return sitelines.repeated_lines(texts(spark, folder, "noticias"))
 
 
 def p2_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    return sitelines.without_lines(table(spark, folder, "noticias"))
+    return sitelines.without_lines(texts(spark, folder, "noticias"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.boilerplate_lines(table(spark, folder, "paginas"))
+    return pages.boilerplate_lines(texts(spark, folder, "paginas"))
 
 
 def p4_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.main_bodies(table(spark, folder, "paginas"))
+    return pages.main_bodies(texts(spark, folder, "paginas"))
 
 
 def _pools(spark: SparkSession, folder: str) -> list[tuple[DataFrame, DataFrame]]:
@@ -117,31 +123,31 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leaks.leaked_items(texts(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    _, _, report = mixing.plan(table(spark, folder, "documents"), table(spark, folder, "mezcla_fuentes"), mixing.word_count(F.col("text")))
+    _, _, report = mixing.plan(texts(spark, folder, "documents"), table(spark, folder, "mezcla_fuentes"), mixing.word_count(F.col("text")))
     return report.where("short").select("source")
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The mix by tokens: target shares and those of the documents selected."""
-    return mixing.shares(*mixing.plan(table(spark, folder, "documents"), table(spark, folder, "mezcla_fuentes"), mixing.token_count(F.col("text"))))
+    return mixing.shares(*mixing.plan(texts(spark, folder, "documents"), table(spark, folder, "mezcla_fuentes"), mixing.token_count(F.col("text"))))
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The mix by tokens: documents and how often each is taken for which source."""
-    rows, routes, _ = mixing.plan(table(spark, folder, "documents"), table(spark, folder, "mezcla_fuentes"), mixing.token_count(F.col("text")))
+    rows, routes, _ = mixing.plan(texts(spark, folder, "documents"), table(spark, folder, "mezcla_fuentes"), mixing.token_count(F.col("text")))
     return mixing.select(rows, routes)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return areas.document_areas(table(spark, folder, "documents"), table(spark, folder, "etiquetas_area")).select("doc_id", "area")
+    return areas.document_areas(texts(spark, folder, "documents"), table(spark, folder, "etiquetas_area")).select("doc_id", "area")
 
 
 def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = texts(spark, folder, "documents")
     return areas.composition(areas.document_areas(documents, table(spark, folder, "etiquetas_area")), documents)
 
 

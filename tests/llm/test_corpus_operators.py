@@ -189,6 +189,16 @@ def test_leaks_against_brute_force(spark):
     assert len(rows) == len(set(rows)) and set(rows) == leak_brute(docs, [x for x in items if x[1]], 12)
 
 
+def test_leaks_in_blocks_and_shared_grams(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 400)
+    monkeypatch.setattr(leaks, "HITS_AT_ONCE", 50)
+    same = " ".join(f"palabra{i}" for i in range(14))
+    items = [(i, same + f" final{i}") for i in range(20)] + [(50, "otra cosa corta")]
+    docs = [(1, "antes " + same + " final3 x"), (2, "otra cosa corta"), (3, "nada")]
+    got = leaks.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == leak_brute(docs, items, 12)
+
+
 def test_leaks_with_edits(spark):
     item = " ".join(f"término{i}" for i in range(14))
     w = item.split()
@@ -218,6 +228,13 @@ def test_pages(spark):
     assert pages.boilerplate_lines(df.limit(0)).count() == 0
 
 
+def test_headline_without_title_and_slug():
+    _, text, _, _, head, _ = site_page(3)
+    lines, at = pages.tree(text, None, "https://x.bo/?id=9")
+    assert lines[at].text == head
+    assert pages.tree("Inicio | Deportes | Más\nPágina no encontrada\nMapa del sitio", None, None)[1] == -1
+
+
 AREAS = {"deporte": "equipo gol partido torneo árbitro cancha", "salud": "hospital vacuna médico paciente dosis fiebre", "derecho": "tribunal sentencia juez demanda amparo fiscal"}
 
 
