@@ -16,6 +16,7 @@ stored ones, which are scanned but never shuffled or written again, and only clu
 
 from __future__ import annotations
 
+import gc
 import itertools
 import math
 import unicodedata
@@ -512,6 +513,9 @@ class ArticleIndex:
         drop(self.spark, self.temporary)
         self.temporary = []
         self.batches += 1
+        # what the batch broadcast and shuffled is freed only once the driver collects its garbage
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def _cores(self, items: DataFrame, forms: DataFrame) -> DataFrame:
         """Cores of the batch and of earlier headlines that what it teaches changes."""
