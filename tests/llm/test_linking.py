@@ -72,6 +72,22 @@ def test_batches_agree_with_the_whole(spark):
     assert got == brute(rows, index)
 
 
+def test_index_is_opened_again_and_learns(spark, tmp_path):
+    """A segment that only the second batch shows to be an affix ties an earlier headline to its article."""
+    t = "Exportadores de café piden nuevos subsidios focalizados en Tres Molles por la sequía"
+    other = ["Mayoristas de litio rechazan tarifas altas del puerto ante la mora bancaria", "Socios de quinua evalúan créditos blandos del fondo tras el acuerdo salarial"]
+    first = [(1, 1, "Alerta: " + t, "A", None), (2, 1, other[0], "A", None)]
+    second = [(3, 2, t, "B", None), (4, 2, other[0], "B", None)] + [(5 + i, 2, x + y, "B", None) for i, (x, y) in enumerate(itertools.product(["", "Alerta: "], other))]
+    folder = str(tmp_path / "index")
+    linking.ArticleIndex(spark, folder).extend(spark.createDataFrame(first, SCHEMA))
+    index = linking.ArticleIndex(spark, folder)
+    assert index.batches == 1
+    index.extend(spark.createDataFrame(second, SCHEMA))
+    got = {r.seq: r.grupo for r in linking.ArticleIndex(spark, folder).articles().collect()}
+    assert got[3] == got[1] == 1 and got[4] == got[2] == got[5] == got[7] == 2 and got[6] == got[8] == 6
+    assert linking.ArticleIndex(spark, folder).weights() is not None
+
+
 def test_titles_and_addresses(spark):
     t = "Exportadores de café piden nuevos subsidios focalizados en Tres Molles por la sequía"
     rows = [(1, 1, t, "A", None), (2, 1, t.replace("Tres Molles", "Alto Wayra"), "A", None), (3, 1, "EXPORTADORES DE CAFE PIDEN NUEVOS SUBSIDIOS FOCALIZADOS EN TRES MOLLES POR LA SEQUIA", "B", None), (4, 2, "[VIDEO] " + t, "A", None)]
