@@ -52,7 +52,7 @@ def normalize(c: Column) -> Column:
 def cluster_text(c: Column) -> Column:
     """Lower case without addresses and punctuation, percent and dollar signs kept."""
     c = F.regexp_replace(F.lower(_text(c)), r"https?://\S+", " ")
-    return normalize_space(F.regexp_replace(c, rf"[^{LETTERS}0-9%$\s]", " "))
+    return F.trim(F.regexp_replace(c, rf"[^{LETTERS}0-9%$]+", " "))
 
 
 def title_key(c: Column) -> Column:

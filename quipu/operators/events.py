@@ -1,13 +1,15 @@
 """Events: clusters of documents that tell the same, and their summaries.
 
-Similarity is the cosine of TF-IDF vectors.  Pairs over the threshold are found without comparing all: documents meet in
-their rarest terms within neighbouring spans of time, and only pairs whose common rare terms come near enough to the
-threshold are compared in full (prefix filtering with a bound on the rest).  Copies collapse first and make no pairs.
+Similarity is the cosine of TF-IDF vectors.  Documents meet all those of their own and the next span of time, as packed vectors
+in blocks; of the similar pairs of a block only as many leave it as join its documents, so what is shuffled and kept grows
+with the documents, not with their pairs.  Copies collapse first.  ``similar_pairs`` lists the pairs themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -16,13 +18,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quipu.functions import dates, numbers, text
-from quipu.operators.lineage import bounded, cut, store
+from quipu.operators import grams
+from quipu.operators.lineage import bounded, cut, small, store
 
 THRESHOLD, MAX_DAYS, MAX_TERMS = 0.48, 3.0, 8000
 #: Norm of what a document's indexed terms leave out, at most.
 REST = 0.3
 #: Edges (16 bytes each) that one task joins to components; more are joined in rounds over all tasks.
 LOCAL_EDGES = 1_000_000
+#: Documents (some kB each) of one span that are held at once; those of fuller spans are dealt out over several blocks.
+BLOCK = 8192
+#: Terms multiplied as dense columns, the most frequent; the others by the few documents that have them.
+DENSE = 512
+#: Rows and columns of the pairs that are worked out at once, and how near to the threshold they are worked out again in full precision.
+TILE, NEAR = (2048, 4096), 1e-4
+#: Rows of a table that is broadcast, of two numbers.
+BROADCAST_ROWS = 300_000
 #: Members of an event whose texts one task puts together; the ids of larger ones are made from digests of parts.
 MOST_MEMBERS = 10_000
 
@@ -32,6 +43,11 @@ def document_text() -> Column:
     return text.cluster_text(F.concat_ws(" ", "titulo", "titulo", "texto"))
 
 
+def known_terms(counts: DataFrame, most_terms: int = MAX_TERMS) -> DataFrame:
+    """The most frequent of ``(term, uses, df)``, by name where equal."""
+    return counts.orderBy(F.desc("uses"), "term").limit(most_terms)
+
+
 def tfidf(df: DataFrame, key: str, content: Column, most_terms: int = MAX_TERMS) -> DataFrame:
     """``(key, term, w)``: unit vectors of words and word pairs; words have two characters or more.
 
@@ -42,7 +58,7 @@ def tfidf(df: DataFrame, key: str, content: Column, most_terms: int = MAX_TERMS)
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b)))
     terms = base.select("key", F.explode(F.concat("words", F.coalesce(pairs, F.array().cast("array<string>")))).alias("term"))
     tf = terms.groupBy("key", "term").agg(F.count("*").alias("tf"))
-    known = tf.groupBy("term").agg(F.sum("tf").alias("uses"), F.count("*").alias("df")).orderBy(F.desc("uses"), "term").limit(most_terms)
+    known = known_terms(tf.groupBy("term").agg(F.sum("tf").alias("uses"), F.count("*").alias("df")), most_terms)
     total = df.agg(F.count("*").alias("n"))
     idf = known.crossJoin(F.broadcast(total)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = tf.join(F.broadcast(idf), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
@@ -115,6 +131,119 @@ def _joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"node": names[moved], "root": names[root[moved]]})
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same nodes, one a node at most."""
+    out = next(_joined(iter([pd.DataFrame({"a": a, "b": b})])))
+    return out["node"].to_numpy(), out["root"].to_numpy()
+
+
+class _Vectors:
+    """Unit vectors of some documents: dense columns of frequent terms, the others as flat rows by term."""
+
+    def __init__(self, part: pd.DataFrame, idf: np.ndarray) -> None:
+        self.key, self.at, self.free = (part[c].to_numpy() for c in ("key", "at", "free"))
+        row, term, uses = grams.flat(part["ids"], part["tf"], len(idf))
+        w = grams.unit(row, term, uses, idf, len(part))
+        self.start, self.term, self.w = np.searchsorted(row, np.arange(len(part) + 1)), term, w
+        often = term < DENSE
+        self.dense = np.zeros((len(part), min(DENSE, len(idf))), "float32")
+        self.dense[row[often], term[often]] = w[often]
+        order = np.argsort(term[~often], kind="stable")
+        self.rows, self.weights = row[~often][order], w[~often][order].astype("float32")
+        self.terms, self.from_ = np.unique(term[~often][order], return_index=True)
+        self.to = np.append(self.from_[1:], len(order))
+
+    def exact(self, i: int, other: _Vectors, j: int) -> float:
+        a, b = slice(*self.start[i : i + 2]), slice(*other.start[j : j + 2])
+        _, x, y = np.intersect1d(self.term[a], other.term[b], assume_unique=True, return_indices=True)
+        return float(np.dot(self.w[a][x], other.w[b][y]))
+
+    def near(self, other: _Vectors, threshold: float, micros: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the pairs at or above the threshold and close in time."""
+        cos = self.dense @ other.dense.T
+        _, x, y = np.intersect1d(self.terms, other.terms, assume_unique=True, return_indices=True)
+        for a, b, c, d in zip(self.from_[x].tolist(), self.to[x].tolist(), other.from_[y].tolist(), other.to[y].tolist()):
+            cos[self.rows[a:b, None], other.rows[c:d]] += self.weights[a:b, None] * other.weights[c:d]
+        i, j = np.nonzero(cos >= threshold - NEAR)
+        ok = self.key[i] != other.key[j]
+        if micros is not None:
+            ok &= (np.abs(self.at[i] - other.at[j]) <= micros) | self.free[i] | other.free[j]
+        i, j = i[ok], j[ok]
+        close = cos[i, j] < threshold + NEAR
+        ok = np.ones(len(i), bool)
+        ok[close] = [self.exact(p, other, q) >= threshold for p, q in zip(i[close].tolist(), j[close].tolist())]
+        return self.key[i[ok]], other.key[j[ok]]
+
+
+def similar_links(docs: DataFrame, idf: list[float], threshold: float, days: float = MAX_DAYS, times: DataFrame | None = None) -> DataFrame:
+    """Edges ``(a, b)`` that join what pairs of similar documents close in time join; docs ``(key, at, free, ids, tf)`` are packed
+    vectors, ``at`` in microseconds, free those without time, which meet all.
+
+    A block are documents of one span of ``days``; it meets itself, the blocks of its span after it and those of the next span.
+    ``times`` (at, free) are those of the documents, where they can be read without packing.
+    """
+    micros = days * 86_400_000_000
+    span = F.floor(F.col("at") / F.lit(micros)).cast("bigint").alias("span")
+    times = docs if times is None else times
+    timed = docs.where(~F.col("free")).withColumn("span", span)
+    crowd = cut(times.where(~F.col("free")).groupBy(span).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).where("n > 1"))
+    here, last = crowd.withColumnRenamed("n", "here"), crowd.select((F.col("span") + 1).alias("span"), F.col("n").alias("last"))
+    # as few rows as there are full blocks, whatever the number of spans
+    timed = timed.join(F.broadcast(here), "span", "left").join(F.broadcast(last), "span", "left").fillna(1, ["here", "last"])
+    timed = timed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("here")).cast("int"))
+    to = lambda span, n, own: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(span.alias("span"), i.cast("int").alias("block"), F.lit(own).alias("other")))
+    own = F.array(F.struct(F.col("span"), F.col("block"), F.lit(0).alias("other")))
+    sent = timed.withColumn("to", F.concat(own, to(F.col("span"), F.col("block"), 1), to(F.col("span") - 1, F.col("last"), 1)))
+    free = docs.where("free")
+    if not times.where("free").isEmpty():
+        # blocks of all documents, each of which meets the free ones
+        n = max(1, -(-times.count() // BLOCK))
+        block = F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+        away = F.lit(None).cast("bigint")
+        every = docs.withColumn("to", F.array(F.struct(away.alias("span"), block.alias("block"), F.lit(0).alias("other"))))
+        met = free.withColumn("to", to(away, F.lit(n), 1))
+        columns = ["key", "at", "free", "ids", "tf", "to"]
+        sent = sent.select(*columns).unionByName(every).unionByName(met)
+    sent = sent.select(F.explode("to").alias("x"), "key", "at", "free", "ids", "tf").select("x.*", "key", "at", "free", "ids", "tf")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    sent = sent.withColumn("span", F.coalesce("span", F.lit(-(1 << 62)))).repartition(tasks, "span", "block").sortWithinPartitions("span", "block", "other")
+    weights, high, wide = np.array(idf, "float64"), *TILE
+
+    def joined(mine: list[_Vectors], cols: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not mine:  # a span without documents before one with some
+            return
+        many = _Vectors(cols, weights)
+        found = [_forest(*v.near(many, threshold, micros)) for v in mine]
+        a, b = _forest(*(np.concatenate([f[i] for f in found]) for i in (0, 1)))
+        if len(a):
+            yield pd.DataFrame({"a": a, "b": b})
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = (g for part in parts for _, g in part.groupby(["span", "block"], sort=False))
+        for _, group in groupby(pieces, lambda g: tuple(g[["span", "block"]].iloc[0])):
+            own, mine, waiting = [], [], []  # the block's own rows come first, and meet themselves too
+            for piece in group:
+                own.append(piece[piece["other"] == 0])
+                waiting.append(piece)
+                if (piece["other"].iloc[-1] == 0) or sum(map(len, waiting)) < wide:
+                    continue
+                mine = mine or tiles(own)
+                cols = pd.concat(waiting)
+                for k in range(0, len(cols), wide):
+                    yield from joined(mine, cols.iloc[k : k + wide])
+                waiting = []
+            if waiting:
+                mine, cols = mine or tiles(own), pd.concat(waiting)
+                for k in range(0, len(cols), wide):
+                    yield from joined(mine, cols.iloc[k : k + wide])
+
+    def tiles(own: list[pd.DataFrame]) -> list[_Vectors]:
+        rows = pd.concat(own)
+        return [_Vectors(rows.iloc[k : k + high], weights) for k in range(0, len(rows), high)]
+
+    return sent.mapInPandas(run, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node of the edges ``(a, b)`` but the roots, which are the smallest nodes of their components.
 
@@ -162,21 +291,40 @@ def event_ids(df: DataFrame, group: str, most: int = MOST_MEMBERS) -> DataFrame:
     return ids.join(sizes, group)
 
 
+def _named(df: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows with their event's id and size by ``__root``; sizes (__root, event_size) are those of the events of several rows.
+
+    The others' ids are made where they lie: only rows of events of several documents are put together.
+    """
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    several = small(sizes.select("__root"), BROADCAST_ROWS)
+    ids = cut(event_ids(df.select("__root", "url", "titulo", "effective_at").join(several, "__root", "left_semi"), "__root"))
+    own = event_id(F.array(F.array(text_of("url"), text_of("titulo"), text_of("effective_at"))))
+    out = df.join(small(ids, BROADCAST_ROWS // 4), "__root", "left")
+    return out.withColumns({"event_id": F.coalesce("event_id", own), "event_size": F.coalesce("event_size", F.lit(1))}).drop("__root", "__at")
+
+
 def cluster_news(df: DataFrame, threshold: float = THRESHOLD, days: float = MAX_DAYS, most_terms: int = MAX_TERMS) -> DataFrame:
     """Add ``event_id`` and ``event_size``: components of similar documents close in time; df has ``seq`` and ``effective_at``.
 
     Documents without words are events of their own.  Copies (same text and time) are one node.
     """
     df = df.withColumn("__at", dates.instant(F.col("effective_at")))
-    rows = store(df.select("seq", document_text().alias("content"), "__at").withColumn("copy", F.xxhash64("content", F.unix_micros("__at"))))
-    nodes = rows.groupBy("copy").agg(F.min("seq").alias("node"), F.first("__at").alias("at"))
-    spread = cut(rows.select("copy", "seq").join(nodes, "copy").select("seq", "node", "at"))
-    alone = spread.where("seq = node").select(F.col("node").alias("key"), "at")
-    vectors = store(tfidf(rows, "seq", F.col("content"), most_terms).join(alone.select("key"), "key", "left_semi"))
-    roots = components(similar_pairs(vectors, threshold, alone, days).select("a", "b"))
-    spread = spread.join(roots, "node", "left").select("seq", F.coalesce("root", "node").alias("__root"))
-    out = df.join(spread, "seq")
-    return out.join(event_ids(out, "__root"), "__root").drop("__root", "__at")
+    content = document_text()
+    rows = df.select("seq", F.unix_micros("__at").alias("at"), content.alias("content"))
+    rows = store(rows.select("seq", "at", F.xxhash64("content", "at").alias("copy"), F.translate("content", "%$", "  ").alias("words")), "zstd")
+    nodes = rows.groupBy("copy").agg(F.min("seq").alias("node"), F.count("*").alias("n")).where("n > 1").select("copy", "node")
+    copies = cut(rows.select("copy", "seq").join(small(cut(nodes), BROADCAST_ROWS), "copy").where("seq <> node").select("seq", "node"))
+    known, n = known_terms(grams.counted(rows), most_terms), rows.count()
+    known = sorted(known.collect(), key=lambda r: (-r["df"], r["term"]))  # by frequency, for DENSE
+    alone = rows.join(small(copies.select("seq"), BROADCAST_ROWS), "seq", "left_anti").select(F.col("seq").alias("key"), F.coalesce("at", F.lit(0)).alias("at"), F.col("at").isNull().alias("free"), "words")
+    docs = grams.packed(alone, [r["term"] for r in known], kept=("key", "at", "free")).where("length(ids) > 0")
+    roots = components(similar_links(docs, [log((1 + n) / (1 + r["df"])) + 1 for r in known], threshold, days, alone))
+    moved = copies.join(roots, copies["node"] == roots["node"], "left").select("seq", F.coalesce("root", copies["node"]).alias("__root"))
+    moved = cut(moved.unionByName(roots.select(F.col("node").alias("seq"), F.col("root").alias("__root"))))
+    out = df.join(small(moved, BROADCAST_ROWS), "seq", "left").withColumn("__root", F.coalesce("__root", "seq"))
+    members = cut(moved.select("__root").unionByName(moved.select("__root").distinct()).groupBy("__root").agg(F.count("*").cast("int").alias("event_size")))
+    return _named(out, members)
 
 
 def dominant(df: DataFrame, group: str, value: Column, name: str) -> DataFrame:

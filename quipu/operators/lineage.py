@@ -32,10 +32,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """As ``cut``, for wide rows: written as a compressed table."""
     path = place(df.sparkSession)
-    df.write.option("compression", "snappy").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quipu.functions import numbers, text
-from quipu.operators import annotation, corpus, events, gates, metrics, models, ranking, temporal
+from quipu.operators import annotation, corpus, events, grams, gates, metrics, models, ranking, temporal
 from quipu.plans import pipeline, service
 from quipu.sources import catalogue
 
@@ -397,3 +397,44 @@ def test_catalogue_rules_are_told_apart(spark):
         ("1", "unknown_source_type"), ("1", "missing_department"), ("1", "unknown_status"), ("1", "weight_out_of_range"), ("1", "duplicate_id"), ("1", "duplicate_name"),
         ("2", "missing_name"), ("2", "missing_source_type"), ("2", "missing_scope"), ("2", "weight_out_of_range"),
     }
+
+
+def test_similar_news_are_joined_without_listing_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["banco", "reservas", "dólar", "gas", "litio", "precio", "alza", "crisis", "diésel", "aduana", "salario", "deuda"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 9))) for _ in range(90)]
+    at = [None if i % 29 == 0 else rng.randrange(20) for i in range(len(texts))]
+    rows = [item(i, None, t, None, None if d is None else f"2026-07-{d + 1:02}T10:00:00Z", f"u{i}") for i, (t, d) in enumerate(zip(texts, at))]
+    root = list(range(len(texts)))
+    edges = [(a, b) for a, b in cosine_pairs(texts, 0.48) if at[a] is None or at[b] is None or abs(at[a] - at[b]) <= 3]
+    edges += [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if texts[a] == texts[b] and at[a] == at[b]]
+    for _ in texts:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(rows, NEWS).withColumn("effective_at", F.col("fecha"))
+    for block, dense, tile in ((8192, 512, (2048, 4096)), (3, 4, (2, 3))):
+        for name, value in (("BLOCK", block), ("DENSE", dense), ("TILE", tile)):
+            monkeypatch.setattr(events, name, value)
+        got = events.cluster_news(df).collect()
+        first = {}
+        for r in sorted(got, key=lambda r: r.seq):
+            first.setdefault(r.event_id, r.seq)
+        assert {r.seq: first[r.event_id] for r in got} == dict(enumerate(root))
+        assert all(r.event_size == root.count(root[r.seq]) for r in got)
+
+
+def test_links_of_one_event_grow_with_its_documents(spark):
+    docs = grams.packed(spark.createDataFrame([(i, 0, False, "banco reservas") for i in range(60)], "key bigint, at bigint, free boolean, words string"), ["banco", "reservas"], kept=("key", "at", "free"))
+    assert events.similar_links(docs, [1.0, 1.0], 0.48).count() <= 60
+
+
+def test_packed_terms_of_rows(spark, monkeypatch):
+    rows = [(0, "a uno dos uno dos"), (1, "uno " * 300), (2, ""), (3, "tres dos")]
+    df = spark.createDataFrame(rows, "key bigint, words string")
+    want = {"uno": (302, 2), "dos": (3, 2), "uno dos": (2, 1), "dos uno": (1, 1), "uno uno": (299, 1), "tres": (1, 1), "tres dos": (1, 1)}
+    for most in (10**6, 1):
+        monkeypatch.setattr(grams, "MOST_COUNTED", most)
+        assert {r.term: (r.uses, r.df) for r in grams.counted(df).collect()} == want
+    got = grams.packed(df, ["dos", "uno", "uno dos"]).toPandas().sort_values("key")
+    row, term, uses = grams.flat(got["ids"], got["tf"], 3)
+    assert list(zip(row.tolist(), term.tolist(), uses.tolist())) == [(0, 0, 2), (0, 1, 2), (0, 2, 2), (1, 1, 300), (3, 0, 1)]
