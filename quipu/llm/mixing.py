@@ -22,7 +22,7 @@ from quipu.llm.quotas import SLACK, Flow
 
 #: Tokenizer file, on every executor; ``SparkFiles`` finds it by name where it was added to the application.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: Membership patterns the flow takes as they are, the largest; texts of others count for their own source alone.
+#: Membership patterns fetched at once; more are fetched part by part.  The flow takes them all.
 MOST_PATTERNS = 100_000
 BROADCAST_ROWS = 300_000
 
@@ -101,12 +101,10 @@ def plan(documents: DataFrame, targets: DataFrame, size: Column, text: str = "te
     several = rows.groupBy("text_id").agg(F.collect_set("source").alias("sources")).where("size(sources) > 1").select("text_id", F.sort_array("sources").alias("sources"))
     rows = rows.join(small(cut(several), BROADCAST_ROWS), "text_id", "left").withColumn("sources", F.coalesce("sources", F.array("source")))
     rows = cut(rows.select("doc_id", "source", "size", "sources", F.xxhash64("sources").alias("pattern")))
-    sizes = rows.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).orderBy(F.desc("size"), "pattern").limit(MOST_PATTERNS + 1).collect()
+    sums = rows.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"))
+    sizes = sums.orderBy(F.desc("size"), "pattern").limit(MOST_PATTERNS + 1).collect()
     if len(sizes) > MOST_PATTERNS:
-        kept = small(documents.sparkSession.createDataFrame([(r["pattern"], 1) for r in sizes[:-1]], "pattern bigint, kept int"), BROADCAST_ROWS)
-        rows = rows.join(kept, "pattern", "left").withColumn("sources", F.when(F.col("kept").isNull(), F.array("source")).otherwise(F.col("sources")))
-        rows = cut(rows.withColumn("pattern", F.xxhash64("sources")).drop("kept"))
-        sizes = rows.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).collect()
+        sizes = sorted(cut(sums).toLocalIterator(), key=lambda r: (-r["size"], r["pattern"]))
     have = {r["source"]: int(r["size"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     want = {r["source"]: ((r["target_share"] or 0.0) * total, max(0, r["max_repeats"] or 0)) for r in asked}
     routes = _route([(r["pattern"], r["sources"], int(r["size"])) for r in sizes], want)

@@ -156,6 +156,16 @@ def test_no_small_pattern_is_lost(spark, monkeypatch):
     assert table.count() == 60 and all(r.routed == 3 for r in report.collect())
 
 
+def test_texts_of_several_sources_fill_any_of_them_beyond_the_patterns_fetched_at_once(spark, monkeypatch):
+    rows = [(6 * i + j, f"word{i} of it", "a" if j == 0 else f"b{i % 3}") for i in range(6) for j in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 1.0, 1), *[(f"b{i}", 0.0, 1) for i in range(3)]], "source string, target_share double, max_repeats int")
+    routed = lambda: {r.source: r.routed for r in mixing.plan(docs, targets, mixing.word_count(F.col("text")))[2].collect()}
+    want = routed()
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 1)
+    assert routed() == want and want["a"] == 54  # of its own it has 18
+
+
 def test_token_count(spark):
     df = spark.createDataFrame([("Hola, mundo",), ("",), (None,)], "t string")
     got = [r.n for r in df.select(mixing.token_count(F.col("t")).alias("n")).collect()]
