@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import LDA
@@ -14,6 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quipu.functions import numbers, text
+from quipu.operators import grams
+from quipu.operators.lineage import cut, store
+
+
+#: Labels whose sums over the vocabulary (8 bytes a term) are held at once.
+MOST_LABELS = 64
 
 
 def terms(df: DataFrame, key: str, content: Column) -> DataFrame:
@@ -46,6 +53,11 @@ def nb_train(vectors: DataFrame, labels: DataFrame, alpha: float = 0.5) -> tuple
     size = vectors.select("term").distinct().agg(F.count("*").alias("v"))
     whole = each.groupBy("label").agg(F.sum("w").alias("whole")).crossJoin(F.broadcast(size))
     counts = each.groupBy("label", "term").agg(F.sum("w").alias("c"))
+    return _smoothed(counts, whole, labels, alpha)
+
+
+def _smoothed(counts: DataFrame, whole: DataFrame, labels: DataFrame, alpha: float) -> tuple[DataFrame, DataFrame]:
+    """Log probabilities of weights ``(label, term, c)``; whole is (label, whole, v)."""
     theta = counts.join(whole, "label").select("label", "term", F.log((F.col("c") + alpha) / (F.col("whole") + alpha * F.col("v"))).alias("theta"))
     n = labels.agg(F.count("*").alias("n"))
     prior = labels.groupBy("label").agg(F.count("*").alias("k")).crossJoin(F.broadcast(n))
@@ -67,6 +79,86 @@ def nb_predict(vectors: DataFrame, theta: DataFrame, prior: DataFrame) -> DataFr
     return best.select("key", "label", (1 / F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("probability"))
 
 
+def nb_pack(df: DataFrame, key: str, content: Column, label: str, least: int = 2, most_share: float = 0.95, most_terms: int = 30_000) -> tuple[DataFrame, list[str], list[float]]:
+    """``(key, label, ids, tf)`` of rows that hold a term of the vocabulary, the vocabulary and its idf: what ``terms``,
+    ``vocabulary`` and ``weights`` give, with one row a text, so no term of a text is shuffled."""
+    rows = store(df.select(F.col(key).alias("key"), F.col(label).alias("label"), text.classic_text(content).alias("words")), "zstd")
+    n = rows.where(F.col("words").rlike("[^ ]{2}")).count()
+    known = grams.counted(rows).where((F.col("df") >= least) & (F.col("df") <= most_share * n)).orderBy(F.desc("uses"), "term").limit(most_terms)
+    known = known.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).collect()
+    words = [r["term"] for r in known]
+    return store(grams.packed(rows, words, kept=("key", "label")).where("length(ids) > 0"), "zstd"), words, [r["idf"] for r in known]
+
+
+def nb_train_packed(packed: DataFrame, words: list[str], idf: list[float], labels: DataFrame, alpha: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """As ``nb_train``, over packed rows: tasks hand on sums by label and term."""
+    weight = np.array(idf, "float64")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pd.DataFrame]:
+            for label, c in sums.items():
+                term = np.flatnonzero(c)
+                yield pd.DataFrame({"label": label, "i": term, "c": c[term]})
+            sums.clear()
+
+        for part in parts:
+            row, term, uses = grams.flat(part["ids"], part["tf"], len(weight))
+            w = grams.unit(row, term, uses, weight, len(part))
+            code, names = pd.factorize(part["label"])
+            for k, label in enumerate(names):
+                mine = code[row] == k
+                sums[label] = sums.get(label, 0) + np.bincount(term[mine], w[mine], len(weight))
+                if len(sums) > MOST_LABELS:
+                    yield from told()
+        yield from told()
+
+    counts = cut(packed.select("label", "ids", "tf").mapInPandas(run, "label string, i int, c double").groupBy("label", "i").agg(F.sum("c").alias("c")))
+    table = packed.sparkSession.createDataFrame(pd.DataFrame({"i": np.arange(len(words), dtype="int32"), "term": pd.Series(words, dtype="object")}), "i int, term string")
+    counts = counts.join(F.broadcast(table), "i").select("label", "term", "c")
+    whole = counts.groupBy("label").agg(F.sum("c").alias("whole")).withColumn("v", F.lit(len(words)))
+    return _smoothed(counts, whole, labels, alpha)
+
+
+def nb_predict_packed(packed: DataFrame, words: list[str], idf: list[float], theta: DataFrame, prior: DataFrame) -> DataFrame:
+    """As ``nb_predict``, over packed rows, for a model of the same vocabulary and up to MOST_LABELS labels; of more, by joins."""
+    known = sorted(prior.limit(MOST_LABELS + 1).collect(), key=lambda r: r["label"])
+    weight = np.array(idf, "float64")
+    if len(known) > MOST_LABELS:
+        return nb_predict(_unpacked(packed, words, idf), theta, prior)
+    place, at = {r["label"]: k for k, r in enumerate(known)}, {w: i for i, w in enumerate(words)}
+    first, unseen = (np.array([r[c] for r in known], "float64") for c in ("prior", "unseen"))
+    gain, seen, names = np.zeros((len(words), len(known))), np.zeros(len(words), bool), [r["label"] for r in known]
+    for r in theta.toLocalIterator():
+        gain[at[r["term"]], place[r["label"]]] = r["theta"] - unseen[place[r["label"]]]
+        seen[at[r["term"]]] = True
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            row, term, uses = grams.flat(part["ids"], part["tf"], len(weight))
+            w = grams.unit(row, term, uses, weight, len(part)) * seen[term]
+            mass = np.bincount(row, w, len(part))
+            score = first + mass[:, None] * unseen + np.column_stack([np.bincount(row, w * gain[term, k], len(part)) for k in range(len(names))])
+            top = score.max(axis=1)
+            best = len(names) - 1 - score[:, ::-1].argmax(axis=1)  # of equal scores the last name
+            yield pd.DataFrame({"key": part["key"], "label": [names[k] for k in best], "probability": 1 / np.exp(score - top[:, None]).sum(axis=1)})
+
+    return packed.select("key", "ids", "tf").mapInPandas(run, "key bigint, label string, probability double")
+
+
+def _unpacked(packed: DataFrame, words: list[str], idf: list[float]) -> DataFrame:
+    """``(key, term, w)`` of packed rows."""
+    weight = np.array(idf, "float64")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            row, term, uses = grams.flat(part["ids"], part["tf"], len(weight))
+            yield pd.DataFrame({"key": part["key"].to_numpy()[row], "term": [words[t] for t in term], "w": grams.unit(row, term, uses, weight, len(part))})
+
+    return packed.select("key", "ids", "tf").mapInPandas(run, "key bigint, term string, w double")
+
+
 def topic_pipeline(k: int = 6, iterations: int = 40, least: int = 2, most_share: float = 0.8, most_terms: int = 8000, seed: int = 42) -> Pipeline:
     """Topic model over ``(content)``: words and pairs, counted, LDA.
 

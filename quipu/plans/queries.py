@@ -387,10 +387,10 @@ def annotation_update(spark, folder):
 
 
 def _bayes(spark, folder, said: Column):
-    rows = news(spark, folder).where(F.col("tono_consolidado").isNotNull() & said.isNotNull())
-    tf = models.terms(rows, "seq", said)
-    vectors = models.weights(tf, models.vocabulary(tf))
-    return vectors, rows.select(F.col("seq").alias("key"), F.col("tono_consolidado").alias("label"))
+    rows = texts(spark, folder).where(F.col("tono_consolidado").isNotNull() & said.isNotNull())
+    packed, words, idf = models.nb_pack(rows, "seq", said, "tono_consolidado")
+    labels = rows.select(F.col("seq").alias("key"), F.col("tono_consolidado").alias("label"))
+    return (packed, words, idf), models.nb_train_packed(packed, words, idf, labels)
 
 
 def _document() -> Column:
@@ -398,15 +398,13 @@ def _document() -> Column:
 
 
 def _nb_parameters(spark, folder, said: Column):
-    vectors, labels = _bayes(spark, folder, said)
-    theta, _ = models.nb_train(vectors, labels)
+    _, (theta, _) = _bayes(spark, folder, said)
     return theta.select("label", "term", numbers.round2(F.col("theta")).alias("theta"))
 
 
 def _nb_predictions(spark, folder, said: Column):
-    vectors, labels = _bayes(spark, folder, said)
-    theta, prior = models.nb_train(vectors, labels)
-    return models.nb_predict(vectors, theta, prior).select(F.col("key").alias("seq"), "label", numbers.round2(F.col("probability")).alias("probability"))
+    packed, (theta, prior) = _bayes(spark, folder, said)
+    return models.nb_predict_packed(*packed, theta, prior).select(F.col("key").alias("seq"), "label", numbers.round2(F.col("probability")).alias("probability"))
 
 
 @query

@@ -438,3 +438,24 @@ def test_packed_terms_of_rows(spark, monkeypatch):
     got = grams.packed(df, ["dos", "uno", "uno dos"]).toPandas().sort_values("key")
     row, term, uses = grams.flat(got["ids"], got["tf"], 3)
     assert list(zip(row.tolist(), term.tolist(), uses.tolist())) == [(0, 0, 2), (0, 1, 2), (0, 2, 2), (1, 1, 300), (3, 0, 1)]
+
+
+def test_bayes_over_packed_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["banco", "reservas", "dólar", "gas", "litio", "precio", "alza", "crisis"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 7))), "xyz"[i % 3]) for i in range(40)]
+    df = spark.createDataFrame(rows, "seq bigint, t string, y string")
+    vectors = models.weights(tf := models.terms(df, "seq", F.col("t")), models.vocabulary(tf))
+    labels = df.select(F.col("seq").alias("key"), F.col("y").alias("label"))
+    theta, prior = models.nb_train(vectors, labels)
+    want = {r.key: (r.label, r.probability) for r in models.nb_predict(vectors, theta, prior).collect()}
+    pack = models.nb_pack(df, "seq", F.col("t"), "y")
+    # one row a text, none a term
+    assert pack[0].count() == len(want)
+    for most in (64, 1):
+        monkeypatch.setattr(models, "MOST_LABELS", most)
+        got_theta, got_prior = models.nb_train_packed(*pack, labels)
+        assert {(r.label, r.term): pytest.approx(r.theta) for r in theta.collect()} == {(r.label, r.term): r.theta for r in got_theta.collect()}
+        got = {r.key: (r.label, r.probability) for r in models.nb_predict_packed(*pack, got_theta, got_prior).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert all(v[1] == pytest.approx(want[k][1]) for k, v in got.items())
