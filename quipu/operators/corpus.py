@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quipu.functions import lexicon, numbers, text
-from quipu.operators.lineage import bounded, cut, small
+from quipu.operators.lineage import bounded, cut, small, store
 
 #: Most rows of a dimension table that is broadcast (about 200 bytes each).
 BROADCAST_ROWS = 100_000
+#: Chosen rows of two numbers (about 40 bytes each) that are broadcast to where the texts lie; of more, the texts move, once.
+KEPT_ROWS = 2_000_000
 #: Undecided rows (24 bytes each) that one task goes through in order.
 LOCAL_ROWS = 2_000_000
 
@@ -54,35 +56,71 @@ def _quality() -> list[Column]:
     return [F.length("texto"), F.col("economic_score"), F.length("titulo"), F.col("source_weight")]
 
 
-def merge_corpus(previous: DataFrame, current: DataFrame, collected_at: str, title: int = 10, body: int = 100) -> DataFrame:
-    """Union of two corpora with ``seq``, best record of each address, then of each title; records without address compete by title only.
-
-    Records with a short title or text are dropped.  ``collected_at`` fills the current records that have none.  Wrong
-    encodings are undone in all string columns of the result, as in the reference after duplicates and ids.
-    """
+def _collected(previous: DataFrame, current: DataFrame, collected_at: str, title: int, body: int) -> DataFrame:
+    """Union of two corpora, without records of a short title or text."""
     fill = F.coalesce(text.missing(F.col("collected_at")), F.lit(collected_at))
     rows = with_defaults(previous).unionByName(with_defaults(current).withColumn("collected_at", fill), allowMissingColumns=True)
-    rows = rows.where((F.length("titulo") >= title) & (F.length("texto") >= body))
-    slim = rows.select("seq", "url", text.title_key(F.col("titulo")).alias("key"), *[c.alias(f"q{i}") for i, c in enumerate(_quality())])
+    return rows.where((F.length("titulo") >= title) & (F.length("texto") >= body))
+
+
+def _best(rows: DataFrame) -> DataFrame:
+    """``(seq)`` of the best record of each address, then of each title; texts are read once and only hashes of the keys kept."""
+    slim = rows.select("seq", (F.col("url") != "").alias("has"), F.xxhash64("url").alias("url"), F.xxhash64(text.title_key(F.col("titulo"))).alias("key"), *[c.alias(f"q{i}") for i, c in enumerate(_quality())])
+    slim = store(slim)
     order = [F.desc("q0"), F.desc("q1"), F.desc("q2"), F.desc("q3"), F.asc("seq")]
-    placed = keep_first(slim.where("url <> ''"), [F.col("url")], order).unionByName(slim.where("url = ''"))
-    rows = only(rows, keep_first(placed, [F.col("key")], [F.desc(F.col("url") != ""), *order]))
+    placed = keep_first(slim.where("has"), [F.col("url")], order).unionByName(slim.where("not has"))
+    return cut(keep_first(placed, [F.col("key")], [F.desc("has"), *order]).select("seq"))
+
+
+def _identified(rows: DataFrame) -> DataFrame:
+    """With an id, and wrong encodings undone in all string columns."""
     made = text.document_id(F.col("fuente"), F.col("url"), F.col("titulo"))
     rows = rows.withColumn("id", F.coalesce(text.missing(F.col("id")), made))
     return repair_strings(rows, string_columns(rows))
 
 
+def _substantial(df: DataFrame, title: int, body: int, least_score: int) -> DataFrame:
+    """``(seq, url, key, score_recalculado)`` of records of substance, keys as hashes; texts are read once."""
+    score = text.economic_score(F.concat_ws(" ", "titulo", "texto")).alias("score_recalculado")
+    slim = df.where((F.length("titulo") >= title) & (F.length("texto") >= body))
+    slim = slim.select("seq", F.xxhash64("url").alias("url"), F.xxhash64(text.title_key(F.col("titulo"))).alias("key"), text.excluded_title(F.col("titulo")).alias("out"), score)
+    return store(slim).where(~F.col("out") & (F.col("score_recalculado") >= least_score)).drop("out")
+
+
+def _first(slim: DataFrame) -> DataFrame:
+    """``(seq, score_recalculado)`` of the first of each address, then of each title."""
+    slim = keep_first(keep_first(slim, [F.col("url")], [F.col("seq")]), [F.col("key")], [F.col("seq")])
+    return small(cut(slim.select("seq", "score_recalculado")), KEPT_ROWS)
+
+
+def merge_corpus(previous: DataFrame, current: DataFrame, collected_at: str, title: int = 10, body: int = 100) -> DataFrame:
+    """Union of two corpora with ``seq``, best record of each address, then of each title; records without address compete by title only.
+
+    Records with a short title or text are dropped.  ``collected_at`` fills the current records that have none.  Wrong
+    encodings are undone in all string columns of the result, as in the reference after duplicates and ids.
+    """
+    rows = _collected(previous, current, collected_at, title, body)
+    return _identified(only(rows, small(_best(rows), KEPT_ROWS)))
+
+
 def clean_corpus(df: DataFrame, title: int = 20, body: int = 250, least_score: int = 2) -> DataFrame:
     """Records of substance: long enough, not an excluded title, economically relevant; first of each address, then of each title.
 
     All records without address are one address.
     """
-    score = text.economic_score(F.concat_ws(" ", "titulo", "texto")).alias("score_recalculado")
-    slim = df.where((F.length("titulo") >= title) & (F.length("texto") >= body))
-    slim = slim.select("seq", "url", text.title_key(F.col("titulo")).alias("key"), text.excluded_title(F.col("titulo")).alias("out"), score)
-    slim = cut(slim).where(~F.col("out") & (F.col("score_recalculado") >= least_score))
-    slim = keep_first(keep_first(slim, [F.col("url")], [F.col("seq")]), [F.col("key")], [F.col("seq")])
-    return df.drop("score_recalculado").join(slim.select("seq", "score_recalculado"), "seq")
+    return df.drop("score_recalculado").join(_first(_substantial(df, title, body, least_score)), "seq")
+
+
+def merge_and_clean(previous: DataFrame, current: DataFrame, collected_at: str, title: int = 10, body: int = 100, clean_title: int = 20, clean_body: int = 250, least_score: int = 2) -> DataFrame:
+    """``clean_corpus`` of ``merge_corpus``; both choose on keys alone before the records with their texts are taken once.
+
+    The normalised records are stored: three passes read them, and each would normalise a text several times over.
+    """
+    rows = store(_collected(previous, current, collected_at, title, body), "zstd")
+    kept = _best(rows)
+    whole = _identified(rows)
+    chosen = _first(only(_substantial(whole, clean_title, clean_body, least_score), small(kept, KEPT_ROWS)))
+    return whole.drop("score_recalculado").join(chosen, "seq")
 
 
 def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

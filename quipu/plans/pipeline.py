@@ -60,16 +60,16 @@ def lexical_columns(df: DataFrame) -> DataFrame:
 def daily(previous: DataFrame, current: DataFrame, collected_at: str, now: Column, models=lambda df: df, policy: temporal.TemporalPolicy = temporal.TemporalPolicy()) -> Daily:
     """One day's run; ``models`` adds tone, topic and agreement columns to the lexically analysed corpus.
 
-    The analysed corpus, the clustered news and the events are stored, as several outputs are made from each.
+    The analysed corpus, its recent rows, the clustered news and the events are stored, as several outputs are made from each.
     """
-    merged = corpus.merge_corpus(previous, current, collected_at)
-    analysed = models(lexical_columns(corpus.clean_corpus(merged)))
+    analysed = models(lexical_columns(corpus.merge_and_clean(previous, current, collected_at)))
     for c, kind in (("tono_consolidado", "string"), ("tema", "string"), ("coincidencia_modelos", "boolean")):
         if c not in analysed.columns:
             analysed = analysed.withColumn(c, F.lit(None).cast(kind))
-    dated = lineage.store(temporal.temporal_columns(analysed, now, policy))
-    operational = temporal.operational(dated)
-    clustered = lineage.store(events.cluster_news(operational))
+    dated = lineage.store(temporal.temporal_columns(analysed, now, policy), "zstd")
+    # many outputs read the recent rows, in no order
+    operational = lineage.store(dated.where("is_recent"), "zstd")
+    clustered = lineage.store(events.cluster_news(operational), "zstd")
     summary = lineage.store(events.summarize_events(clustered))
     hours = policy.recent_hours
     rankings = {
@@ -85,7 +85,7 @@ def daily(previous: DataFrame, current: DataFrame, collected_at: str, now: Colum
         report = report.crossJoin(F.broadcast(section(df).withColumnRenamed("x", name)))
     checks = gates.pipeline_gate(operational, dated, report=report)
     checks = checks.unionByName(gates.event_gate(summary, clustered, operational, payload=payload, rankings={k.removeprefix("event_"): v for k, v in rankings.items() if k.startswith("event_")}, snapshot=day))
-    return Daily(dated, dated, operational, clustered, summary, rankings, day, checks, series, report)
+    return Daily(dated, dated, temporal.operational(operational), clustered, summary, rankings, day, checks, series, report)
 
 
 def snapshot(operational: DataFrame, historical: DataFrame, now: Column, rankings: dict[str, DataFrame], hours: float = 72.0, event_table: DataFrame | None = None) -> DataFrame:

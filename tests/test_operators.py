@@ -66,6 +66,20 @@ def test_clean_keeps_one_row_without_address(spark):
     assert [r.seq for r in corpus.clean_corpus(spark.createDataFrame(rows, NEWS)).collect()] == [1]
 
 
+
+def test_merge_and_clean_choose_before_texts_move(spark, monkeypatch):
+    body = "La inflación y el dólar suben por la escasez de divisas. "
+    rows = [item(i, f"Noticia econÃ³mica nÃºmero {i % 17} del dÃ³lar", body * (3 + i % 7), url=(None, f"https://x/{i % 23}", "")[i % 3], score=i % 5) for i in range(120)]
+    a, b = spark.createDataFrame(rows[:60], NEWS), spark.createDataFrame(rows[60:], NEWS)
+    both = sorted(corpus.clean_corpus(corpus.merge_corpus(a, b, "2026-01-01T00:00:00Z")).collect())
+    done = corpus.merge_and_clean(a, b, "2026-01-01T00:00:00Z")
+    assert 1 < len(both) < 17 + 1 and sorted(done.select(both[0].__fields__).collect()) == both
+    for df in (done, corpus.merge_corpus(a, b, "2026-01-01T00:00:00Z"), corpus.clean_corpus(a)):
+        assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(corpus, "KEPT_ROWS", 1)
+    assert sorted(corpus.merge_and_clean(a, b, "2026-01-01T00:00:00Z").select(both[0].__fields__).collect()) == both
+
+
 def greedy(rows):
     urls, titles, kept = set(), set(), []
     for seq, u, t in sorted(rows):
