@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -96,13 +98,17 @@ def absolute_url(base: Column, link: Column) -> Column:
     )
 
 
+#: What ``clean_text`` replaces in lower-case text, each with signs without one of which it isn't there.
+_REPLACED = (
+    (("http", "www."), r"https?://\S+|www\.\S+", " "), (("@",), r"\S+@\S+\.\S+", " "), (("@",), r"(?U)@\w+", " "), (("#",), r"(?U)#(\w+)", "$1"),
+    (("us$",), r"(?U)\bus\$\b", " usd "), (("u$s",), r"(?U)\bu\$s\b", " usd "), (("bs",), r"(?U)\bbs\.?\b", " bob "),
+)
+
+
 def clean_text(c: Column, keep_punctuation: bool = False) -> Column:
     """Lower case without addresses, mails and mentions; ``#word`` as word, currency signs as words, other signs as spaces."""
     c = F.trim(F.lower(_text(c)))
-    for pattern, by in (
-        (r"https?://\S+|www\.\S+", " "), (r"\S+@\S+\.\S+", " "), (r"(?U)@\w+", " "), (r"(?U)#(\w+)", "$1"),
-        (r"(?U)\bus\$\b", " usd "), (r"(?U)\bu\$s\b", " usd "), (r"(?U)\bbs\.?\b", " bob "),
-    ):
+    for _, pattern, by in _REPLACED:
         c = F.regexp_replace(c, pattern, by)
     signs = r".,;:!?%$+\-" if keep_punctuation else "%$"
     return normalize_space(F.regexp_replace(c, rf"[^{LETTERS}0-9{signs}\s]", " "))
@@ -123,9 +129,20 @@ def classic_text(c: Column) -> Column:
     return F.array_join(drop_stopwords(tokens(c)), " ")
 
 
+def _replaced_if_there(signs: tuple[str, ...], pattern: str, by: str, c: Column) -> Column:
+    return F.when(reduce(or_, [c.contains(s) for s in signs]), F.regexp_replace(c, pattern, by)).otherwise(c)
+
+
 def topic_text(c: Column, stop: list[str] = lexicon.TOPIC_STOPWORDS) -> Column:
-    """Tokens for topic models: no stop words, no numbers, at least three characters."""
-    return F.array_join(F.filter(tokens(c), lambda w: ~w.isin(stop) & ~w.rlike("[0-9]") & (F.length(w) >= 3)), " ")
+    """Tokens for topic models: no stop words, no numbers, at least three characters.
+
+    The words of ``tokens`` without digits are the runs of letters of the text before other signs become spaces; each
+    replacement is only tried where its signs are.
+    """
+    c = F.trim(F.lower(_text(c)))
+    for replaced in _REPLACED:
+        c = _once(c, lambda x: _replaced_if_there(*replaced, x))  # noqa: B023
+    return F.array_join(F.filter(F.regexp_extract_all(c, F.lit(rf"[{LETTERS}]{{3,}}"), F.lit(0)), lambda w: ~w.isin(stop)), " ")
 
 
 def strip_accents(c: Column) -> Column:

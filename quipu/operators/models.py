@@ -7,15 +7,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, NGram, SQLTransformer, Tokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.clustering import LDA, LocalLDAModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, NGram, SQLTransformer, Tokenizer
+from pyspark.mllib.common import _py2java
+from pyspark.mllib.linalg import DenseMatrix as OldMatrix
+from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quipu.functions import numbers, text
-from quipu.operators import grams
+from quipu.operators import grams, topics
 from quipu.operators.lineage import cut, store
 
 
@@ -175,13 +177,36 @@ def topic_pipeline(k: int = 6, iterations: int = 40, least: int = 2, most_share:
 
 def topic_fit(df: DataFrame, content: Column, **options: int) -> PipelineModel:
     """Model over texts prepared for topics; rows of fewer than three words are left out of the fit."""
-    rows = df.select(text.topic_text(content).alias("content")).where(F.size(F.split("content", " ")) >= 3)
-    return topic_pipeline(**options).fit(rows)
+    return _topic_fit(store(df.select(text.topic_text(content).alias("words")), "zstd"), **options)
+
+
+def _topic_fit(rows: DataFrame, **options: int) -> PipelineModel:
+    """As ``topic_fit``, of prepared texts ``words``: MLlib's stages, fitted by counts and EM over packed texts."""
+    *first, counter, lda = topic_pipeline(**options).getStages()
+    rows = rows.select(F.xxhash64("words").alias("key"), "words").where(F.size(F.split("words", " ")) >= 3)
+    known = grams.counted(rows).where((F.col("df") >= counter.getMinDF()) & (F.col("df") <= counter.getMaxDF() * rows.count()))
+    words = [r["term"] for r in known.orderBy(F.desc("uses"), "term").limit(counter.getVocabSize()).collect()]
+    if not words:
+        raise ValueError("no term is in enough and not in too many texts")
+    k, text_, topic = lda.getK(), lda.getDocConcentration()[0], lda.getTopicConcentration()
+    table = topics.fit(grams.packed(rows, words), len(words), k, lda.getMaxIter(), text_, topic, lda.getSeed())
+    counted = counter._copyValues(CountVectorizerModel.from_vocabulary(words, counter.getInputCol(), counter.getOutputCol()))
+    spark = rows.sparkSession
+    # MLlib has no way to name a model's table but this one, that of its own loader
+    local = spark._jvm.org.apache.spark.mllib.clustering.LocalLDAModel(_py2java(spark.sparkContext, OldMatrix(len(words), k, table.ravel())), _py2java(spark.sparkContext, OldVectors.dense([text_] * k)), topic, 100.0)
+    return PipelineModel([*first, counted, lda._copyValues(LocalLDAModel(spark._jvm.org.apache.spark.ml.clustering.LocalLDAModel(lda.uid, len(words), local, spark._jsparkSession)))])
 
 
 def topic_infer(model: PipelineModel, df: DataFrame, key: str, content: Column, names: dict[int, str] = {}) -> DataFrame:
     """``(key, topic_id, tema, confianza_tema)``; a topic without name is called by its number."""
-    got = model.transform(df.select(F.col(key).alias("key"), text.topic_text(content).alias("content"))).withColumn("t", vector_to_array("topics"))
+    return _topic_infer(model, df.select(F.col(key).alias("key"), text.topic_text(content).alias("words")), names)
+
+
+def _topic_infer(model: PipelineModel, rows: DataFrame, names: dict[int, str] = {}) -> DataFrame:
+    """As ``topic_infer``, of prepared texts ``(key, words)``."""
+    counter, lda = model.stages[-2:]
+    got = grams.packed(rows, counter.vocabulary)
+    got = topics.infer(got, lda.topicsMatrix().toArray().T, lda.estimatedDocConcentration().toArray(), dict(got.dtypes)["key"]).withColumnRenamed("topics", "t")
     number = numbers.argmax(F.col("t"))
     name = F.concat(F.lit("Tema "), number.cast("string"))
     if names:
@@ -189,6 +214,12 @@ def topic_infer(model: PipelineModel, df: DataFrame, key: str, content: Column,
     return got.select("key", number.alias("topic_id"), name.alias("tema"), F.array_max("t").alias("confianza_tema"))
 
 
+def topic_fit_infer(df: DataFrame, key: str, content: Column, names: dict[int, str] = {}, **options: int) -> DataFrame:
+    """``topic_infer`` by the model that ``topic_fit`` makes of the same texts, which are prepared once."""
+    rows = store(df.select(F.col(key).alias("key"), text.topic_text(content).alias("words")), "zstd")
+    return _topic_infer(_topic_fit(rows, **options), rows, names)
+
+
 def topic_words(model: PipelineModel, most: int = 15) -> DataFrame:
     """``(topic_id, rank, term, weight)`` of the heaviest terms of each topic."""
     words = model.stages[-2].vocabulary

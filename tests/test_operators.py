@@ -473,3 +473,48 @@ def test_bayes_over_packed_rows(spark, monkeypatch):
         got = {r.key: (r.label, r.probability) for r in models.nb_predict_packed(*pack, got_theta, got_prior).collect()}
         assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
         assert all(v[1] == pytest.approx(want[k][1]) for k, v in got.items())
+
+
+def test_topics_by_em_do_not_depend_on_where_texts_lie(spark):
+    import numpy as np
+
+    from quipu.operators import grams, topics
+
+    texts = [" ".join(f"palabra{chr(97 + (i * j) % 7)}{chr(97 + j % 3)}" for j in range(3 + i % 5)) for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "seq bigint, t string")
+    options = {"k": 3, "iterations": 6, "least": 1, "most_share": 0.9}
+    one, many = (models.topic_fit(df, F.col("t"), **options) for df in (rows.coalesce(1), rows.orderBy(F.desc("seq")).repartition(7)))
+    words = one.stages[-2].vocabulary
+    assert words == many.stages[-2].vocabulary
+    got = one.stages[-1].topicsMatrix().toArray()
+    assert np.allclose(got, many.stages[-1].topicsMatrix().toArray(), rtol=1e-4)
+    # by brute force from the same start
+    packed = grams.packed(rows.select(F.xxhash64("t").alias("key"), F.col("t").alias("words")), words).collect()
+    n, first = np.zeros((40, len(words))), np.zeros((40, len(words), 3))
+    for i, r in enumerate(packed):
+        ids = np.frombuffer(r.ids, "<u2")
+        n[i, ids] = np.frombuffer(r.tf, "u1")
+        first[i, ids] = topics.start(np.full(len(ids), r.key), ids, 3, 42).T
+    text, term = (np.einsum("jw,jwk->" + to, n, first) for to in ("jk", "wk"))
+    for _ in range(6):
+        p = (text[:, None, :] + 1 / 3) * (term + 1 / 3) / (term.sum(axis=0) + len(words) / 3)
+        p *= (n / p.sum(axis=2))[:, :, None]
+        text, term = p.sum(axis=1), p.sum(axis=0)
+    assert np.allclose(got, term, rtol=1e-4)
+
+
+def test_topics_of_texts_are_those_of_the_stored_stages(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from quipu.functions import text
+    from quipu.operators import topics
+
+    df = spark.createDataFrame([(i, "litio salar mina agua litio" if i % 2 else "banco crédito tasa ahorro agua") for i in range(30)] + [(30, "otra cosa"), (31, None)], "seq bigint, t string")
+    fitted = models.topic_fit(df, F.col("t"), k=2, iterations=5, least=1, most_share=0.9)
+    got = {r.key: r for r in models.topic_infer(fitted, df, "seq", F.col("t")).collect()}
+    stages = fitted.transform(df.select("seq", text.topic_text(F.col("t")).alias("content"))).select("seq", vector_to_array("topics").alias("t")).collect()
+    assert len(got) == len(stages) == 32
+    assert all(abs(max(r.t) - got[r.seq].confianza_tema) < 2e-3 and (not max(r.t) or r.t[got[r.seq].topic_id] == max(r.t)) for r in stages)
+    once = models.topic_fit_infer(df, "seq", F.col("t"), k=2, iterations=5, least=1, most_share=0.9).collect()
+    assert {r.key: r.topic_id for r in once} == {k: r.topic_id for k, r in got.items()}
+    assert abs(topics.digamma([0.5])[0] + 1.9635100260214235) < 1e-10
