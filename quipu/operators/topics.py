@@ -147,12 +147,11 @@ def fit(packed: DataFrame, terms: int, k: int, iterations: int, text: float, top
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    """Derivative of the logarithm of the gamma function, of numbers from 0 on: a series beyond 6, steps up to it."""
-    x, less = np.array(x, "float64"), np.zeros(np.shape(x))
+    """Derivative of the logarithm of the gamma function, of numbers from 0 on: six steps up, then a series."""
+    x = np.asarray(x, "float64")
     with np.errstate(divide="ignore"):
-        while (low := x < 6).any():
-            less[low] += 1 / x[low]
-            x[low] += 1
+        less = sum(1 / (x + i) for i in range(6))
+    x = x + 6
     y = 1 / (x * x)
     return np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132)))) - less
 

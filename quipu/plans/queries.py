@@ -572,8 +572,7 @@ def date_columns(spark, folder):
 def topic_inference(spark, folder):
     """Topics of all texts by the other model's parameters: rarer terms left out, 30 iterations."""
     rows = texts(spark, folder).where("texto is not null")
-    fitted = models.topic_fit(rows, F.col("texto"), iterations=30, least=8, most_share=0.7, most_terms=12_000)
-    return models.topic_infer(fitted, rows, "seq", F.col("texto"), {0: "Primer tema"})
+    return models.topic_fit_infer(rows, "seq", F.col("texto"), {0: "Primer tema"}, iterations=30, least=8, most_share=0.7, most_terms=12_000)
 
 
 @query
